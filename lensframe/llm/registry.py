@@ -31,5 +31,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op7_bpe, op8_quality)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op7_bpe, op8_quality, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
