@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from lensframe.session import work_path
+from lensframe.session import discard, materialise, work_path
 
 from .textio import chunks
 
@@ -373,7 +373,17 @@ def publish_lexicon(documents: DataFrame, vocabulary_path: str, words: int = LEX
     """Compile the most frequent words of ``documents``; returns the name under
     which executors find the file. The list is bounded by ``words``."""
     spark = documents.sparkSession
-    top = word_counts(documents, vocabulary_path).orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()["word"]
+    counts = materialise(word_counts(documents, vocabulary_path), "words")
+    # The words above a count, by eighths of an octave: at most ``words`` of them
+    # reach the driver, however many tasks counted.
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    least, held = None, 0
+    for r in counts.groupBy(octave.alias("o")).agg(F.count("*").alias("m")).orderBy(F.desc("o")).toLocalIterator():
+        if held + r.m > words:
+            break
+        least, held = r.o, held + r.m
+    top = counts.where(octave >= least).select("word").toPandas()["word"] if held else []
+    discard(counts)
     data = compile_lexicon([w.encode() for w in top], Vocabulary(vocabulary_path))
     path = work_path(spark, "lexicon") + ".bin"
     jvm = spark._jvm
