@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .textio import chunks, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 #: Labelled texts longer than this are left out of the fit (scoring takes all).
-FIT_TEXT_BYTES = 60_000
+FIT_TEXT_BYTES = 20_000
 THRESHOLD = 0.3
 
 _SPACE, _UPPER, _DIGIT, _PUNCT, _SYMBOL, _BANG, _PIPE, _HIGH = range(8)
