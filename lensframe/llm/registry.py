@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .textio import table
 
@@ -13,12 +14,53 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import materialise_order
+
+    return materialise_order(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), end=50256)[0]
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k, whole_vectors
+
+    return top_k(whole_vectors(table(spark, sf_dir, "embeddings")), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted under two tokenizer versions; documents labelled
+    of low quality are deleted; the word counts of documents labelled toxic are
+    revised to bytes // 6, as a second release of the word tokenizer would; the
+    deletion is sent twice."""
+    from lensframe.session import materialise, work_path
+
+    from .token_counts import RollupStore, changes, counted
+
+    counts = materialise(counted(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken")), "token-counts")
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    low = counts.join(labels.where("quality = 0"), "doc_id", "left_semi")
+    toxic = counts.join(labels.where("quality = 1 and toxic = 1"), "doc_id", "left_semi")
+    store = RollupStore(spark, work_path(spark, "token-rollup"))
+    store.apply("1-insert", changes(counts, "byte_bpe_50k", "n_bpe", 1).unionByName(changes(counts, "words-1", "n_words", 1)))
+    gone = changes(low, "byte_bpe_50k", "n_bpe", -1).unionByName(changes(low, "words-1", "n_words", -1))
+    store.apply("2-delete", gone)
+    store.apply("3-revise", changes(toxic, "words-1", "n_words", -1).unionByName(
+        changes(toxic.withColumn("n_new", F.expr("bytes div 6")), "words-1", "n_new", 1)))
+    store.apply("2-delete", gone)
+    return store.totals()
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -37,11 +79,32 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_decontaminate, op7_bpe, op8_quality, op10_jaccard)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_training_order, op2_topk, op3_token_counts, op4_toxicity, op5_licenses, op6_decontaminate, op7_bpe, op8_quality,
+              op9_sharding, op10_jaccard)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c::DOUBLE))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
+  FROM x q JOIN x d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
