@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lensframe.operators.graph import connected_components
 from lensframe.session import discard, materialise
 
-from .textio import WordHash, chunks, shingle_hashes, texts
+from .textio import M1, WordHash, chunks, mix, shingle_hashes, texts
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -43,7 +43,7 @@ BLOCK = 1 << 14
 #: Longest extension of a prefix.
 MOST_MATCHES = 12
 STAR_ROUNDS = 2
-FILTER_WORDS = 1 << 18  # 64-bit words of the candidate id filter: 2 MB
+FILTER_WORDS = 1 << 20  # 64-bit words of an id filter: 8 MB
 
 
 def shingle_set(text: bytes, k: int, hashes: WordHash) -> np.ndarray:
@@ -130,8 +130,8 @@ def choose_matches(held: np.ndarray, slack: int, most: int = MOST_MATCHES) -> in
 
 
 def prefixes(documents: DataFrame, counts: np.ndarray, k: int, percent: int, bits: int) -> DataFrame:
-    """(token, node, n, l) for every shingle in a document's prefix; equal sets
-    within a task give their rows once."""
+    """(token, node, nl) for every shingle in a document's prefix, nl = 16 n + l;
+    equal sets within a task give their rows once."""
     mean = counts.mean()
     rank = np.minimum(np.log2(counts + 1.0) * 1024, 65535).astype(np.uint16)  # rare first, in 1/1024 octaves
     shared = documents.sparkSession.sparkContext.broadcast((rank, mean))
@@ -139,9 +139,9 @@ def prefixes(documents: DataFrame, counts: np.ndarray, k: int, percent: int, bit
     def run(batches):
         rank, mean = shared.value
         hashes, seen = WordHash(), set()
-        names = ["token", "node", "n", "l"]
+        names = ["token", "node", "nl"]
         for b in chunks(batches, "text"):
-            token, node, n, least = [], [], [], []
+            token, node, nl = [], [], []
             for t in texts(b, "text"):
                 s = shingle_set(t, k, hashes)
                 if not len(s) or (v := node_of(s)) in seen:
@@ -156,59 +156,76 @@ def prefixes(documents: DataFrame, counts: np.ndarray, k: int, percent: int, bit
                 p = s[order[: slack + m]]
                 token.append(p)
                 node.append(np.full(len(p), v, np.int64))
-                n.append(np.full(len(p), len(s), np.int32))
-                least.append(np.full(len(p), m, np.int32))
+                nl.append(np.full(len(p), len(s) * 16 + m, np.int64))
             if token:
-                cols = [np.concatenate(x) for x in (token, node, n, least)]
+                cols = [np.concatenate(x) for x in (token, node, nl)]
                 cols[0] = cols[0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, node long, n int, l int")
+    return documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, node long, nl long")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A fixed-size bit filter of the ids (first column, long): says no only to
-    ids that are not among them."""
-    c = F.xxhash64(ids.columns[0])
-    bits = ids.select(
-        F.explode(F.array(F.struct(F.pmod(c, F.lit(FILTER_WORDS)).alias("w"), F.pmod(F.shiftrightunsigned(c, 40), F.lit(64)).alias("b")),
-                          F.struct(F.pmod(F.shiftrightunsigned(c, 20), F.lit(FILTER_WORDS)).alias("w"), F.pmod(F.shiftrightunsigned(c, 50), F.lit(64)).alias("b")))).alias("x"))
-    rows = bits.groupBy("x.w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.b").cast("int"))).alias("bits")).toPandas()
+    ids that are not among them. It is summed up in one table per task."""
+
+    def run(batches):
+        f = np.zeros(FILTER_WORDS * 64, bool)
+        for b in batches:
+            u = b.column(0).to_numpy().view(np.uint64)
+            for p in _places(u):
+                f[p] = True
+        words = np.packbits(f, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at])], ["w", "bits"])
+
+    rows = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_WORDS, np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _places(u: np.ndarray) -> list[np.ndarray]:
+    """The two filter bits of each id."""
+    u = mix(u * M1)
+    n = np.uint64(FILTER_WORDS * 64)
+    return [(u % n).astype(np.int64), ((u >> np.uint64(20)) * M1 % n).astype(np.int64)]
+
 
+def _maybe(flt: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    a, b = _places(ids.view(np.uint64))
+    return flt[a] & flt[b]
 
-def _maybe(flt: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Rows whose xxhash64 ``code`` passes the filter."""
-    u = code.view(np.uint64)
-    one = np.int64(1)
-    w1, b1 = code % FILTER_WORDS, ((u >> np.uint64(40)) % np.uint64(64)).astype(np.int64)
-    w2, b2 = ((u >> np.uint64(20)) % np.uint64(FILTER_WORDS)).astype(np.int64), ((u >> np.uint64(50)) % np.uint64(64)).astype(np.int64)
-    return ((flt[w1] >> b1) & one).astype(bool) & ((flt[w2] >> b2) & one).astype(bool)
+
+def only(rows: DataFrame, column: str, flt: np.ndarray) -> DataFrame:
+    """Rows whose ``column`` may be in the filter."""
+    shared = rows.sparkSession.sparkContext.broadcast(flt)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_maybe(shared.value, b.column(column).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, grams) of the wanted documents (doc_id, node); grams is the sorted
     set as little-endian 64-bit integers."""
+    src = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     flt = documents.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
 
     def run(batches):
         hashes = WordHash()
         for b in chunks(batches, "text"):
-            keep = _maybe(flt.value, b.column("code").to_numpy())
-            b = b.filter(pa.array(keep))
-            if not b.num_rows:
-                continue
-            s = [shingle_set(t, k, hashes) for t in texts(b, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([node_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())],
-                ["doc_id", "node", "grams"])
+            b = b.filter(pa.array(_maybe(flt.value, b.column("doc_id").to_numpy())))
+            if b.num_rows:
+                s = [shingle_set(t, k, hashes) for t in texts(b, "text")]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([node_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())],
+                    ["doc_id", "node", "grams"])
 
-    src = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    src = src.where("doc_id is not null").withColumn("code", F.xxhash64("doc_id"))
     found = src.mapInArrow(run, "doc_id long, node long, grams binary")
-    return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "grams")
+    return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", "grams")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,14 +253,14 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
     counts = sketch(rows, bits)
     entries = materialise(prefixes(documents, counts, k, percent, bits), "jaccard-prefix")
     held = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = materialise(entries.join(held.select("token"), "token").distinct(), "jaccard-shared")
-    discard(entries)
-    reps = docs.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialise(reps.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "jaccard-wanted")
-    sets = materialise(sets_of(documents, wanted, k), "jaccard-sets")
+    held = materialise(held.select("token"), "jaccard-held")
+    shared = only(entries, "token", id_filter(held)).join(held, "token").distinct()
+    shared = materialise(shared.select("token", "node", F.expr("cast(nl div 16 as int)").alias("n"), F.expr("cast(nl % 16 as int)").alias("l")), "jaccard-shared")
+    discard(entries, held)
+    reps = materialise(docs.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-reps")
 
     size = F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
-    links, component, tried = None, None, None
+    links, component, tried, sets, have = None, None, None, None, None
     for r in range(star_rounds + 1):
         cur = shared
         if component is not None:
@@ -268,6 +285,13 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if have is not None:
+            nodes = nodes.join(have, "node", "left_anti")
+        wanted = materialise(reps.join(nodes, "node").select("doc_id", "node"), "jaccard-wanted")
+        more = materialise(sets_of(documents, wanted, k), "jaccard-sets")
+        sets = more if sets is None else sets.unionByName(more)
+        have = wanted.select("node") if have is None else have.union(wanted.select("node"))
         found = materialise(verified(pairs, sets, percent), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
