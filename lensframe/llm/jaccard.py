@@ -208,6 +208,31 @@ def only(rows: DataFrame, column: str, flt: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` without the doc_ids in ``ids`` (its first column). Rows that
+    the bit filter clears stay where they are; only the others are joined."""
+    gone = ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).where("_gone is not null").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(id_filter(gone))
+    keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+
+    def mark(wanted: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(_maybe(shared.value, b.column("_key").to_numpy()) == wanted))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    rest = mark(True).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return mark(False).unionByName(rest).drop("_key")
+
+
+def keep_one_of_each(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of every linked group, that of the smallest doc_id; rows
+    with a null doc_id stay."""
+    groups = jaccard_components(documents.select("doc_id", "text"), k, percent)
+    return without_ids(documents, groups.where("doc_id <> component_id").select("doc_id"))
+
+
 def sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, grams) of the wanted documents (doc_id, node); grams is the sorted
     set as little-endian 64-bit integers."""

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textio import chunks, texts
 
@@ -213,25 +214,32 @@ def learn(documents: DataFrame, labels: DataFrame, label: str, keep, bound: int,
 
 
 def score(documents: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
-    """``documents`` rows (doc_id) with the score of each whole text."""
+    """The columns of ``documents`` and the score of each whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    documents = documents.drop(name)
 
     def run(batches):
         for b in chunks(batches, "text", 1 << 20):
             m = shared.value
             s = np.full(b.num_rows, 0.5) if m is None else document_scores(texts(b, "text"), m)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {name} double")
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(modulus: int, rest: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == rest
 
 
+def keep_good(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents that the classifier does not reject, columns as they are."""
+    docs, y = learn(documents, labels, "quality", ~held_out(5, 0), fit_rows, FIT_TEXT_BYTES)
+    return score(documents, fit(docs, y), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs, y = learn(documents, labels, "quality", ~held_out(5, 0), fit_rows, FIT_TEXT_BYTES)
-    out = score(documents, fit(docs, y))
+    out = score(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs, y))
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality import held_out, learn
 from .textio import chunks, texts
@@ -151,24 +152,30 @@ def fit(docs: list[bytes], labels: list[int], epochs: int = 30, seed: int = 5) -
     return m
 
 
-def score(documents: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id and the score of each whole text."""
+def score(documents: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
+    """The columns of ``documents`` and the score of each whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    documents = documents.drop(name)
 
     def run(batches):
         m = shared.value
         terms = Terms({int(t): i for i, t in enumerate(m["kept"])}) if m else None
         for b in chunks(batches, "text"):
             s = scores(texts(b, "text"), terms, m) if m else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, score double")
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def keep_civil(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents that the classifier does not call toxic, columns as they are."""
+    docs, y = learn(documents, labels, "toxic", ~held_out(4, 2), fit_rows, FIT_TEXT_BYTES)
+    return score(documents, fit(docs, y), "_score").where(F.col("_score") < THRESHOLD).drop("_score")
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs, y = learn(documents, labels, "toxic", ~held_out(4, 2), fit_rows, FIT_TEXT_BYTES)
-    return score(documents, fit(docs, y)).select(
+    return score(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs, y)).select(
         "doc_id", held_out(4, 2).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
