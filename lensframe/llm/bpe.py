@@ -342,19 +342,20 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(start) - (end - n), n)
 
 
-def word_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
-    """word, n over all texts; counted in each task before the shuffle."""
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, n over all texts, which ranks words for the lexicon. A task counts
+    runs of other than white space and splits each distinct run once, as if it
+    followed a space; counts are summed in the task before the shuffle."""
 
     def run(batches):
-        v = Vocabulary(vocabulary_path)
         c: Counter = Counter()
         for b in chunks(batches, "text", 1 << 20):
             for t in b.column("text").to_pylist():
                 if t:
-                    c.update(w for w in pieces(t, v) if isinstance(w, str) and len(w) <= LONGEST)
+                    c.update(t.split())
             if len(c) > 300_000:
                 yield _counted(c)
-                c = Counter()
+                c.clear()
         if c:
             yield _counted(c)
 
@@ -364,16 +365,20 @@ def word_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     )
 
 
-def _counted(c: Counter) -> pa.RecordBatch:
-    """Words seen once in a task still count; every word of the task goes out."""
-    return pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+def _counted(runs: Counter) -> pa.RecordBatch:
+    c: Counter = Counter()
+    for r, n in runs.items():
+        for w in split_words(" " + r):
+            if len(w) <= LONGEST:
+                c[w] += n
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
 
 def publish_lexicon(documents: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of ``documents``; returns the name under
     which executors find the file. The list is bounded by ``words``."""
     spark = documents.sparkSession
-    counts = materialise(word_counts(documents, vocabulary_path), "words")
+    counts = materialise(word_counts(documents), "words")
     # The words above a count, by eighths of an octave: at most ``words`` of them
     # reach the driver, however many tasks counted.
     octave = F.floor(F.log2("n") * 8).cast("int")
