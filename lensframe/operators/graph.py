@@ -48,3 +48,133 @@ def connected_components(
         all_nodes.distinct().join(cur.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
         .select("node", F.coalesce("component", "node").alias("component"))
     )
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """node, neighbours (sorted, distinct), degree."""
+    both = edges.select("i", "j").union(edges.select("j", "i")).distinct()
+    return both.groupBy(F.col("i").alias("node")).agg(F.sort_array(F.collect_set("j")).alias("neighbours"), F.countDistinct("j").alias("degree"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """Nodes of the component with most nodes; ties to the smallest node."""
+    cc = materialise(connected_components(edges), "lcc")
+    best = cc.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return cc.join(F.broadcast(best.select("component")), "component", "left_semi").select("node")
+
+
+def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes, smaller end first."""
+    n = nodes.select(F.col(nodes.columns[0]).alias("n")).distinct()
+    out = edges.join(n, F.col("i") == F.col("n"), "left_semi").join(n, F.col("j") == F.col("n"), "left_semi")
+    return out.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
+
+
+def prune_to_lcc(edges: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """Edges within the largest component; prior edges connect too."""
+    all_edges = edges.select("i", "j")
+    if priors is not None:
+        all_edges = all_edges.union(priors.select("i", "j"))
+    return induced_edges(edges, largest_component(all_edges))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c), a < b < c, of all 3-cycles. Edges point from the end of lower
+    degree to the other, so a hub has few edges going out and the two-edge paths
+    that the join makes stay near the bound of |E|^1.5."""
+    e = edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    deg = e.select("i").union(e.select("j")).groupBy("i").agg(F.count("*").alias("d"))
+    e = e.join(deg, "i").withColumnRenamed("d", "di").join(deg.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
+    up = F.struct("di", "i") < F.struct(F.col("dj").alias("di"), F.col("j").alias("i"))
+    d = e.select(F.when(up, F.col("i")).otherwise(F.col("j")).alias("s"), F.when(up, F.col("j")).otherwise(F.col("i")).alias("t"))
+    paths = d.alias("p").join(d.select("s", F.col("t").alias("u")).alias("q"), "s").where("t < u")
+    close = d.select(F.least("s", "t").alias("t"), F.greatest("s", "t").alias("u"))
+    tri = paths.join(close, ["t", "u"])
+    s = F.sort_array(F.array("s", "t", "u"))
+    return tri.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
+
+
+def rotation_cycle_error(tri: DataFrame, rotations: DataFrame) -> DataFrame:
+    """Angle of R(a<-c) R(c<-b) R(b<-a) per triangle; rotation q of (i, j) takes i to j."""
+    from lensframe.functions import geometry as g
+
+    def one(x, y, name):
+        return rotations.select(F.col("i").alias(x), F.col("j").alias(y), F.col("q").alias(name))
+
+    t = tri.join(one("a", "b", "qab"), ["a", "b"]).join(one("b", "c", "qbc"), ["b", "c"]).join(one("a", "c", "qac"), ["a", "c"])
+    # The loop of three rotations against no rotation at all.
+    err = g.rotation_angle(F.col("qac"), g.multiply(F.col("qbc"), F.col("qab")))
+    return t.withColumn("err", err).select("a", "b", "c", "err")
+
+
+def cycle_filter(edges: DataFrame, rotations: DataFrame, limit: float = 7.0, how: str = "median") -> DataFrame:
+    """Edges whose aggregated cycle error is below the limit, and those that are
+    in no triangle."""
+    tri = rotation_cycle_error(triangles(edges), rotations)
+    each = tri.select(F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("c").alias("j")),
+                                        F.struct(F.col("a").alias("i"), F.col("c").alias("j")))).alias("e"), "err").select("e.*", "err")
+    a = F.min("err") if how == "min" else F.percentile("err", F.lit(0.5))
+    agg = each.groupBy("i", "j").agg(a.alias("cycle_err"))
+    return edges.join(agg, ["i", "j"], "left").where(F.col("cycle_err").isNull() | (F.col("cycle_err") < limit))
+
+
+def bridge_reconnect(edges: DataFrame, scores: DataFrame, k: int = 10, least: int = 3, min_score: float = 0.0) -> DataFrame:
+    """New edges that tie islands of at least ``least`` nodes to the largest
+    component: per island its k best cross scores. The k are taken before edges
+    that exist already are removed."""
+    from lensframe.operators.pairs import bridge_topk
+
+    cc = materialise(connected_components(edges), "bridge-cc")
+    size = cc.groupBy("component").agg(F.count("*").alias("n"))
+    main = size.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("main"))
+    label = cc.join(size, "component").crossJoin(F.broadcast(main))  # one row
+    a = label.select(F.col("node").alias("i"), F.col("component").alias("ci"), F.col("n").alias("ni"), "main")
+    b = label.select(F.col("node").alias("j"), F.col("component").alias("cj"), F.col("n").alias("nj"))
+    s = scores.where(F.col("score") >= min_score).join(a, "i").join(b, "j")
+    s = s.where((F.col("ci") != F.col("cj")) & ((F.col("ci") == F.col("main")) | (F.col("cj") == F.col("main"))))
+    s = s.withColumns({"island": F.when(F.col("ci") == F.col("main"), F.col("cj")).otherwise(F.col("ci")),
+                       "size": F.when(F.col("ci") == F.col("main"), F.col("nj")).otherwise(F.col("ni"))}).where(F.col("size") >= least)
+    return bridge_topk(s.select("i", "j", "score", "island"), "island", k).join(edges.select("i", "j"), ["i", "j"], "left_anti")
+
+
+def covis_edges(observations: DataFrame) -> DataFrame:
+    """Camera pairs that share tracks, and how many. Tracks are short (a track
+    sees each camera at most once), which bounds the pairs of a track."""
+    o = observations.select("track_id", "i").distinct()
+    return o.join(o.select("track_id", F.col("i").alias("j")), "track_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+
+
+def scene_lcc(observations: DataFrame) -> DataFrame:
+    """The scene cut to the largest component of its covisibility graph."""
+    from lensframe.operators.tables import selected_cameras_tracks
+
+    keep = largest_component(covis_edges(observations)).withColumnRenamed("node", "i")
+    return selected_cameras_tracks(observations, keep)
+
+
+def cross_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges between every two clusters."""
+    c = clusters.select("i", "cluster")
+    e = edges.join(c.withColumnRenamed("cluster", "a"), "i").join(c.select(F.col("i").alias("j"), F.col("cluster").alias("b")), "j").where("a <> b")
+    return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def overlap_path(edges: DataFrame, source: int, targets: DataFrame, inside: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Cheapest distance from a node to the targets: fewest nodes outside
+    ``inside`` first, then fewest hops; a relaxation round per hop."""
+    both = edges.select("i", "j").union(edges.select("j", "i")).distinct()
+    cost = both.join(inside.select(F.col(inside.columns[0]).alias("j"), F.lit(0).alias("o")), "j", "left").select("i", "j", F.coalesce("o", F.lit(1)).alias("o"))
+    cost = materialise(cost, "path-cost")
+    spark = edges.sparkSession
+    best = spark.createDataFrame([(source, 0, 0)], "node long, outside int, hops int")
+    front, done = best, 0
+    for _ in range(max_rounds):
+        step = front.join(cost, F.col("node") == F.col("i")).groupBy(F.col("j").alias("node")).agg(
+            F.min(F.struct((F.col("outside") + F.col("o")).alias("outside"), (F.col("hops") + 1).alias("hops"))).alias("c")).select("node", "c.*")
+        nxt = best.unionByName(step).groupBy("node").agg(F.min(F.struct("outside", "hops")).alias("c")).select("node", "c.*")
+        nxt = materialise(nxt, "path")
+        front = nxt.join(best, ["node", "outside", "hops"], "left_anti")
+        best = nxt
+        if front.isEmpty():
+            break
+    return best.join(targets.select(F.col(targets.columns[0]).alias("node")).distinct(), "node", "left_semi")
