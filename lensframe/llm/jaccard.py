@@ -43,7 +43,7 @@ BLOCK = 1 << 14
 #: Longest extension of a prefix.
 MOST_MATCHES = 12
 STAR_ROUNDS = 2
-FILTER_WORDS = 1 << 20  # 64-bit words of an id filter: 8 MB
+FILTER_WORDS = 1 << 19  # 64-bit words of an id filter: 4 MB
 
 
 def shingle_set(text: bytes, k: int, hashes: WordHash) -> np.ndarray:
@@ -182,7 +182,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     rows = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_WORDS, np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def _places(u: np.ndarray) -> list[np.ndarray]:
@@ -193,8 +193,8 @@ def _places(u: np.ndarray) -> list[np.ndarray]:
 
 
 def _maybe(flt: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    a, b = _places(ids.view(np.uint64))
-    return flt[a] & flt[b]
+    a, b = (flt[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in _places(ids.view(np.uint64)))
+    return (a & b).astype(bool)
 
 
 def only(rows: DataFrame, column: str, flt: np.ndarray) -> DataFrame:
