@@ -7,6 +7,7 @@ is a temporary folder chosen.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -40,12 +41,29 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lensframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Within, a finished write takes its own shuffle files with it instead of
+    leaving them until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is None:  # a Spark without the setting
+        yield
+        return
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later reads do
     not recompute it, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
