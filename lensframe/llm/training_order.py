@@ -8,8 +8,11 @@ exchange by slot range writes a file per shard: fixed-stride binary records in
 slot order. Slot s is in shard ``s // per_shard`` at byte ``s % per_shard *
 stride``, so a reader can start anywhere and resume.
 
-The sequence table is written to the shared folder first; a sequence's number is
-its row's place in that table, so re-run tasks number alike.
+The documents' ids are written to the shared folder first, deflated; a sequence's
+number is that of its row's first sequence in that table plus its place in the
+row, so re-run tasks number alike. The exchange runs in ``passes`` over ranges of
+shards, each taking its shuffle files with it, so that only a part of the ids is
+on the shuffle disks at a time.
 
 Cases: a null text counts as empty; an empty text is one sequence holding only
 the end mark; a null doc_id keeps its sequences; repeated rows are kept; extra
@@ -23,10 +26,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensframe.session import materialise, work_path
+from lensframe.session import materialise, tidy_shuffles, work_path
 
 from .bpe import PATTERN
 from .textio import chunks
@@ -35,6 +39,7 @@ LENGTH = 256
 PER_SHARD = 1 << 16
 KEY = 0x5EED
 ROUNDS = 6
+PASSES = 3
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -67,71 +72,98 @@ def rank_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(documents: DataFrame, ranks_path: str, end: int, length: int = LENGTH) -> DataFrame:
-    """(doc_id, seq, n, ids): ids are the n real ids as little-endian 16-bit
-    integers, deflated."""
+def document_ids(documents: DataFrame, ranks_path: str, end: int, length: int = LENGTH) -> DataFrame:
+    """(doc_id, part, base, n, ids): the n ids of a text and its end mark as
+    deflated little-endian 16-bit integers; base counts the sequences before it
+    in the same task's output, which ``part`` names."""
 
     def run(batches):
         enc = rank_encoder(ranks_path)
+        part, base = TaskContext.get().partitionId(), 0
         for b in chunks(batches, "text", 1 << 20):
-            doc, seq, n, data = [], [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            first, n, data = [], [], []
+            for t in b.column("text").to_pylist():
                 ids = np.array([*enc.encode_ordinary(t or ""), end], "<u2")
-                for k in range(0, len(ids), length):
-                    part = ids[k : k + length]
-                    doc.append(i)
-                    seq.append(k // length)
-                    n.append(len(part))
-                    data.append(zlib.compress(part.tobytes(), 1))
+                first.append(base)
+                n.append(len(ids))
+                base += -(-len(ids) // length)
+                data.append(zlib.compress(ids.tobytes(), 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-                ["doc_id", "seq", "n", "ids"])
+                [b.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
+                ["doc_id", "part", "base", "n", "ids"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, seq int, n int, ids binary")
+        run, "doc_id long, part int, base long, n long, ids binary")
 
 
 def materialise_order(documents: DataFrame, ranks_path: str, end: int, length: int = LENGTH, per_shard: int = PER_SHARD,
-                      key: int = KEY, path: str | None = None) -> tuple[DataFrame, str]:
+                      key: int = KEY, path: str | None = None, passes: int = PASSES) -> tuple[DataFrame, str]:
     """Write the shards; returns (doc_id, seq, n, slot, shard, byte_offset,
-    ids_crc32) of every sequence and the folder of the shards."""
+    ids_crc32) of every sequence and the folder of the shards, in which pass k
+    writes its shards as the files of folder pass=k."""
     spark = documents.sparkSession
-    table = materialise(sequences(documents, ranks_path, end, length), "order-sequences")
+    table = materialise(document_ids(documents, ranks_path, end, length), "order-ids")
     path = path or work_path(spark, "order-shards")
-    placed = table.withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")})
-    # One row per file written, so by far fewer than the sequences.
-    files = placed.groupBy("file").agg(F.count("*").alias("rows")).orderBy("file").toPandas()
-    before = dict(zip(files["file"], (files["rows"].cumsum() - files["rows"]).tolist()))
-    total = int(files["rows"].sum())
+    # A row per task that wrote, so by far fewer than the sequences.
+    parts = table.groupBy("part").agg(F.sum(F.ceil(F.col("n") / length)).alias("rows")).orderBy("part").toPandas()
+    before = dict(zip(parts["part"].tolist(), (parts["rows"].cumsum() - parts["rows"]).tolist()))
+    total = int(parts["rows"].sum())
     shared = spark.sparkContext.broadcast(before)
     stride = 2 * length + 1
     pad = np.full(length, end, "<u2").tobytes()
 
-    def slots(batches, with_ids: bool):
-        for b in batches:
-            start = np.array([shared.value[f] for f in b.column("file").to_pylist()], np.int64)
-            slot = feistel(start + b.column("at").to_numpy(), total, key)
-            raw = [zlib.decompress(x) for x in b.column("ids").to_pylist()] if not with_ids else None
-            cols = [b.column(c) for c in ("doc_id", "seq", "n")] + [pa.array(slot)]
-            names = ["doc_id", "seq", "n", "slot"]
-            if with_ids:
-                cols, names = [pa.array(slot), pa.array(slot // per_shard, pa.int32()), b.column("ids")], ["slot", "shard", "ids"]
-            else:
-                cols.append(pa.array([zlib.crc32(x + pad[len(x) :]) for x in raw], pa.int64()))
-                names.append("ids_crc32")
-            yield pa.RecordBatch.from_arrays(cols, names)
+    def placed(b: pa.RecordBatch):
+        """Row, place in the row and slot of every sequence of a batch."""
+        rows = -(-b.column("n").to_numpy() // length)
+        start = np.array([shared.value[p] for p in b.column("part").to_pylist()], np.int64) + b.column("base").to_numpy()
+        row = np.repeat(np.arange(len(rows)), rows)
+        seq = np.arange(len(row)) - np.repeat(np.cumsum(rows) - rows, rows)
+        return row, seq, feistel(start[row] + seq, total, key)
+
+    def pieces(b: pa.RecordBatch, row: np.ndarray, seq: np.ndarray):
+        last, raw = -1, b""
+        data = b.column("ids")
+        for r, k in zip(row.tolist(), seq.tolist()):
+            if r != last:
+                last, raw = r, zlib.decompress(data[r].as_py())
+            yield raw[2 * length * k : 2 * length * (k + 1)]
+
+    def moved(lo: int, hi: int):
+        def run(batches):
+            for b in batches:
+                row, seq, slot = placed(b)
+                keep = (slot >= lo * per_shard) & (slot < hi * per_shard)
+                row, seq, slot = row[keep], seq[keep], slot[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot), pa.array(slot // per_shard - lo, pa.int32()), pa.array([zlib.compress(x, 1) for x in pieces(b, row, seq)], pa.binary())],
+                    ["slot", "shard", "ids"])
+
+        return run
 
     def records(batches):
         for b in batches:
             raw = [zlib.decompress(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x + pad[len(x) :] for x in raw], pa.binary())], ["record"])
 
-    if total:
-        moved = placed.mapInArrow(lambda it: slots(it, True), "slot long, shard int, ids binary")
-        moved = moved.repartitionById(-(-total // per_shard), F.col("shard")).sortWithinPartitions("slot").select("ids")
+    def digest(batches):
+        for b in batches:
+            row, seq, slot = placed(b)
+            n = np.minimum(length, b.column("n").to_numpy()[row] - seq * length)
+            crc = [zlib.crc32(x + pad[len(x) :]) for x in pieces(b, row, seq)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(row)), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(slot), pa.array(crc, pa.int64())],
+                ["doc_id", "seq", "n", "slot", "ids_crc32"])
+
+    shards = -(-total // per_shard)
+    step = max(1, -(-shards // passes))
+    for k, lo in enumerate(range(0, shards, step)):
+        hi = min(shards, lo + step)
+        one = table.mapInArrow(moved(lo, hi), "slot long, shard int, ids binary")
+        one = one.repartitionById(hi - lo, F.col("shard")).sortWithinPartitions("slot").select("ids")
         # The text sink writes the bytes as they are and one line end per record.
-        moved.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
-    out = placed.mapInArrow(lambda it: slots(it, False), "doc_id long, seq int, n int, slot long, ids_crc32 long")
+        with tidy_shuffles(spark):
+            one.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/pass={k}")
+    out = table.mapInArrow(digest, "doc_id long, seq int, n int, slot long, ids_crc32 long")
     return out.select("doc_id", "seq", "n", "slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"),
                       (F.col("slot") % per_shard * stride).alias("byte_offset"), "ids_crc32"), path
 
