@@ -57,6 +57,19 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within, Python workers get at most so many rows at a time: for rows that
+    are whole blocks of data."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later reads do
     not recompute it, and a lost executor loses nothing."""
