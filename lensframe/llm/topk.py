@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensframe.session import materialise
+from lensframe.session import arrow_rows, materialise
 
 SCALE = 256
-BITS = 5
+BITS = 7
 K = 5
-QUERY_BLOCK = 512
-VECTOR_BLOCK = 4096
+QUERY_BLOCK = 128
+VECTOR_BLOCK = 16384
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -75,6 +75,19 @@ def _rows(b: pa.RecordBatch | pa.Table, column: str, dim: int) -> np.ndarray:
     return c.flatten().to_numpy().reshape(-1, dim)
 
 
+def _blocks(batches, rows: int):
+    """Batches joined up to at least ``rows`` rows (the last one may be shorter)."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span, query_block: int, vector_block: int) -> DataFrame:
     dim, lo = span.d, span.lo
     cells = 1 << bits
@@ -82,14 +95,14 @@ def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span,
     marks = lo + step * np.arange(cells + 1)  # cell c holds marks[c] .. marks[c + 1] - 1
 
     def approximate(batches):  # the approximation file: class ids and one-byte codes of a block
-        for b in batches:
+        for b in _blocks(batches, vector_block):
             codes, ids = ((_rows(b, "v", dim) - lo) // step).astype(np.uint8), b.column("cid").to_numpy()
             for i in range(0, b.num_rows, vector_block):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i : i + vector_block].tobytes()], pa.binary()) for x in (ids, codes)], ["ids", "codes"])
 
     def gather(batches):
-        for b in batches:
+        for b in _blocks(batches, query_block):
             cols = [b.column("query_id").to_numpy(), b.column("cid").to_numpy(), _rows(b, "v", dim).astype(np.int64)]
             for i in range(0, b.num_rows, query_block):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i : i + query_block].tobytes()], pa.binary()) for x in cols], ["qids", "own", "qv"])
@@ -113,12 +126,15 @@ def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span,
                      pa.array(upper[i, j].astype(np.int64))], ["query_id", "cid", "lower", "upper"])
 
     # Every query block goes to every group of vector blocks; a row is one block.
-    groups = max(12, -(-span.n // (16 * vector_block)))
-    va = classes.select("cid", "v").mapInArrow(approximate, "ids binary, codes binary")
+    # Vectors are dealt evenly first, so that a group is a few full blocks.
+    groups = max(6, -(-span.n // (2 * vector_block)))
+    va = classes.select("cid", "v").repartition(groups).mapInArrow(approximate, "ids binary, codes binary")
     va = va.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     blocks = queries.select("query_id", "cid", "v").coalesce(4).mapInArrow(gather, "qids binary, own binary, qv binary")
     blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    kept = materialise(va.join(blocks, "g").mapInArrow(scan, "query_id long, cid long, lower long, upper long"), "va-candidates")
+    with arrow_rows(classes.sparkSession, 4):
+        scanned = va.join(blocks, "g").mapInArrow(scan, "query_id long, cid long, lower long, upper long")
+        kept = materialise(scanned, "va-candidates")
     # The k-th largest lower bound over all blocks; a null one does not count.
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("lower"), "cid")
     reach = kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(
