@@ -285,6 +285,11 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
     reps = materialise(docs.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-reps")
 
     size = F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
+    # Shingles after the prefix that ends first are all that a pair can share
+    # besides those its prefixes share; a link needs p / (100 + p) of both sizes.
+    after = lambda n, m: F.expr(f"({percent}L * {n} + 99) div 100 - {m}")
+    rest = F.greatest(after("n", "l"), after("pn", "pl"))
+    need = F.expr(f"({percent}L * (n + pn) + {99 + percent}) div {100 + percent}")
     links, component, tried, sets, have = None, None, None, None, None
     for r in range(star_rounds + 1):
         cur = shared
@@ -304,8 +309,9 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
             differ = F.col("c") < F.col("pc")
         pairs = (
             cur.join(other, "token").where(differ & size)
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.least("l", "pl").alias("need"))
-            .groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.least("l", "pl").alias("least"), rest.alias("rest"), need.alias("need"))
+            .groupBy("a", "b").agg(F.count("*").alias("common"), F.max("least").alias("least"), F.max("rest").alias("rest"), F.max("need").alias("need"))
+            .where("common >= least and common + rest >= need").select("a", "b")
         )
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
