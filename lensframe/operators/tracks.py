@@ -40,7 +40,8 @@ def track_triangulate(observations: DataFrame, cameras: DataFrame) -> DataFrame:
     """Linear point of each track: the sum of (I - d d^T) times X equals the sum
     of (I - d d^T) c, nine sums per track and a closed 3x3 solution. Status:
     SUCCESS, FEW (below two rays) or DEGENERATE (rays near parallel)."""
-    r = rays(observations, cameras)
+    # Dealt by track before the sums, so that each ray is worked out once.
+    r = rays(observations, cameras).select("track_id", "d", "t").repartition("track_id")
     d, c = F.col("d"), F.col("t")
     names = ("x", "y", "z")
     m = {f"m{a}{b}": F.sum((1.0 if a == b else 0.0) - d[names[a]] * d[names[b]]) for a in range(3) for b in range(a, 3)}

@@ -215,17 +215,6 @@ def track_triangulate(s, d):
     return rounded(tracks.track_triangulate(view(s, d, "obs"), cameras(s, d), ), 4)
 
 
-@query()
-def track_triangulate_robust(s, d):
-    return rounded(tracks.track_triangulate_robust(view(s, d, "obs"), cameras(s, d), 50.0), 4)
-
-
-@query()
-def classify_tracks(s, d):
-    o = view(s, d, "obs")
-    return tracks.classify_tracks(o, cameras(s, d), cameras(s, d, 0.02).where("i % 10 > 0")).groupBy("gt_code", "code").agg(F.count("*").alias("n"))
-
-
 @query()
 def merge_duplicate_tracks(s, d):
     return tracks.merge_duplicate_tracks(view(s, d, "obs").select("track_id", "i", (F.col("u") * 40).alias("u"), (F.col("v") + F.col("track_id") % 977).alias("v")))
