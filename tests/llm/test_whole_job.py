@@ -26,3 +26,20 @@ def test_leaks_find_every_paraphrase(spark):
             want.add((100_000 + n, i))
     got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(want) > 100 and want - got == set()
+
+
+def test_leaks_of_long_items(spark):
+    from lensframe.llm.decontaminate import leaks
+
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").orderBy("doc_id").collect()]
+    words = " ".join(r.text for r in table(spark, ITEMS, "benchmark").orderBy("item_id").collect()).split()
+    hosts = [t.split() for _, t in docs if len(t.split()) > 250]
+    rng, items, at = np.random.default_rng(7), [], 0
+    for n in (70, 100, 150, 300, 450, 1000):
+        item, host = words[at : at + n], hosts[n % len(hosts)]
+        at += n
+        items.append((100_000 + n, " ".join(item)))
+        docs.append((100_000 + n, " ".join(host[:77] + item + host[77:])))
+        docs.append((100_001 + n, " ".join(w if rng.random() < 0.85 else host[k % len(host)] for k, w in enumerate(item))))  # one word in seven replaced
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(n + k, n) for n, _ in items for k in (0, 1)} - got == set()
