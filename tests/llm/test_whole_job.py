@@ -43,3 +43,12 @@ def test_leaks_of_long_items(spark):
         docs.append((100_001 + n, " ".join(w if rng.random() < 0.85 else host[k % len(host)] for k, w in enumerate(item))))  # one word in seven replaced
     got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {(n + k, n) for n, _ in items for k in (0, 1)} - got == set()
+
+
+def test_near_copies_stage_at_082(spark):
+    """100 shingles of five words, and the same text with 22 more: 100 of 122."""
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(126)]
+    docs = spark.createDataFrame([(1, " ".join(text[:104])), (2, " ".join(text))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()] == [1]
