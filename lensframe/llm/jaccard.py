@@ -12,10 +12,20 @@ share ``min`` of its two l. Candidates are verified on the exact sets.
 Rarity comes from a count of every distinct shingle of every document in a
 fixed number of hash counters; a collision only shifts the order, never a result.
 
+Common shingles of two documents that come before a common one in the order lie in
+both prefixes. So a document's size without the shingles before that one that no
+other prefix holds caps the overlap of any pair that meets there, and pairs whose
+caps are below the overlap they need are never formed: this is what keeps a large
+group of copies with many edits each from turning into all its pairs.
+
 Equal sets are one node from the start. Linked groups are found without listing
 all their pairs: in each star round every shared shingle compares its holders
-with one pivot, and the last round compares only holders that are still in
-different components. No bound is put on holders, partners or candidates.
+with one pivot (the document with the fewest shingles of its own first, then by
+hash), and the last round compares only holders outside a shingle's largest
+component with the other ones. No bound is put on holders, partners or candidates.
+
+Sets, nodes and shingles are compared by 64-bit hashes: results are exact but for
+collisions of these.
 
 Cases: null or blank texts have no shingles and link with nothing; a text of
 fewer than k words is one shingle; a null doc_id is returned with a null
@@ -34,7 +44,7 @@ from pyspark.sql import functions as F
 from lensframe.operators.graph import connected_components
 from lensframe.session import discard, materialise
 
-from .textio import M1, WordHash, chunks, mix, shingle_hashes, texts
+from .textio import M1, WordHash, chunks, mix, sharing, shingle_hashes, texts
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -43,7 +53,8 @@ BLOCK = 1 << 14
 #: Longest extension of a prefix.
 MOST_MATCHES = 12
 STAR_ROUNDS = 2
-FILTER_WORDS = 1 << 19  # 64-bit words of an id filter: 4 MB
+FILTER_BYTES = 4 << 20  # of an id filter
+FILTER_BLOCK = 64 << 10
 
 
 def shingle_set(text: bytes, k: int, hashes: WordHash) -> np.ndarray:
@@ -129,17 +140,14 @@ def choose_matches(held: np.ndarray, slack: int, most: int = MOST_MATCHES) -> in
     return int(np.argmin(read + verify * read / np.arange(1, most + 1))) + 1
 
 
-def prefixes(documents: DataFrame, counts: np.ndarray, k: int, percent: int, bits: int) -> DataFrame:
-    """(token, node, nl) for every shingle in a document's prefix, nl = 16 n + l;
-    equal sets within a task give their rows once."""
-    mean = counts.mean()
-    rank = np.minimum(np.log2(counts + 1.0) * 1024, 65535).astype(np.uint16)  # rare first, in 1/1024 octaves
-    shared = documents.sparkSession.sparkContext.broadcast((rank, mean))
+def prefixes(documents: DataFrame, ranks, k: int, percent: int, bits: int) -> DataFrame:
+    """(node, nl, tokens): the shingles in each document's prefix, nl = 16 n + l;
+    equal sets within a task give their row once. ``ranks`` is a broadcast of
+    ``shingle_ranks``."""
 
     def run(batches):
-        rank, mean = shared.value
+        rank, mean = ranks.value
         hashes, seen = WordHash(), set()
-        names = ["token", "node", "nl"]
         for b in chunks(batches, "text"):
             token, node, nl = [], [], []
             for t in texts(b, "text"):
@@ -153,42 +161,64 @@ def prefixes(documents: DataFrame, counts: np.ndarray, k: int, percent: int, bit
                 slack = len(s) - -(-percent * len(s) // 100)
                 held = np.maximum(np.exp2(r[order] / 1024.0) - 2 - mean, 0)
                 m = choose_matches(held, slack)
-                p = s[order[: slack + m]]
-                token.append(p)
-                node.append(np.full(len(p), v, np.int64))
-                nl.append(np.full(len(p), len(s) * 16 + m, np.int64))
+                token.append(s[order[: slack + m]].view(np.int64))
+                node.append(v)
+                nl.append(len(s) * 16 + m)
             if token:
-                cols = [np.concatenate(x) for x in (token, node, nl)]
-                cols[0] = cols[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(nl, pa.int64()), _lists(token)], ["node", "nl", "tokens"])
+
+    return documents.select(F.col("text").cast("string")).mapInArrow(run, "node long, nl long, tokens array<long>")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, node long, nl long")
+
+def shingle_ranks(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Rarity of each counter in 1/1024 octaves (rare first) and the mean count."""
+    return np.minimum(np.log2(counts + 1.0) * 1024, 65535).astype(np.uint16), float(counts.mean())
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bit filter of the ids (first column, long): says no only to
-    ids that are not among them. It is summed up in one table per task."""
+    """A bit filter of fixed size of the ids (first column, long): says no only
+    to ids that are not among them. Each task fills one filter; the filters are
+    joined block by block on the executors."""
 
     def run(batches):
-        f = np.zeros(FILTER_WORDS * 64, bool)
+        f = np.zeros(FILTER_BYTES * 8, bool)
         for b in batches:
-            u = b.column(0).to_numpy().view(np.uint64)
-            for p in _places(u):
+            for p in _places(b.column(0).to_numpy().view(np.uint64)):
                 f[p] = True
-        words = np.packbits(f, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at])], ["w", "bits"])
+        parts = np.packbits(f, bitorder="little").reshape(-1, FILTER_BLOCK)
+        full = np.flatnonzero(parts.any(axis=1))
+        yield _blocks_of(full.tolist(), [parts[i] for i in full])
+
+    def join(batches):
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("block").to_pylist(), b.column("bits").to_pylist()):
+                v = np.frombuffer(x, np.uint8)
+                out[k] = out[k] | v if k in out else v
+        yield _blocks_of(list(out), list(out.values()))
+
+    kind = "block int, bits binary"
+    rows = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(run, kind).repartition(8, "block").mapInArrow(join, kind)
+    got = rows.toArrow()  # at most FILTER_BYTES
+    out = np.zeros(FILTER_BYTES, np.uint8)
+    for k, x in zip(got.column("block").to_pylist(), got.column("bits").to_pylist()):
+        out[k * FILTER_BLOCK : (k + 1) * FILTER_BLOCK] = np.frombuffer(x, np.uint8)
+    return out
 
-    rows = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_WORDS, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+
+def _blocks_of(block: list[int], bits: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], ["block", "bits"])
 
 
 def _places(u: np.ndarray) -> list[np.ndarray]:
     """The two filter bits of each id."""
     u = mix(u * M1)
-    n = np.uint64(FILTER_WORDS * 64)
+    n = np.uint64(FILTER_BYTES * 8)
     return [(u % n).astype(np.int64), ((u >> np.uint64(20)) * M1 % n).astype(np.int64)]
 
 
@@ -197,15 +227,24 @@ def _maybe(flt: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (a & b).astype(bool)
 
 
-def only(rows: DataFrame, column: str, flt: np.ndarray) -> DataFrame:
-    """Rows whose ``column`` may be in the filter."""
-    shared = rows.sparkSession.sparkContext.broadcast(flt)
+def only_held(entries: DataFrame, flt) -> DataFrame:
+    """(node, nl, pos, token) of the prefix shingles that may be in the broadcast
+    filter; pos is the place in the prefix."""
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(_maybe(shared.value, b.column(column).to_numpy())))
+            lists = b.column("tokens")
+            flat = lists.flatten().to_numpy()
+            keep = _maybe(flt.value, flat)
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), size)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            row, pos = row[keep], pos[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.column("node").to_numpy()[row]), pa.array(b.column("nl").to_numpy()[row]), pa.array(pos, pa.int32()), pa.array(flat[keep])],
+                ["node", "nl", "pos", "token"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return entries.mapInArrow(run, "node long, nl long, pos int, token long")
 
 
 def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -233,11 +272,11 @@ def keep_one_of_each(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int
     return without_ids(documents, groups.where("doc_id <> component_id").select("doc_id"))
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, grams) of the wanted documents (doc_id, node); grams is the sorted
-    set as little-endian 64-bit integers."""
+def sets_of(documents: DataFrame, wanted: DataFrame, flt, k: int) -> DataFrame:
+    """(node, grams) of the wanted documents (doc_id, node), which the broadcast
+    filter of doc_ids lets through; grams is the sorted set as little-endian
+    64-bit integers."""
     src = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    flt = documents.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
 
     def run(batches):
         hashes = WordHash()
@@ -270,18 +309,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.mapInArrow(run, "a long, b long")
 
 
+def shared_prefixes(entries: DataFrame, percent: int, share) -> DataFrame:
+    """(token, node, n, l, cap) of the prefix shingles that several nodes hold;
+    ``cap`` is the node's size without the shingles before this one that nobody
+    else's prefix holds. Rows whose cap is too small for any link are left out."""
+    each = entries.select("node", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    held = materialise(held.select("token"), "jaccard-held")
+    rows = only_held(entries, share(id_filter(held))).join(held, "token")
+    rows = rows.groupBy("node", "nl").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("at"))
+    rows = rows.select("node", F.expr("cast(nl div 16 as int)").alias("n"), F.expr("cast(nl % 16 as int)").alias("l"), F.posexplode("at").alias("before", "at"))
+    rows = rows.select("at.token", "node", "n", "l", F.expr("n - at.pos + before").alias("cap")).where(f"100L * cap >= {percent}L * n")
+    out = materialise(rows, "jaccard-shared")
+    discard(held)
+    return out
+
+
 def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT,
                        bits: int = SKETCH_BITS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``documents``."""
+    with sharing(documents.sparkSession) as share:
+        return _components(documents, k, percent, bits, star_rounds, share)
+
+
+def _components(documents: DataFrame, k: int, percent: int, bits: int, star_rounds: int, share) -> DataFrame:
     rows = materialise(profile(documents, k, bits), "jaccard-rows")
     docs = rows.where("n is not null").select("doc_id", "n", "node")
-    counts = sketch(rows, bits)
-    entries = materialise(prefixes(documents, counts, k, percent, bits), "jaccard-prefix")
-    held = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    held = materialise(held.select("token"), "jaccard-held")
-    shared = only(entries, "token", id_filter(held)).join(held, "token").distinct()
-    shared = materialise(shared.select("token", "node", F.expr("cast(nl div 16 as int)").alias("n"), F.expr("cast(nl % 16 as int)").alias("l")), "jaccard-shared")
-    discard(entries, held)
+    entries = materialise(prefixes(documents, share(shingle_ranks(sketch(rows, bits))), k, percent, bits), "jaccard-prefix")
+    shared = shared_prefixes(entries, percent, share)
+    discard(entries)
     reps = materialise(docs.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-reps")
 
     size = F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
@@ -290,25 +346,30 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
     after = lambda n, m: F.expr(f"({percent}L * {n} + 99) div 100 - {m}")
     rest = F.greatest(after("n", "l"), after("pn", "pl"))
     need = F.expr(f"({percent}L * (n + pn) + {99 + percent}) div {100 + percent}")
+    able = F.least("cap", "pcap") >= need
+    partner = lambda *more: [F.col(c).alias(p) for c, p in (("node", "pivot"), ("n", "pn"), ("l", "pl"), ("cap", "pcap"), ("c", "pc"))] + list(more)
     links, component, tried, sets, have = None, None, None, None, None
     for r in range(star_rounds + 1):
         cur = shared
         if component is not None:
             cur = cur.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            open_ = cur.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-            cur = materialise(cur.join(open_, "token"), "jaccard-open")
+            held = cur.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
+                F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+            cur = materialise(cur.join(held, "token"), "jaccard-open")
         else:
             cur = cur.withColumn("c", F.col("node"))
         if r < star_rounds:
-            other = cur.groupBy("token").agg(F.min(F.struct(
-                F.xxhash64("node", F.lit(r)).alias("o"), F.col("node").alias("pivot"), F.col("n").alias("pn"),
-                F.col("l").alias("pl"), F.col("c").alias("pc"))).alias("p")).select("token", "p.*").drop("o")
-            differ = F.col("c") != F.col("pc")
+            # The pivot of a shingle: least of its own in the first round, by hash later.
+            own = (F.col("n") - F.col("cap")) / F.col("n") if r == 0 else F.lit(0.0)
+            other = cur.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(r)).alias("o"), *partner())).alias("p"))
+            other = other.select("token", "p.*").drop("own", "o")
+            mine, differ = cur, F.col("c") != F.col("pc")
         else:
-            other = cur.select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("c").alias("pc"))
-            differ = F.col("c") < F.col("pc")
+            other = cur.select("token", *partner(F.col("main").alias("pmain")))
+            mine = cur.where("c <> main")
+            differ = (F.col("c") != F.col("pc")) & ((F.col("pc") == F.col("pmain")) | (F.col("c") < F.col("pc")))
         pairs = (
-            cur.join(other, "token").where(differ & size)
+            mine.join(other, "token").where(differ & size & able)
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.least("l", "pl").alias("least"), rest.alias("rest"), need.alias("need"))
             .groupBy("a", "b").agg(F.count("*").alias("common"), F.max("least").alias("least"), F.max("rest").alias("rest"), F.max("need").alias("need"))
             .where("common >= least and common + rest >= need").select("a", "b")
@@ -320,13 +381,15 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
         if have is not None:
             nodes = nodes.join(have, "node", "left_anti")
         wanted = materialise(reps.join(nodes, "node").select("doc_id", "node"), "jaccard-wanted")
-        more = materialise(sets_of(documents, wanted, k), "jaccard-sets")
+        more = materialise(sets_of(documents, wanted, share(id_filter(wanted.select("doc_id"))), k), "jaccard-sets")
         sets = more if sets is None else sets.unionByName(more)
         have = wanted.select("node") if have is None else have.union(wanted.select("node"))
         found = materialise(verified(pairs, sets, percent), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         component = materialise(connected_components(links, "a", "b"), "jaccard-component")
+        if r:
+            discard(cur)
 
     named = materialise(reps.join(component, "node", "left").select(
         "node", F.coalesce("component", "node").alias("c"), "doc_id"), "jaccard-named")

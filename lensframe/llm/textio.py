@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +37,30 @@ def texts(batch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to the executors; SparkFiles.get finds it under
+    the name returned."""
+    spark.sparkContext.addFile(path)
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+@contextlib.contextmanager
+def sharing(spark: SparkSession):
+    """A function that broadcasts values; on leaving, all of them are released.
+    For tables that are written before the end, as nothing may read them later."""
+    held = []
+
+    def share(value):
+        held.append(spark.sparkContext.broadcast(value))
+        return held[-1]
+
+    try:
+        yield share
+    finally:
+        for b in held:
+            b.destroy()
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered up to a bounded number of words."""
 
