@@ -5,10 +5,17 @@ line describe its own shape and that of its neighbours; a 2x2 transition matrix
 couples adjacent lines. Document quality is the length-weighted mean of the
 lines' forward-backward marginals, passed through a fitted logistic scale.
 
+The fit's rows are a bounded sample of labelled documents; their line features are
+worked out on the executors, and only these reach the driver.
+
 Cases: a null text counts as empty; an empty text is one empty line (length
-weight 1) and gets a score like any other; repeated rows get equal scores;
-extra columns are ignored; an empty table gives an empty result; without any
-labelled row the prior 0.5 is returned for every document.
+weight 1) and gets a score like any other; a text of many lines takes memory in
+proportion to it in one task; repeated rows get equal scores; a null doc_id is
+never held out, and as it has no label it is not learned from; a doc_id that is
+labelled twice counts with the larger label, one that stands on several rows is
+learned from once, with the smallest text; extra columns are ignored; an empty
+table gives an empty result; without any labelled row the prior 0.5 is returned
+for every document.
 """
 
 from __future__ import annotations
@@ -23,8 +30,6 @@ from .textio import chunks, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
 FIT_ROWS = 4000
-#: Labelled texts longer than this are left out of the fit (scoring takes all).
-FIT_TEXT_BYTES = 20_000
 THRESHOLD = 0.3
 
 _SPACE, _UPPER, _DIGIT, _PUNCT, _SYMBOL, _BANG, _PIPE, _HIGH = range(8)
@@ -49,8 +54,9 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts)
 
 
-def line_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, byte length of each line, and lines per document."""
+def own_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each line by itself, byte length of each line, and lines per
+    document."""
     blob = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
     newline = blob == 10
     ends = np.flatnonzero(newline)
@@ -109,13 +115,25 @@ def line_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         shouted / nw * 2, marked / nw * 2, same_line.astype(float), (length == 0).astype(float),
         (n_words <= 2).astype(float), (blob[np.maximum(ends - 1, 0)] == 46).astype(float),
     ], axis=1)
+    return own, np.maximum(length, 1), lines
+
+
+def with_neighbours(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Own features, those of the lines before and after, and constants."""
+    start_of_doc = np.zeros(len(own), bool)
+    start_of_doc[np.cumsum(lines) - lines] = True
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:] = own[:-1]
     before[start_of_doc] = 0
     after[:-1] = own[1:]
     after[np.concatenate((start_of_doc[1:], [True]))] = 0
-    x = np.concatenate([own, before / 2, after / 2, np.ones((len(own), 1)), start_of_doc[:, None].astype(float)], axis=1)
-    return x, np.maximum(length, 1), lines
+    return np.concatenate([own, before / 2, after / 2, np.ones((len(own), 1)), start_of_doc[:, None].astype(float)], axis=1)
+
+
+def line_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines, byte length of each line, and lines per document."""
+    own, length, lines = own_features(docs)
+    return with_neighbours(own, lines), length, lines
 
 
 def marginals(emit: np.ndarray, lines: np.ndarray, trans: np.ndarray, want_pairs: bool = False):
@@ -167,12 +185,11 @@ def _scaled(mean: np.ndarray, scale) -> np.ndarray:
     return 1 / (1 + np.exp(-(scale[0] * z + scale[1])))
 
 
-def fit(docs: list[bytes], labels: list[int], rounds: int = 150, l2: float = 1e-3) -> dict | None:
+def fit(x: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: list[int], rounds: int = 150, l2: float = 1e-3) -> dict | None:
     """Maximum conditional likelihood by Adam; a line's label is its document's."""
-    if not docs:
+    if not len(lines):
         return None
     y = np.asarray(labels, float)
-    x, length, lines = line_features(docs)
     yl = np.repeat(y, lines)
     start = np.cumsum(lines) - lines
     weight = np.repeat(1 / lines, lines)  # every document counts alike
@@ -182,7 +199,7 @@ def fit(docs: list[bytes], labels: list[int], rounds: int = 150, l2: float = 1e-
     m = v = np.zeros(len(w) + 4)
     for i in range(1, rounds + 1):
         p, pair = marginals(x @ w, lines, t, want_pairs=True)
-        gw = x.T @ ((yl - p) * weight) / len(docs) - l2 * w
+        gw = x.T @ ((yl - p) * weight) / len(lines) - l2 * w
         gt = (seen - pair) / max(1, inner.sum()) * 0.3 - l2 * t
         g = np.concatenate((gw, gt.ravel()))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -200,17 +217,34 @@ def fit(docs: list[bytes], labels: list[int], rounds: int = 150, l2: float = 1e-
     return {"w": w, "t": t, "scale": (max(a, 0.05), b)}
 
 
-def learn(documents: DataFrame, labels: DataFrame, label: str, keep, bound: int, text_bytes: int):
-    """A bounded sample of labelled texts, the first in a hash order of the id."""
-    lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    lab = lab.where(keep).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound)
-    rows = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.octet_length("text") <= text_bytes)
-        .join(F.broadcast(lab), "doc_id").select("doc_id", "text", "y").toPandas()
-        .sort_values(["doc_id", "text"], kind="stable")
-    )
-    return [t.encode() for t in rows["text"]], rows["y"].astype(int).tolist()
+def labelled(documents: DataFrame, labels: DataFrame, label: str, keep, bound: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``bound`` labelled documents, the first in a
+    hash order of the id."""
+    lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
+    lab = lab.groupBy("doc_id").agg(F.max("y").alias("y")).where(keep).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound)
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(lab), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def learn(documents: DataFrame, labels: DataFrame, fit_rows: int) -> dict | None:
+    """The model, from a bounded sample of labelled rows outside the held-out part."""
+
+    def run(batches):
+        for b in chunks(batches, "text", 1 << 20):
+            own, length, lines = own_features(texts(b, "text"))
+            cut = np.cumsum(lines) - lines
+            each = lambda v: [x.astype(np.float32).tobytes() for x in np.split(v, cut[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("y"), pa.array(each(own), pa.binary()), pa.array(each(length), pa.binary())], ["doc_id", "y", "own", "length"])
+
+    rows = labelled(documents, labels, "quality", ~held_out(5, 0), fit_rows)
+    t = rows.mapInArrow(run, "doc_id long, y int, own binary, length binary").toArrow().sort_by("doc_id")
+    if not t.num_rows:
+        return None
+    length = [np.frombuffer(x.as_buffer(), np.float32) for x in t.column("length")]
+    lines = np.array([len(x) for x in length])
+    own = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in t.column("own")]).reshape(int(lines.sum()), -1)
+    return fit(with_neighbours(own, lines), np.concatenate(length), lines, t.column("y").to_pylist())
 
 
 def score(documents: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
@@ -228,18 +262,16 @@ def score(documents: DataFrame, model: dict | None, name: str = "score") -> Data
 
 
 def held_out(modulus: int, rest: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == rest
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == rest, F.lit(False))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that the classifier does not reject, columns as they are."""
-    docs, y = learn(documents, labels, "quality", ~held_out(5, 0), fit_rows, FIT_TEXT_BYTES)
-    return score(documents, fit(docs, y), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    return score(documents, learn(documents, labels, fit_rows), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    docs, y = learn(documents, labels, "quality", ~held_out(5, 0), fit_rows, FIT_TEXT_BYTES)
-    out = score(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs, y))
+    out = score(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), learn(documents, labels, fit_rows))
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
