@@ -8,38 +8,44 @@ exchange by slot range writes a file per shard: fixed-stride binary records in
 slot order. Slot s is in shard ``s // per_shard`` at byte ``s % per_shard *
 stride``, so a reader can start anywhere and resume.
 
-The documents' ids are written to the shared folder first, deflated; a sequence's
+The documents' ids are written to the shared folder first, compressed; a sequence's
 number is that of its row's first sequence in that table plus its place in the
 row, so re-run tasks number alike. The exchange runs in ``passes`` over ranges of
 shards, each taking its shuffle files with it, so that only a part of the ids is
 on the shuffle disks at a time.
 
 Cases: a null text counts as empty; an empty text is one sequence holding only
-the end mark; a null doc_id keeps its sequences; repeated rows are kept; extra
-columns are ignored; an empty table writes no shard and gives an empty result.
+the end mark; a text of any length, also one long run of white space, becomes as
+many sequences as it needs; a null doc_id keeps its sequences; repeated rows are
+kept; extra columns are ignored; an empty table writes no shard and gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensframe.session import materialise, tidy_shuffles, work_path
 
 from .bpe import PATTERN
-from .textio import chunks
+from .textio import chunks, ship
 
 LENGTH = 256
 PER_SHARD = 1 << 16
 KEY = 0x5EED
 ROUNDS = 6
-PASSES = 3
+PASSES = 4
+LEVEL = 3
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -72,22 +78,39 @@ def rank_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_LONG_GAP = re.compile(r"\s{20000,}")
+
+
+def encode(encoder, text: str) -> list[int]:
+    """Ids of a text. The encoder's pattern engine gives up on very long runs of
+    white space; such a run is one piece of the splitting pattern but for its
+    last character, which may begin the next piece, so it is cut out there."""
+    out, at = [], 0
+    for m in _LONG_GAP.finditer(text) if len(text) > 20000 else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoder.encode_ordinary(text[at : m.start()])
+        out += encoder._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
 def document_ids(documents: DataFrame, ranks_path: str, end: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, part, base, n, ids): the n ids of a text and its end mark as
-    deflated little-endian 16-bit integers; base counts the sequences before it
+    compressed little-endian 16-bit integers; base counts the sequences before it
     in the same task's output, which ``part`` names."""
+    name = ship(documents.sparkSession, ranks_path)
 
     def run(batches):
-        enc = rank_encoder(ranks_path)
+        enc, pack = rank_encoder(SparkFiles.get(name)), zstandard.ZstdCompressor(level=LEVEL)
         part, base = TaskContext.get().partitionId(), 0
         for b in chunks(batches, "text", 1 << 20):
             first, n, data = [], [], []
             for t in b.column("text").to_pylist():
-                ids = np.array([*enc.encode_ordinary(t or ""), end], "<u2")
+                ids = np.array([*encode(enc, t or ""), end], "<u2")
                 first.append(base)
                 n.append(len(ids))
                 base += -(-len(ids) // length)
-                data.append(zlib.compress(ids.tobytes(), 1))
+                data.append(pack.compress(ids.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
                 ["doc_id", "part", "base", "n", "ids"])
@@ -122,27 +145,29 @@ def materialise_order(documents: DataFrame, ranks_path: str, end: int, length: i
 
     def pieces(b: pa.RecordBatch, row: np.ndarray, seq: np.ndarray):
         last, raw = -1, b""
-        data = b.column("ids")
+        data, unpack = b.column("ids"), zstandard.ZstdDecompressor()
         for r, k in zip(row.tolist(), seq.tolist()):
             if r != last:
-                last, raw = r, zlib.decompress(data[r].as_py())
+                last, raw = r, unpack.decompress(data[r].as_py())
             yield raw[2 * length * k : 2 * length * (k + 1)]
 
     def moved(lo: int, hi: int):
         def run(batches):
+            pack = zstandard.ZstdCompressor(level=LEVEL)
             for b in batches:
                 row, seq, slot = placed(b)
                 keep = (slot >= lo * per_shard) & (slot < hi * per_shard)
                 row, seq, slot = row[keep], seq[keep], slot[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(slot // per_shard - lo, pa.int32()), pa.array([zlib.compress(x, 1) for x in pieces(b, row, seq)], pa.binary())],
+                    [pa.array(slot), pa.array(slot // per_shard - lo, pa.int32()), pa.array([pack.compress(x) for x in pieces(b, row, seq)], pa.binary())],
                     ["slot", "shard", "ids"])
 
         return run
 
     def records(batches):
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            raw = [zlib.decompress(x) for x in b.column("ids").to_pylist()]
+            raw = [unpack.decompress(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x + pad[len(x) :] for x in raw], pa.binary())], ["record"])
 
     def digest(batches):
@@ -168,9 +193,22 @@ def materialise_order(documents: DataFrame, ranks_path: str, end: int, length: i
                       (F.col("slot") % per_shard * stride).alias("byte_offset"), "ids_crc32"), path
 
 
-def read_shard(data: bytes, length: int, start: int = 0, count: int | None = None) -> np.ndarray:
-    """Records ``start`` onwards of a shard file's bytes, as rows of ids."""
+def shard_files(spark: SparkSession, path: str) -> list[str]:
+    """The file of every shard, in order of the shards: a pass writes one file a
+    shard, and no shard is empty."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        return []
+    passes = sorted(fs.globStatus(hadoop(f"{path}/pass=*")), key=lambda f: int(f.getPath().getName().split("=")[1]))
+    return [f.getPath().toString() for p in passes for f in sorted(fs.globStatus(hadoop(f"{p.getPath()}/part-*")), key=lambda f: f.getPath().getName())]
+
+
+def read_shard(shard: BinaryIO, length: int, start: int = 0, count: int = -1) -> np.ndarray:
+    """Records ``start`` onwards of an open shard file, as rows of ids; only the
+    bytes asked for are read."""
     stride = 2 * length + 1
-    rows = np.frombuffer(data, np.uint8)[start * stride :]
-    rows = rows[: len(rows) // stride * stride].reshape(-1, stride)[:count, :-1]
+    shard.seek(start * stride)
+    data = shard.read(count * stride if count >= 0 else -1)
+    rows = np.frombuffer(data, np.uint8)[: len(data) // stride * stride].reshape(-1, stride)[:, :-1]
     return np.ascontiguousarray(rows).view("<u2")
