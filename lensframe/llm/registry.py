@@ -46,6 +46,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.apply("3-revise", changes(toxic, "words-1", "n_words", -1).unionByName(
         changes(toxic.withColumn("n_new", F.expr("bytes div 6")), "words-1", "n_new", 1)))
     store.apply("2-delete", gone)
+    store.compact()
     return store.totals()
 
 
