@@ -33,7 +33,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from lensframe.session import discard, materialise, work_path
 
-from .textio import chunks
+from .textio import chunks, ship
 
 #: Frequent words compiled into the automaton, and the longest such word.
 LEXICON_WORDS = 150_000
@@ -387,18 +387,28 @@ def publish_lexicon(documents: DataFrame, vocabulary_path: str, words: int = LEX
         if held + r.m > words:
             break
         least, held = r.o, held + r.m
-    top = counts.where(octave >= least).select("word").toPandas()["word"] if held else []
+    top = counts.where(octave >= (least if held else 1 << 20)).select("word")
+    vocabulary = ship(spark, vocabulary_path)
+
+    def compiled(batches):
+        listed = [w.encode() for b in batches for w in b.column("word").to_pylist()]
+        data = compile_lexicon(listed, Vocabulary(SparkFiles.get(vocabulary)))
+        for i in range(0, len(data), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i : i + (1 << 20)]], pa.binary())], ["at", "part"])
+
+    # One task compiles the list, which ``words`` bounds; the driver passes its bytes on.
+    parts = top.repartition(1).mapInArrow(compiled, "at long, part binary").toArrow().sort_by("at")
     discard(counts)
-    data = compile_lexicon([w.encode() for w in top], Vocabulary(vocabulary_path))
+    if not parts.num_rows:  # no word at all, so no task ran
+        parts = pa.table({"part": [compile_lexicon([], Vocabulary(vocabulary_path))]})
     path = work_path(spark, "lexicon") + ".bin"
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    for i in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[i : i + (1 << 20)]))
+    for part in parts.column("part"):
+        out.write(bytearray(part.as_py()))
     out.close()
-    spark.sparkContext.addFile(path)
-    return path.rsplit("/", 1)[-1]
+    return ship(spark, path)
 
 
 def encode_decode(documents: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, keep_ids: bool = False,
@@ -407,12 +417,13 @@ def encode_decode(documents: DataFrame, vocabulary_path: str, words: int = LEXIC
 
     ``keep_ids`` adds the ids themselves; ``carry`` names columns to keep."""
     name = publish_lexicon(documents, vocabulary_path, words)
+    vocabulary = ship(documents.sparkSession, vocabulary_path)
     keep = [c for c in carry if c not in ("doc_id", "text")]
     src = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
     kinds = dict(src.dtypes)
 
     def run(batches):
-        enc = Encoder(Vocabulary(vocabulary_path), Lexicon(SparkFiles.get(name)))
+        enc = Encoder(Vocabulary(SparkFiles.get(vocabulary)), Lexicon(SparkFiles.get(name)))
         for b in chunks(batches, "text", 1 << 20):
             ids, n = enc.encode([t or "" for t in b.column("text").to_pylist()])
             cut = np.concatenate(([0], np.cumsum(n)))
