@@ -179,7 +179,7 @@ def test_sharding(spark, nasty, empty):
 
 
 def test_training_order_round_trip(spark, nasty, empty):
-    from lensframe.llm.training_order import feistel, materialise_order, rank_encoder, read_shard
+    from lensframe.llm.training_order import feistel, materialise_order, rank_encoder, read_shard, shard_files
 
     for n in (1, 2, 3, 100, 1025):
         assert sorted(feistel(np.arange(n), n).tolist()) == list(range(n))
@@ -190,9 +190,11 @@ def test_training_order_round_trip(spark, nasty, empty):
         out, folder = materialise_order(docs, path, 50256, length=16, per_shard=50)
         p = out.toPandas().sort_values("slot")
         assert p.slot.tolist() == list(range(len(p)))
-        files = [f for k in sorted(glob.glob(folder + "/pass=*")) for f in sorted(glob.glob(k + "/part-*"))]
-        ids = np.concatenate([read_shard(open(f, "rb").read(), 16) for f in files])
+        files = [f.removeprefix("file:") for f in shard_files(spark, folder)]
+        assert len(files) == p.shard.nunique()
+        ids = np.concatenate([read_shard(open(f, "rb"), 16) for f in files])
         assert [zlib.crc32(r.tobytes()) for r in ids] == p.ids_crc32.tolist()
+        assert (read_shard(open(files[-1], "rb"), 16, 2, 3) == ids[50 * (len(files) - 1) + 2 :][:3]).all()
         text = {r.doc_id: r.text for r in docs.collect()}
         one = p[p.doc_id == 8] if 8 in text else p[p.doc_id == p.doc_id.iloc[0]]
         one = one.sort_values("seq")
@@ -201,20 +203,45 @@ def test_training_order_round_trip(spark, nasty, empty):
     assert materialise_order(empty, path, 50256)[0].count() == 0
 
 
+GAPS = [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, "a b" + " " * 1_500_000 + "c", " \n" * 700_000 + "x y", "\u2003" * 100_000 + "!"]
+
+
+def test_long_white_space_is_encoded(spark):
+    from lensframe.llm.bpe import Vocabulary, split_words
+    from lensframe.llm.token_counts import counted
+    from lensframe.llm.training_order import encode, materialise_order, rank_encoder
+
+    path = registry.vocabulary_path("byte_bpe_50k.tiktoken")
+    enc, v = rank_encoder(path), Vocabulary(registry.vocabulary_path())
+    want = [[i for w in split_words(t) for i in v.merge(w.encode())] for t in GAPS]
+    assert [encode(enc, t) for t in GAPS] == want
+    d = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(GAPS)], "doc_id long, text string, source string, lang string")
+    assert {r.doc_id: r.n_bpe for r in counted(d, path).collect()} == {i: len(w) for i, w in enumerate(want)}
+    out, _ = materialise_order(d, path, 50256)
+    assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {i: len(w) + 1 for i, w in enumerate(want)}
+
+
 def test_token_counts(spark, tmp_path):
     from lensframe.llm.token_counts import RollupStore, changes, counted
     from lensframe.llm.training_order import rank_encoder
 
     path = registry.vocabulary_path("byte_bpe_50k.tiktoken")
-    d = spark.createDataFrame([(1, "a", "en", "hello world"), (2, "a", "en", None), (3, None, None, "x"), (4, "b", "de", "")], "doc_id long, source string, lang string, text string")
+    d = spark.createDataFrame([(1, "a", "en", "hello world", 3, 4), (2, "a", "en", None, None, None), (3, None, None, "x", 1, 1), (4, "b", "de", "", 0, 0)],
+                              "doc_id long, source string, lang string, text string, tokens long, sign long")
     c = counted(d, path)
     s = RollupStore(spark, str(tmp_path / "store"))
-    assert s.totals().count() == 0
+    assert s.totals().count() == 0 and not s.compact()
     assert s.apply("1", changes(c, "t", "n_bpe", 1)) and not s.apply("1", changes(c, "t", "n_bpe", 1))
-    s.apply("2", changes(c.where("doc_id = 1"), "t", "n_bpe", -1))
+    assert s.apply("2/x=y %", changes(c.where("doc_id = 1"), "t", "n_bpe", -1))
+    assert not s.apply("2/x=y %", changes(c.where("doc_id = 1"), "t", "n_bpe", -1))
     s.apply("3", changes(c.limit(0), "t", "n_bpe", 1))
-    got = {(r.source, r.lang): (r.documents, r.tokens, r.bytes) for r in s.totals().collect()}
-    assert got == {("a", "en"): (1, 0, 0), (None, None): (1, len(rank_encoder(path).encode_ordinary("x")), 1), ("b", "de"): (1, 0, 0)}
+    want = {("a", "en"): (1, 0, 0), (None, None): (1, len(rank_encoder(path).encode_ordinary("x")), 1), ("b", "de"): (1, 0, 0)}
+    rows = lambda: {(r.source, r.lang): (r.documents, r.tokens, r.bytes) for r in s.totals().collect()}
+    assert rows() == want
+    assert s.compact() and rows() == want and not s.apply("1", changes(c, "t", "n_bpe", 1))
+    assert s.apply("4", changes(c.where("doc_id = 3"), "t", "n_bpe", -1)) and rows()[None, None] == (0, 0, 0)
+    assert len(s._live()[0]) == 2  # the snapshot and the batch after it
+    assert not s._mark("batches/b-1", ["another"])  # a second writer of a batch comes too late
 
 
 def test_token_count_query_equals_recount(spark):
@@ -254,23 +281,77 @@ def test_licenses_equal_brute_force(spark, nasty, empty):
     assert license_matches(nasty).count() == 0 and license_matches(empty).count() == 0
 
 
-def test_leaks_equal_brute_force(spark, nasty, empty):
-    from lensframe.llm.decontaminate import item_words, lcs_length, leaks
+def brute_leaks(docs, bench):
+    """All (doc, item) pairs that pass the rules in some region: three quarters of
+    the item's words in order, or half of them and the whole answer."""
+    from lensframe.llm.decontaminate import HALF, answer_words, item_words, lcs_length, reach
 
-    b = {r.item_id: item_words(r.text) for r in table(spark, SF, "benchmark").collect()}
-    want = set()
-    for r in table(spark, SF, "documents").collect():
-        words = item_words(r.text)
+    def holds(words, run):
+        return any(words[i : i + len(run)] == run for i in range(len(words) - len(run) + 1)) if run else False
+
+    items = [(i, item_words(t), answer_words(t)) for i, t in bench]
+    found = set()
+    for d, t in docs:
+        words = item_words(t)
         have = set(words)
-        for i, w in b.items():
-            if sum(x in have for x in w) >= 0.75 * len(w):
-                best = max(lcs_length(w, words[k : k + 144]) for k in range(0, max(1, len(words) - 72), 32))
-                if best >= 0.9 * len(w):
-                    want.add((r.doc_id, i))
-    got = {(r.doc_id, r.item_id) for r in registry.op6_decontaminate(spark, SF).collect()}
-    assert len(got & want) >= 0.9 * len(want) and want
-    assert {i for i, _ in got} - {i for i, _ in want} == set()
-    bench = spark.createDataFrame([(1, ROWS[0][1]), (2, None), (3, "")], "item_id long, text string")
+        for i, item, answer in items:
+            if not item or sum(w in have for w in item) < 0.5 * len(item):
+                continue
+            before, after = reach(len(item))
+            for h in range(0, max(1, len(words) // HALF + 1)):
+                region = words[max(0, h * HALF - before) : h * HALF + after]
+                near = set(region)
+                if sum(w in near for w in item) < 0.5 * len(item):
+                    continue
+                share = lcs_length(item, region) / len(item)
+                if share >= 0.75 or share >= 0.5 and holds(region, answer):
+                    found.add((d, i))
+                    break
+    return found
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_leaks_equal_brute_force(spark, sf):
+    want = brute_leaks([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()], [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()])
+    got = {(r.doc_id, r.item_id) for r in registry.op6_decontaminate(spark, sf).collect()}
+    assert want and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_leaks_of_paraphrases(spark):
+    """Both rules: items with words replaced, and halves of items with their answer."""
+    from lensframe.llm.decontaminate import answer_words, item_words, leaks
+
+    rng = np.random.default_rng(4)
+    docs = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect() if len(r.text.split()) > 150][:300]
+    bench = [(r.item_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "benchmark").collect()]
+    rows = []
+    for n, text in enumerate(docs):
+        i, t = bench[n % len(bench)]
+        words, answer = [w.decode() for w in item_words(t)], [w.decode() for w in answer_words(t)]
+        body = words[: len(words) - len(answer)] if n % 2 else words
+        body = [f"other{rng.integers(0, 9**6)}" if rng.random() < (0.35 if n % 2 else 0.2) else w for w in body]
+        at = int(rng.integers(0, 120))
+        filler = text.split()
+        rows.append((n, " ".join([*filler[:at], *body, *(answer if n % 2 else []), *filler[at:]])))
+    want = brute_leaks(rows, bench)
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(want) > 200 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_leaks_of_common_items_and_long_texts(spark, nasty, empty):
+    from lensframe.llm.decontaminate import leaks
+
+    one = "Which of the seven lanterns burned longest in the harbour of the northern town? The green lantern of the old keeper."
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    copies = spark.createDataFrame([(i, one) for i in range(40)], "doc_id long, text string")
+    assert {r.doc_id for r in leaks(copies, bench).collect()} == set(range(40))
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = [(1, long + " " + one + " " + long), (2, long), (None, one)]
+    assert {r.doc_id for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {1, None}
+    blocks = spark.createDataFrame([(i, f"item number {i} asks about thing{i} and place{i} in year{i} or city{i}. The answer is name{i} of house{i}.") for i in range(60)], "item_id long, text string")
+    docs = blocks.selectExpr("item_id as doc_id", "concat('some words before it ', text, ' and some after') as text")
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, blocks, block_items=7).collect()} >= {(i, i) for i in range(60)}
+    bench = spark.createDataFrame([(1, ROWS[0][1]), (2, None), (3, ""), (4, "?! ...")], "item_id long, text string")
     assert {r.doc_id for r in leaks(nasty, bench).collect()} == {1, 2}
     assert leaks(empty, bench).count() == 0 and leaks(nasty, bench.limit(0)).count() == 0
 
@@ -299,17 +380,89 @@ def test_classifiers_hold_out(spark, name, label, least):
 
 
 def test_classifier_edge_cases(nasty, empty, labels):
-    from lensframe.llm.quality import keep_good, quality_scores
+    from pyspark.sql import functions as F
+
+    from lensframe.llm.quality import keep_good, labelled, quality_scores
     from lensframe.llm.toxicity import keep_civil, toxicity_scores
 
+    assert labelled(nasty.unionByName(nasty).unionByName(nasty), labels, "toxic", F.lit(True), 3).count() <= 3  # rows, not labels, are bounded
     for f, keep in ((quality_scores, keep_good), (toxicity_scores, keep_civil)):
         got = f(nasty, labels).collect()
+        assert not any(r.held_out is None for r in got)
         assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
         assert f(nasty, labels.limit(0)).select("score").distinct().collect()[0].score == 0.5
         assert f(empty, labels).count() == 0
         assert keep(nasty, labels).columns == nasty.columns
 
 
+def _texts_of_pairs(n, seed):
+    """Toxic: an insult together with a group it is aimed at; insults alone, groups
+    alone and the other combinations are clean, so no sum of word weights can tell."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"filler{x}" for x in rng.integers(0, 300, 20)] + [("zarg", "blotz")[a], ("norrians", "veldish")[b]]
+        rows.append((int(i), " ".join(rng.permutation(words)), int(a == b)))
+    return rows
+
+
+def test_toxicity_learns_pairs_that_no_linear_model_can(spark):
+    from lensframe.llm import toxicity
+
+    known: dict = {}
+    train, test = _texts_of_pairs(1200, 1), _texts_of_pairs(400, 2)
+    m = toxicity.fit([toxicity.text_terms(t.encode(), known) for _, t, _ in train], [y for *_, y in train])
+    y = np.array([y for *_, y in test])
+
+    def accuracy(model):
+        return ((toxicity.scores([t.encode() for _, t, _ in test], toxicity.Terms(model["kept"]), model) >= 0.5) == y).mean()
+
+    assert accuracy(m) > 0.95
+    assert accuracy({**m, "v": np.zeros_like(m["v"])}) < 0.7
+
+
+def test_toxicity_scores_equal_the_formula(spark):
+    """The query's scores against the sum over all pairs, written out."""
+    from itertools import combinations
+
+    from lensframe.llm import toxicity
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in _texts_of_pairs(300, 3)] + [(1000, ""), (1001, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in _texts_of_pairs(300, 3)], "doc_id long, toxic int")
+    m = toxicity.learn(docs, labels, 9000)
+    place, known = {int(t): i for i, t in enumerate(m["kept"])}, {}
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for r in docs.collect():
+        at = [place[t] for t in toxicity.text_terms((r.text or "").encode(), known).tolist() if t in place]
+        z = m["b"] + sum(float(m["w"][i]) for i in at) + sum(float(m["v"][i] @ m["v"][j]) for i, j in combinations(at, 2))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_quality_scores_equal_enumeration(spark):
+    """The query's scores against the sum over all labellings of the lines."""
+    from itertools import product
+
+    from lensframe.llm import quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    m = quality.learn(docs, table(spark, sf, "labels"), quality.FIT_ROWS)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, table(spark, sf, "labels")).collect()}
+    some = [r for r in docs.orderBy("doc_id").collect() if r.text.count("\n") < 9][:40]
+    assert len(some) == 40
+    for r in some:
+        x, length, lines = quality.line_features([r.text.encode()])
+        e, n, total, one = x @ m["w"], int(lines[0]), 0.0, np.zeros(int(lines[0]))
+        for y in product((0, 1), repeat=n):
+            s = np.exp(sum(e[i] * y[i] for i in range(n)) + sum(m["t"][y[i], y[i + 1]] for i in range(n - 1)))
+            total, one = total + s, one + s * np.array(y)
+        p = np.clip(((one / total) * length).sum() / length.sum(), 1e-6, 1 - 1e-6)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(m["scale"][0] * np.log(p / (1 - p)) + m["scale"][1]))), abs=1e-4)
+
+
 def test_marginals_against_enumeration():
     from itertools import product
 
@@ -332,13 +485,40 @@ def test_marginals_against_enumeration():
 
 
 def test_pipeline_equals_its_stages_by_hand(spark):
+    """Every stage's decisions, worked out apart from the pipeline."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from lensframe.llm import quality, toxicity
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    m = quality.learn(docs, labels, quality.FIT_ROWS)
+    left = {i for i, t in text.items() if quality.document_scores([t.encode()], m)[0] >= 0.3}
+    kept = docs.where(docs.doc_id.isin(sorted(left)))
+    m = toxicity.learn(kept, labels, toxicity.FIT_ROWS)
+    terms = toxicity.Terms(m["kept"])
+    left = {i for i in left if toxicity.scores([text[i].encode()], terms, m)[0] < 0.3}
+    left = {i for i, c in brute_components([(i, text[i]) for i in left], 5, 80).items() if c[1] == i}
+    want = left - {i for i, _ in brute_leaks([(i, text[i]) for i in left], [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])}
+    assert 20 < len(want) < len(left) < len(text)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(got) == want
+    t = Tokenizer.from_file(registry.vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    for i in want:
+        ids = t.encode(text[i], add_special_tokens=False).ids
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(text[i].encode()).hexdigest()
+
+
+def test_pipeline_stages_on_odd_tables(spark, nasty, empty):
     import corpus_pipeline
 
-    docs = table(spark, SF, "documents")
-    q = {r.doc_id for r in registry.op8_quality(spark, SF).collect() if r.predicted == 1}
-    got = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got and got <= q
-    bench = {r.doc_id for r in registry.op6_decontaminate(spark, SF).collect()}
-    assert not got & bench
-    kept = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in got]
-    assert all(c[1] == i for i, c in brute_components(kept).items())
+    for docs in (nasty, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == nasty.columns, name
+            assert out.count() <= docs.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
