@@ -6,7 +6,8 @@ couples adjacent lines. Document quality is the length-weighted mean of the
 lines' forward-backward marginals, passed through a fitted logistic scale.
 
 The fit's rows are a bounded sample of labelled documents; their line features are
-worked out on the executors, and only these reach the driver.
+worked out where the rows are, one task fits the model on them, and only the model
+reaches the driver.
 
 Cases: a null text counts as empty; an empty text is one empty line (length
 weight 1) and gets a score like any other; a text of many lines takes memory in
@@ -20,6 +21,9 @@ for every document.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -237,14 +241,26 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int) -> dict | None
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("y"), pa.array(each(own), pa.binary()), pa.array(each(length), pa.binary())], ["doc_id", "y", "own", "length"])
 
+    def model(t: pa.Table) -> dict | None:
+        length = [np.frombuffer(x.as_buffer(), np.float32) for x in t.column("length")]
+        lines = np.array([len(x) for x in length])
+        own = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in t.column("own")]).reshape(int(lines.sum()), -1)
+        return fit(with_neighbours(own, lines), np.concatenate(length), lines, t.column("y").to_pylist())
+
     rows = labelled(documents, labels, "quality", ~held_out(5, 0), fit_rows)
-    t = rows.mapInArrow(run, "doc_id long, y int, own binary, length binary").toArrow().sort_by("doc_id")
-    if not t.num_rows:
-        return None
-    length = [np.frombuffer(x.as_buffer(), np.float32) for x in t.column("length")]
-    lines = np.array([len(x) for x in length])
-    own = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in t.column("own")]).reshape(int(lines.sum()), -1)
-    return fit(with_neighbours(own, lines), np.concatenate(length), lines, t.column("y").to_pylist())
+    return fitted(rows.mapInArrow(run, "doc_id long, y int, own binary, length binary"), model)
+
+
+def fitted(rows: DataFrame, model: Callable[[pa.Table], dict | None]) -> dict | None:
+    """The model of the rows, fitted by one task; their number is bounded. The rows
+    are put in order first, so a task that runs again gives the same model."""
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model(t.sort_by("doc_id")))], pa.binary())], ["model"])
+
+    got = rows.repartition(1).mapInArrow(lambda b: run(b) if (b := list(b)) else iter(()), "model binary").toArrow()
+    return pickle.loads(got.column("model")[0].as_py()) if got.num_rows else None
 
 
 def score(documents: DataFrame, model: dict | None, name: str = "score") -> DataFrame:

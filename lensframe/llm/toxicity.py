@@ -13,7 +13,8 @@ the matrix is never built). The factors begin along these directions, and weight
 and factors are refined together by AdaGrad.
 
 The fit's rows are a bounded sample of labelled documents; their terms are worked
-out on the executors, and only these reach the driver.
+out where the rows are, one task fits the model on them, and only the model reaches
+the driver.
 
 Cases: a null text counts as empty; an empty text has no terms and gets the
 bias alone; a text of any length is one set of terms; repeated rows get equal
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import held_out, labelled
+from .quality import fitted, held_out, labelled
 from .textio import chunks, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
@@ -113,9 +114,24 @@ def _sum_rows(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 def raw_scores(flat: np.ndarray, n: np.ndarray, m: dict) -> np.ndarray:
     """Scores before the sigmoid; ``flat`` holds the texts' terms one after
     another, ``n`` their numbers."""
-    v = m["v"][flat]
-    s = _sum_rows(v, n)
-    return m["b"] + _sum_rows(m["w"][flat], n) + 0.5 * ((s * s).sum(1) - _sum_rows((v * v).sum(1), n))
+    out = np.empty(len(n), np.float32)
+    for rows, part in _blocks(n):
+        at, k = flat[part], n[rows]
+        v = m["v"][at]
+        s = _sum_rows(v, k)
+        out[rows] = m["b"] + _sum_rows(m["w"][at], k) + 0.5 * ((s * s).sum(1) - _sum_rows((v * v).sum(1), k))
+    return out
+
+
+def _blocks(n: np.ndarray, limit: int = 1 << 17):
+    """Slices of rows, and of their terms, of about ``limit`` terms."""
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        begin = int(ends[i] - n[i])
+        j = max(i + 1, int(np.searchsorted(ends, begin + limit, "right")))
+        yield slice(i, j), slice(begin, int(ends[j - 1]))
+        i = j
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -132,9 +148,10 @@ def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 20, seed: int =
         return None
     y = np.asarray(labels, np.float32)
     ones = float(y.sum())
-    flat, n = _known(rows, np.unique(np.concatenate(rows)))
-    terms = np.unique(np.concatenate(rows))
-    owner = np.repeat(np.arange(len(n)), n)
+    n = np.array([len(r) for r in rows], np.int64)
+    terms, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    flat = flat.astype(np.int32)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
     count = np.bincount(flat, minlength=len(terms))
     one = np.bincount(flat, weights=y[owner], minlength=len(terms))
     gain = np.zeros(len(terms))
@@ -151,7 +168,7 @@ def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 20, seed: int =
 
     def model(keep: np.ndarray):
         m = {"kept": terms[keep].astype(np.int32), "w": np.zeros(int(keep.sum()), np.float32), "v": np.zeros((int(keep.sum()), FACTORS), np.float32), "b": b}
-        place = np.cumsum(keep) - 1
+        place = (np.cumsum(keep) - 1).astype(np.int32)
         k = keep[flat]
         return m, place[flat[k]], np.bincount(owner[k], minlength=len(n))
 
@@ -178,35 +195,35 @@ def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 20, seed: int =
     return m
 
 
-def _known(rows: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows' terms, one row after another, and the rows' lengths."""
-    return np.searchsorted(terms, np.concatenate(rows)).astype(np.int32), np.array([len(r) for r in rows], np.int64)
-
-
 def _pair_directions(flat: np.ndarray, n: np.ndarray, left: np.ndarray, terms: int, rng, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """The leading directions of X' diag(left) X without its diagonal, and their
     values; ``left`` is what the additive part leaves of the labels. Columns are
     centred, so that a term in most texts does not stand for the others' own
     effects; rows weigh by their length, so that long texts do not decide alone."""
     r = (left / np.maximum(n, 1)).astype(np.float32)
-    owner = np.repeat(np.arange(len(n)), n)
-    add = lambda w: np.bincount(flat, weights=w, minlength=terms)
-    mean = add(np.ones(len(flat))) / len(n)
+    mean = np.bincount(flat, minlength=terms) / len(n)
     # Diagonal of the centred matrix: sum of left (x - mean)^2.
-    own = (add(r[owner]) * (1 - 2 * mean) + r.sum() * mean**2).astype(np.float32)
+    own = np.bincount(flat, weights=np.repeat(r, n), minlength=terms)
+    own = (own * (1 - 2 * mean) + r.sum() * mean**2).astype(np.float32)
     mean = mean.astype(np.float32)
     q = rng.normal(size=(terms, FACTORS)).astype(np.float32)
     shift = 0.0  # so that only positive directions lead: factors cannot show others
-    for k in range(rounds + 1):
+    for turned in range(rounds + 1):
         q = np.linalg.qr(q.astype(np.float64))[0].astype(np.float32)
         if q.shape[1] < FACTORS:  # fewer terms than factors
             q = np.concatenate([q, np.zeros((terms, FACTORS - q.shape[1]), np.float32)], axis=1)
-        z = (_sum_rows(q[flat], n) - mean @ q) * r[:, None]
-        g = np.stack([add(z[owner, f]) for f in range(FACTORS)], axis=1).astype(np.float32)
-        g -= mean[:, None] * z.sum(axis=0) + own[:, None] * q
+        g, total, middle = np.zeros((terms, FACTORS), np.float32), np.zeros(FACTORS, np.float32), mean @ q
+        for rows, part in _blocks(n):
+            at, k = flat[part], n[rows]
+            z = (_sum_rows(q[at], k) - middle) * r[rows, None]
+            here, t = np.unique(at, return_inverse=True)
+            each = np.repeat(z, k, axis=0)
+            g[here] += np.stack([np.bincount(t, weights=each[:, f]) for f in range(FACTORS)], axis=1)
+            total += z.sum(axis=0)
+        g -= mean[:, None] * total + own[:, None] * q
         small = q.T.astype(np.float64) @ g
         value, turn = np.linalg.eigh((small + small.T) / 2)
-        if k == rounds:
+        if turned == rounds:
             return q @ turn.astype(np.float32), value
         shift = max(shift, float(np.abs(value).max()))
         q = g + shift * q
@@ -254,8 +271,8 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int) -> dict | None
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(t, pa.binary())], ["doc_id", "y", "terms"])
 
     rows = labelled(documents, labels, "toxic", ~held_out(4, 2), fit_rows)
-    t = rows.mapInArrow(run, "doc_id long, y int, terms binary").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(x.as_buffer(), np.int32) for x in t.column("terms")], t.column("y").to_pylist())
+    return fitted(rows.mapInArrow(run, "doc_id long, y int, terms binary"), lambda t: fit(
+        [np.frombuffer(x.as_buffer(), np.int32) for x in t.column("terms")], t.column("y").to_pylist()))
 
 
 def score(documents: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
