@@ -15,8 +15,11 @@ fixed number of hash counters; a collision only shifts the order, never a result
 Common shingles of two documents that come before a common one in the order lie in
 both prefixes. So a document's size without the shingles before that one that no
 other prefix holds caps the overlap of any pair that meets there, and pairs whose
-caps are below the overlap they need are never formed: this is what keeps a large
-group of copies with many edits each from turning into all its pairs.
+caps are below the overlap they need are never formed. Each set also has a sketch
+of parities: two sets differ in at least as many shingles as their sketches differ
+in bits, so pairs whose sketches differ too much are not formed either. Both tests
+only turn away pairs that cannot link; they are what keeps a large group of copies
+with many edits each from turning into all its pairs.
 
 Equal sets are one node from the start. Linked groups are found without listing
 all their pairs: in each star round every shared shingle compares its holders
@@ -53,6 +56,7 @@ BLOCK = 1 << 14
 #: Longest extension of a prefix.
 MOST_MATCHES = 12
 STAR_ROUNDS = 2
+PARITY_WORDS = 8  # 64-bit words of a parity sketch
 FILTER_BYTES = 4 << 20  # of an id filter
 FILTER_BLOCK = 64 << 10
 
@@ -141,15 +145,15 @@ def choose_matches(held: np.ndarray, slack: int, most: int = MOST_MATCHES) -> in
 
 
 def prefixes(documents: DataFrame, ranks, k: int, percent: int, bits: int) -> DataFrame:
-    """(node, nl, tokens): the shingles in each document's prefix, nl = 16 n + l;
-    equal sets within a task give their row once. ``ranks`` is a broadcast of
-    ``shingle_ranks``."""
+    """(node, nl, tokens, s0, s1, ...): the shingles in each document's prefix,
+    nl = 16 n + l, and its parity sketch; equal sets within a task give their row
+    once. ``ranks`` is a broadcast of ``shingle_ranks``."""
 
     def run(batches):
         rank, mean = ranks.value
         hashes, seen = WordHash(), set()
         for b in chunks(batches, "text"):
-            token, node, nl = [], [], []
+            token, node, nl, odd = [], [], [], []
             for t in texts(b, "text"):
                 s = shingle_set(t, k, hashes)
                 if not len(s) or (v := node_of(s)) in seen:
@@ -164,10 +168,23 @@ def prefixes(documents: DataFrame, ranks, k: int, percent: int, bits: int) -> Da
                 token.append(s[order[: slack + m]].view(np.int64))
                 node.append(v)
                 nl.append(len(s) * 16 + m)
+                odd.append(parities(s))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(nl, pa.int64()), _lists(token)], ["node", "nl", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node, pa.int64()), pa.array(nl, pa.int64()), _lists(token), *(pa.array(c) for c in np.stack(odd, axis=1))],
+                    ["node", "nl", "tokens", *SKETCH])
+
+    return documents.select(F.col("text").cast("string")).mapInArrow(run, f"node long, nl long, tokens array<long>, {_SKETCH_KIND}")
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of the sketch's bits, whether an odd number of shingles falls on it."""
+    bit = (s & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=64 * PARITY_WORDS).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "node long, nl long, tokens array<long>")
+SKETCH = [f"s{i}" for i in range(PARITY_WORDS)]
+_SKETCH_KIND = ", ".join(f"{c} long" for c in SKETCH)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -228,8 +245,8 @@ def _maybe(flt: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def only_held(entries: DataFrame, flt) -> DataFrame:
-    """(node, nl, pos, token) of the prefix shingles that may be in the broadcast
-    filter; pos is the place in the prefix."""
+    """(node, nl, pos, token, sketch) of the prefix shingles that may be in the
+    broadcast filter; pos is the place in the prefix."""
 
     def run(batches):
         for b in batches:
@@ -241,10 +258,10 @@ def only_held(entries: DataFrame, flt) -> DataFrame:
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             row, pos = row[keep], pos[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.column("node").to_numpy()[row]), pa.array(b.column("nl").to_numpy()[row]), pa.array(pos, pa.int32()), pa.array(flat[keep])],
-                ["node", "nl", "pos", "token"])
+                [*(pa.array(b.column(c).to_numpy()[row]) for c in ("node", "nl", *SKETCH)), pa.array(pos, pa.int32()), pa.array(flat[keep])],
+                ["node", "nl", *SKETCH, "pos", "token"])
 
-    return entries.mapInArrow(run, "node long, nl long, pos int, token long")
+    return entries.mapInArrow(run, f"node long, nl long, {_SKETCH_KIND}, pos int, token long")
 
 
 def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -310,16 +327,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_prefixes(entries: DataFrame, percent: int, share) -> DataFrame:
-    """(token, node, n, l, cap) of the prefix shingles that several nodes hold;
+    """(token, node, n, l, cap, sketch) of the prefix shingles that several nodes hold;
     ``cap`` is the node's size without the shingles before this one that nobody
     else's prefix holds. Rows whose cap is too small for any link are left out."""
     each = entries.select("node", F.explode("tokens").alias("token"))
     held = each.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     held = materialise(held.select("token"), "jaccard-held")
     rows = only_held(entries, share(id_filter(held))).join(held, "token")
-    rows = rows.groupBy("node", "nl").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("at"))
-    rows = rows.select("node", F.expr("cast(nl div 16 as int)").alias("n"), F.expr("cast(nl % 16 as int)").alias("l"), F.posexplode("at").alias("before", "at"))
-    rows = rows.select("at.token", "node", "n", "l", F.expr("n - at.pos + before").alias("cap")).where(f"100L * cap >= {percent}L * n")
+    rows = rows.groupBy("node", "nl", *SKETCH).agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("at"))
+    rows = rows.select("node", F.expr("cast(nl div 16 as int)").alias("n"), F.expr("cast(nl % 16 as int)").alias("l"), *SKETCH, F.posexplode("at").alias("before", "at"))
+    rows = rows.select("at.token", "node", "n", "l", F.expr("n - at.pos + before").alias("cap"), *SKETCH).where(f"100L * cap >= {percent}L * n")
     out = materialise(rows, "jaccard-shared")
     discard(held)
     return out
@@ -346,8 +363,9 @@ def _components(documents: DataFrame, k: int, percent: int, bits: int, star_roun
     after = lambda n, m: F.expr(f"({percent}L * {n} + 99) div 100 - {m}")
     rest = F.greatest(after("n", "l"), after("pn", "pl"))
     need = F.expr(f"({percent}L * (n + pn) + {99 + percent}) div {100 + percent}")
-    able = F.least("cap", "pcap") >= need
-    partner = lambda *more: [F.col(c).alias(p) for c, p in (("node", "pivot"), ("n", "pn"), ("l", "pl"), ("cap", "pcap"), ("c", "pc"))] + list(more)
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"p{SKETCH[0]}"))))
+    able = (F.least("cap", "pcap") >= need) & (apart <= F.col("n") + F.col("pn") - 2 * need)
+    partner = lambda *more: [F.col(c).alias(p) for c, p in (("node", "pivot"), ("n", "pn"), ("l", "pl"), ("cap", "pcap"), ("c", "pc"), *((c, f"p{c}") for c in SKETCH))] + list(more)
     links, component, tried, sets, have = None, None, None, None, None
     for r in range(star_rounds + 1):
         cur = shared
