@@ -33,7 +33,7 @@ def track_min_length(observations: DataFrame, least: int) -> DataFrame:
 def rays(observations: DataFrame, cameras: DataFrame) -> DataFrame:
     """Centre and unit world ray of every measurement (pinhole parameters)."""
     o = observations.join(cameras.select("i", "q", "t", "params"), "i")
-    return o.withColumn("d", g.rotate(F.col("q"), g.pixel_ray(F.col("params"), F.col("u"), F.col("v"))))
+    return g.bound(g.bound(o, "_r", g.pixel_ray(F.col("params"), F.col("u"), F.col("v"))), "d", g.rotate(F.col("q"), F.col("_r"))).drop("_r")
 
 
 def track_triangulate(observations: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def reprojection_error(observations: DataFrame, cameras: DataFrame, points: Data
     missing or the point is behind the camera."""
     o = observations.join(cameras.select("i", "q", "t", "model", "params"), "i", "left").join(points.select("track_id", "x", "y", "z"), "track_id", "left")
     p = g.to_camera(F.col("q"), F.col("t"), g.vec(F.col("x"), F.col("y"), F.col("z")))
-    o = o.withColumn("_p", p).withColumn("_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
+    o = g.bound(g.bound(o, "_p", p), "_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
     err = F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2)
     return o.select("track_id", "i", "u", "v", F.col("_p.z").alias("depth"), F.col("_uv.u").alias("pu"), F.col("_uv.v").alias("pv"), err.alias("err"))
 
@@ -86,8 +86,8 @@ def track_triangulate_robust(observations: DataFrame, cameras: DataFrame, limit:
     x = g.scale(g.add(g.add(F.col("c1"), g.scale(F.col("d1"), s1)), g.add(F.col("c2"), g.scale(F.col("d2"), s2))), F.lit(0.5))
     h = p.select("track_id", "i1", "i2", x.alias("X"))
     o = observations.join(cameras.select("i", "q", "t", "model", "params"), "i").join(h, "track_id")
-    uv = g.project(F.col("model"), F.col("params"), g.to_camera(F.col("q"), F.col("t"), F.col("X")))
-    o = o.withColumn("_uv", uv).withColumn("err", F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2))
+    o = g.bound(g.bound(o, "_p", g.to_camera(F.col("q"), F.col("t"), F.col("X"))), "_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
+    o = o.withColumn("err", F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2))
     inl = F.col("err") < limit
     e = o.groupBy("track_id", "i1", "i2").agg(F.first("X").alias("X"), F.count_if(inl).alias("inliers"), F.avg(F.when(inl, F.col("err"))).alias("mean_err"))
     w = Window.partitionBy("track_id").orderBy(F.desc("inliers"), F.asc_nulls_last("mean_err"), "i1", "i2")

@@ -158,10 +158,11 @@ def errors(s, d) -> DataFrame:
     return tracks.reprojection_error(view(s, d, "obs"), cameras(s, d), view(s, d, "points"))
 
 
-@query(f"WITH {REP} SELECT track_id, i, round(depth, 5) AS depth, round(err, 3) AS err FROM rep WHERE err IS NULL OR err < 5000")
+@query(f"WITH {REP} SELECT track_id, i, round(depth, 5) AS depth, CASE WHEN err < 1e6 THEN round(err, 3) END AS err, CASE WHEN err >= 1e6 THEN round(log10(err), 6) END AS log_err FROM rep")
 def reprojection_error(s, d):
-    e = errors(s, d).where("err is null or err < 5000")
-    return e.select("track_id", "i", F.round("depth", 5).alias("depth"), F.round("err", 3).alias("err"))
+    """Errors of points almost in the camera's plane are compared by their logarithm."""
+    e, near = errors(s, d), F.col("err") < 1e6
+    return e.select("track_id", "i", F.round("depth", 5).alias("depth"), F.when(near, F.round("err", 3)).alias("err"), F.when(~near, F.round(F.log10("err"), 6)).alias("log_err"))
 
 
 @query(f"WITH {REP} SELECT track_id, count(*) AS n, coalesce(bool_or(depth < 0), false) AS behind, coalesce(bool_or(err > 300), false) AS far, count(*) FILTER (err IS NULL) AS failed FROM rep GROUP BY track_id")
@@ -197,10 +198,12 @@ def factor_weight_filter(s, d):
     return tracks.factor_weight_filter(o, o.withColumnRenamed("conf", "weight"), 0.2, 2).select("track_id", "i", "k")
 
 
-@query("""SELECT id, x, y, z, CAST(floor(greatest(0, least(1, 0.5 + 0.28209479177387814::DOUBLE * (conf * 4 - 2))) * 255) AS INT) AS r FROM points""")
+@query("""SELECT id, x, y, z, CAST(floor(greatest(0, least(1, 0.5 + 0.28209479177387814::DOUBLE * (conf * 4 - 2))) * 255) AS INT) AS r,
+ CAST(floor(greatest(0, least(1, 0.5 + 0.28209479177387814::DOUBLE * (3 - conf * 5))) * 255) AS INT) AS g,
+ CAST(floor(greatest(0, least(1, 0.5 + 0.28209479177387814::DOUBLE * (z / 6 - 2))) * 255) AS INT) AS b FROM points""")
 def gaussian_to_points(s, d):
-    f = F.col("conf") * 4 - 2
-    return tracks.gaussian_to_points(view(s, d, "points").drop("r", "g", "b").withColumns({"f_r": f, "f_g": f, "f_b": f})).select("id", "x", "y", "z", "r")
+    p = view(s, d, "points").drop("r", "g", "b")
+    return tracks.gaussian_to_points(p.withColumns({"f_r": F.col("conf") * 4 - 2, "f_g": 3 - F.col("conf") * 5, "f_b": F.col("z") / 6 - 2})).select("id", "x", "y", "z", "r", "g", "b")
 
 
 @query("""WITH o AS (SELECT DISTINCT track_id, i FROM obs), r AS (SELECT o.track_id, o.i, p.x - c.tx AS x, p.y - c.ty AS y, p.z - c.tz AS z FROM o JOIN cam c ON o.i = c.i JOIN points p ON o.track_id = p.track_id)
@@ -258,10 +261,12 @@ def normalise_poses(s, d):
     return rounded(scenes.normalise_poses(cameras(s, d)).select("i", "t.x", "t.y", "t.z"))
 
 
-@query("SELECT i, 0 AS vertex, round(tx, 6) AS x, round(ty, 6) AS y, round(tz, 6) AS z FROM cam")
+@query("""WITH r AS (SELECT i, k AS vertex, qw AS w, qx AS a, qy AS b, qz AS c, tx, ty, tz, CASE WHEN k = 0 THEN 0 ELSE 2 * (CASE WHEN k IN (2, 3) THEN 320 ELSE -320 END) / f END AS x,
+ CASE WHEN k = 0 THEN 0 ELSE 2 * (CASE WHEN k >= 3 THEN 240 ELSE -240 END) / f END AS y, CASE WHEN k = 0 THEN 0 ELSE 2 END AS z FROM cam, (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
+r1 AS (SELECT *, b * z - c * y AS cx, c * x - a * z AS cy, a * y - b * x AS cz FROM r)
+SELECT i, vertex, round(tx + x + 2 * w * cx + 2 * (b * cz - c * cy), 6) AS x, round(ty + y + 2 * w * cy + 2 * (c * cx - a * cz), 6) AS y, round(tz + z + 2 * w * cz + 2 * (a * cy - b * cx), 6) AS z FROM r1""")
 def frustum_vertices(s, d):
-    """The apexes are compared; the corners are covered by a unit test."""
-    return rounded(scenes.frustum_vertices(cameras(s, d), 2.0)).where("vertex = 0")
+    return rounded(scenes.frustum_vertices(cameras(s, d), 2.0))
 
 
 @query("SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM points GROUP BY floor(x / 2), floor(y / 2), floor(z / 2)")
@@ -384,11 +389,16 @@ def rotation_angle_err(s, d):
     return metrics.pose_errors(cameras(s, d), cameras(s, d, 0.02)).select("i", F.round("rotation_err", 4).alias("rotation_err"), F.round("position_err", 6).alias("position_err"))
 
 
-@query()
+@query("""WITH e AS (SELECT * FROM cam2 WHERE i % 7 > 0), p AS (SELECT a.i, b.i AS j, a.h - b.h AS h1, CASE WHEN a.i % 7 > 0 AND b.i % 7 > 0 THEN a.h2 - b.h2 END AS h2 FROM
+ (SELECT i, i * 0.37 AS h, i * 0.37 + 0.02 * (i % 5 - 2) AS h2 FROM cam) a JOIN (SELECT i, i * 0.37 AS h, i * 0.37 + 0.02 * (i % 5 - 2) AS h2 FROM cam) b ON a.i < b.i)
+SELECT i, j, round(degrees(abs(h1 - h2)), 4) AS rotation_err FROM p""")
 def relative_pose_errs(s, d):
+    """All pairs of cameras. They turn about one axis, so that angles add up in SQL."""
+    from lensframe.operators.pairs import pairs_exhaustive
+
     c = cameras(s, d)
-    p = c.select("i").crossJoin(c.select(F.col("i").alias("j")).where("j < 40")).where("i < j")
-    return rounded(metrics.relative_pose_errs(p, c, cameras(s, d, 0.02).where("i % 7 > 0")), 4)
+    e = metrics.relative_pose_errs(pairs_exhaustive(c), c, cameras(s, d, 0.02).where("i % 7 > 0"))
+    return rounded(e.select("i", "j", "rotation_err"), 4)
 
 
 @query("""SELECT i, round(0.2, 6) AS f_err, round(20.0 / f, 6) AS f_pct, 0.0::DOUBLE AS cx_err FROM cam""")
@@ -424,9 +434,13 @@ def results_pivot(s, d):
     return rounded(metrics.results_pivot(view(s, d, "metrics"), ["rotation_error", "inlier_ratio"]))
 
 
-@query("SELECT false AS same, count(*) AS cameras FROM images")
+@query("""WITH x AS (SELECT scene_id, i, degrees(abs(0.02 * (i % 5 - 2))) AS r, 0.02 * (i % 3) AS t FROM cam)
+SELECT scene_id, bool_and(r <= 2 AND t <= 1 AND i % 9 <> 5) AS same, count(*) AS cameras FROM x GROUP BY scene_id""")
 def compare_pose_sets(s, d):
-    return metrics.compare_pose_sets(cameras(s, d), cameras(s, d, 0.02).where("i > 0"), 5.0, 1.0)
+    """One comparison a scene; in one of them cameras are missing."""
+    a, b = cameras(s, d), cameras(s, d, 0.02).where("i % 9 <> 5")
+    parts = [metrics.compare_pose_sets(a.where(F.col("scene_id") == k), b.where(F.col("scene_id") == k), 2.0, 1.0).withColumn("scene_id", F.lit(k).cast("long")) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("cameras > 0").select("scene_id", "same", "cameras")
 
 
 @query("SELECT o_custkey AS node, count(*) AS children, count(*) FILTER (o_orderstatus = 'F') AS merged, round(avg(o_totalprice), 4) AS mean_overlap FROM orders GROUP BY o_custkey")

@@ -19,8 +19,8 @@ def rows(df):
 
 
 def test_largest_component(spark):
-    e = edges(spark, (2, 4), (3, 4), (4, 7), (7, 6), (1, 5), (8, 9))
-    assert rows(graph.largest_component(e)) == [(2,), (3,), (4,), (6,), (7,)]
+    e = edges(spark, (10, 11), (20, 25), (25, 21), (21, 29), (30, 31), (11, 12))
+    assert rows(graph.largest_component(e)) == [(20,), (21,), (25,), (29,)]
     assert rows(graph.largest_component(edges(spark).limit(0))) == []
 
 
@@ -31,7 +31,7 @@ def test_components_with_nulls_and_isolated_nodes(spark):
 
 
 def test_triangles(spark):
-    assert rows(graph.triangles(edges(spark, (0, 1), (1, 2), (2, 3), (1, 3), (3, 4)))) == [(1, 2, 3)]
+    assert rows(graph.triangles(edges(spark, (5, 7), (7, 9), (9, 5), (9, 11), (11, 7), (2, 5)))) == [(5, 7, 9), (7, 9, 11)]
 
 
 def test_sequential(spark):
@@ -107,6 +107,26 @@ def test_sampson_of_true_pair_is_zero(spark):
     assert abs(r.e) < 1e-12 and r.r
 
 
+def test_expressions_stay_short(spark):
+    """Vectors used again and again do not copy their whole expressions."""
+    d = spark.range(1).select(*(g.vec(*map(F.lit, (1.0, 2.0, 3.0))).alias(n) for n in "pt"), g.quat(*map(F.lit, (1.0, 0.0, 0.0, 0.0))).alias("q"),
+                              F.array(*map(F.lit, (500.0, 510.0, 320.0, 240.0))).alias("k"))
+    c = g.to_camera(F.col("q"), F.col("t"), F.col("p"))
+    assert len(str(c)) < 5_000
+    f = g.fundamental(g.essential(F.col("q"), F.col("t")), F.col("k"), F.col("k"))
+    assert len(str(f)) < 40_000
+    plan = d.select(g.project(F.lit("PINHOLE"), F.col("k"), c).alias("uv"))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 300_000
+
+
+def test_frustum_corners(spark):
+    c = camera(spark).withColumns({"width": F.lit(640), "height": F.lit(480)}).where("i = 0")
+    got = [tuple(r) for r in scenes.frustum_vertices(c, 2.0).orderBy("vertex").select("x", "y", "z").collect()]
+    x, y = 320 / 500 * 2, 240 / 500 * 2
+    want = [(0, 0, 0), (-x, -y, 2), (x, -y, 2), (x, y, 2), (-x, y, 2)]
+    assert all(a == pytest.approx(b) for a, b in zip(got, want))
+
+
 def test_binary_clusters(spark):
     c = scenes.cluster_binary(spark.range(10).withColumnRenamed("id", "i"), 3)
     got = {r["i"]: r["path"] for r in c.collect()}
