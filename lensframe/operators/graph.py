@@ -10,7 +10,7 @@ from lensframe.session import discard, materialise
 
 def connected_components(
     edges: DataFrame, u: str = "i", v: str = "j", nodes: DataFrame | None = None,
-    max_rounds: int = 60,
+    max_rounds: int = 200,
 ) -> DataFrame:
     """``node, component`` where component is the smallest node reachable.
 
@@ -44,6 +44,8 @@ def connected_components(
             .union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
         discard(cur)
         cur = nxt
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return (
         all_nodes.distinct().join(cur.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
         .select("node", F.coalesce("component", "node").alias("component"))
@@ -159,16 +161,17 @@ def cross_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def overlap_path(edges: DataFrame, source: int, targets: DataFrame, inside: DataFrame, max_rounds: int = 50) -> DataFrame:
+def overlap_path(edges: DataFrame, source: int, targets: DataFrame, inside: DataFrame) -> DataFrame:
     """Cheapest distance from a node to the targets: fewest nodes outside
-    ``inside`` first, then fewest hops; a relaxation round per hop."""
+    ``inside`` first, then fewest hops; a relaxation round per hop, until no
+    distance falls (each falls finitely often, so this ends)."""
     both = edges.select("i", "j").union(edges.select("j", "i")).distinct()
     cost = both.join(inside.select(F.col(inside.columns[0]).alias("j"), F.lit(0).alias("o")), "j", "left").select("i", "j", F.coalesce("o", F.lit(1)).alias("o"))
     cost = materialise(cost, "path-cost")
     spark = edges.sparkSession
     best = spark.createDataFrame([(source, 0, 0)], "node long, outside int, hops int")
-    front, done = best, 0
-    for _ in range(max_rounds):
+    front = best
+    while True:
         step = front.join(cost, F.col("node") == F.col("i")).groupBy(F.col("j").alias("node")).agg(
             F.min(F.struct((F.col("outside") + F.col("o")).alias("outside"), (F.col("hops") + 1).alias("hops"))).alias("c")).select("node", "c.*")
         nxt = best.unionByName(step).groupBy("node").agg(F.min(F.struct("outside", "hops")).alias("c")).select("node", "c.*")

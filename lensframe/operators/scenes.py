@@ -134,12 +134,27 @@ def near_camera_points(points: DataFrame, cameras: DataFrame, radius: float) ->
     return points.join(hit, "id", "left_semi")
 
 
-def knn_points(points: DataFrame, others: DataFrame, k: int, size: float, max_rounds: int = 12) -> DataFrame:
-    """(id, other, d) of the k nearest others (another id). Grid search: a point
-    is settled once its k-th distance is within the ring searched; the cell
-    doubles for those that are not, until a cell spans the cloud."""
-    todo, out, r = points.select("id", "x", "y", "z"), None, size
-    for n in range(max_rounds):
+def knn_points(points: DataFrame, others: DataFrame, k: int, size: float) -> DataFrame:
+    """(id, other, d, rank) of the k nearest others (another id); all of them where
+    there are fewer. Grid search: a point is settled once its k-th distance is
+    within the ring searched; the cell grows for those that are not, until it
+    spans both clouds, so every point is settled. The first cell is ``size`` or,
+    if that is less, what holds about k points at the clouds' mean density. Rows
+    with a null or non-finite coordinate take no part."""
+    from lensframe.session import materialise
+
+    ok = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz")
+    points, others = points.where(ok), others.where(ok)
+    both = points.select("x", "y", "z").union(others.select("x", "y", "z")).agg(
+        F.count("*").alias("n"), *(f(c).alias(f"{a}{c}") for c in "xyz" for a, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not both.n:
+        return points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
+    side = [both[f"hi{c}"] - both[f"lo{c}"] for c in "xyz"]
+    span = max(*side, size)
+    r = min(size, (max(side[0], 1e-9) * max(side[1], 1e-9) * max(side[2], 1e-9) * k / both.n) ** (1 / 3))
+    r = max(r, span / 2**20)
+    todo, out, n = points.select("id", "x", "y", "z"), None, 0
+    while True:
         cell = lambda c: F.floor(c / r).cast("long")  # noqa: B023, E731
         a = todo
         for c in "xyz":
@@ -150,19 +165,17 @@ def knn_points(points: DataFrame, others: DataFrame, k: int, size: float, max_ro
         near = a.join(b, ["cx", "cy", "cz"]).where("id <> other").withColumn("d", d)
         w = Window.partitionBy("id").orderBy("d", "other")
         near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        last = n == max_rounds - 1
+        last = r >= span
         done = near if last else near.withColumn("_m", F.max("rank").over(Window.partitionBy("id"))).withColumn("_d", F.max("d").over(Window.partitionBy("id"))).where(
             (F.col("_m") == k) & (F.col("_d") <= r))
         done = done.select("id", "other", "d", "rank")
-        from lensframe.session import materialise
-
         done = materialise(done, "knn")
         out = done if out is None else out.unionByName(done)
         todo = materialise(todo.join(done.select("id").distinct(), "id", "left_anti"), "knn-todo")
-        if todo.isEmpty():
-            break
-        r *= 2
-    return out
+        if last or todo.isEmpty():
+            return out
+        n += 1
+        r = min(r * (2 if n < 3 else 4), span)
 
 
 def cloud_nn_distance(a: DataFrame, b: DataFrame, size: float) -> DataFrame:

@@ -1,13 +1,14 @@
 """Sessions and the shared working folder.
 
 Operators that cut lineage write Parquet under the folder that the session
-names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-is a temporary folder chosen.
+names in ``spark.checkpoint.dir``; only where that is unset and Spark runs in one
+local process (tests, a laptop) is a temporary folder chosen.
 """
 
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver see."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         d = tempfile.mkdtemp(prefix="lensframe-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d

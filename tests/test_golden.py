@@ -135,6 +135,23 @@ def test_binary_clusters(spark):
     assert [r["owner"] for r in e.orderBy("i").collect()] == [[0, 0], []]
 
 
+def test_nearest_points_of_outliers(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.1, 0.0, 0.0), (3, 50_000.0, 0.0, 0.0), (4, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    got = {(r["id"], r["rank"]): r["other"] for r in scenes.knn_points(p, p, 2, 0.5).collect()}
+    assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
+    assert scenes.knn_points(p.limit(0), p.limit(0), 2, 0.5).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lensframe import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake)
+
+
 def test_zero_inliers_pass_unless_strict(spark):
     r = spark.createDataFrame([(0, 1.0), (3, 1.0), (30, 0.1), (30, 1.0)], "n_inliers long, ratio double")
     assert [x["failure"] for x in pairs.inlier_support(r, 15, 0.2).collect()] == [None, "inliers", "ratio", None]
