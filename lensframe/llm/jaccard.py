@@ -41,7 +41,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensframe.operators.graph import connected_components
@@ -264,12 +264,14 @@ def only_held(entries: DataFrame, flt) -> DataFrame:
     return entries.mapInArrow(run, f"node long, nl long, {_SKETCH_KIND}, pos int, token long")
 
 
-def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``documents`` without the doc_ids in ``ids`` (its first column). Rows that
-    the bit filter clears stay where they are; only the others are joined."""
+def without_ids(documents: DataFrame, ids: DataFrame, key: Column | None = None) -> DataFrame:
+    """``documents`` without the rows whose key (their doc_id, if none is given) is
+    in ``ids`` (its first column); rows of a null key stay. Rows that the bit filter
+    clears stay where they are; only the others are joined."""
     gone = ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).where("_gone is not null").distinct()
     shared = documents.sparkSession.sparkContext.broadcast(id_filter(gone))
-    keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    own = F.col("doc_id").cast("long") if key is None else key
+    keyed = documents.withColumn("_own", own).withColumn("_key", F.coalesce("_own", F.lit(0).cast("long")))
 
     def mark(wanted: bool):
         def run(batches):
@@ -278,8 +280,8 @@ def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
         return keyed.mapInArrow(run, keyed.schema)
 
-    rest = mark(True).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return mark(False).unionByName(rest).drop("_key")
+    rest = mark(True).join(gone, F.col("_own") == F.col("_gone"), "left_anti")
+    return mark(False).unionByName(rest).drop("_key", "_own")
 
 
 def keep_one_of_each(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
