@@ -11,9 +11,13 @@ of at least ``collision``. Each candidate is verified by exact containment: the
 share of the template's shingles within the window.
 
 A band can only agree where the window holds the template's own minimal shingle,
-so windows without any template shingle are not hashed: same result, less work.
+so windows without any template shingle are not hashed: the bands would find
+nothing there (``scan_text`` without the table of shingles hashes every window, and
+a test holds both against each other).
 
-Cases: null or short texts (below five words) have no shingles and match nothing;
+Cases: null or short texts (below five words) have no shingles and match nothing; a
+text of any length is scanned whole, window by window; a null doc_id is reported
+with a null;
 templates below five words are refused; a template found in several places gives
 one row with the number of windows and the best containment; repeated rows are
 each reported; extra columns are ignored; empty tables give an empty result.
@@ -39,8 +43,43 @@ COLLISION = 0.999
 CLASSES = (8, 16, 64, 256, 1024)
 _OUTER = bytes(c for c in range(128) if not chr(c).isalnum())
 
-#: Common licence notices.
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software. ")
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+    "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. ")
+
+#: Common licence notices, and whole short licences.
 TEMPLATES = {
+    "mit": _GRANT + "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-clause": _CLAUSES + _AS_IS,
+    "bsd-3-clause": _CLAUSES + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. " + _AS_IS,
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+    "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+    "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+    "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+    "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+    "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express "
+    "or implied. See the License for the specific language governing permissions and limitations under the License.",
     "mit-short": "Released under the MIT License.",
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
@@ -111,10 +150,11 @@ def compile_templates(templates: dict[str, str], rows: int = ROWS) -> list[dict]
     return made
 
 
-def scan_text(words: np.ndarray, classes: list[dict], every: np.ndarray, rows: int, containment: float) -> dict[str, list]:
-    """name -> [best containment, windows, first word] for one text."""
+def scan_text(words: np.ndarray, classes: list[dict], every: np.ndarray | None, rows: int, containment: float) -> dict[str, list]:
+    """name -> [best containment, windows, first word] for one text; ``every`` holds
+    the templates' shingles in order, None hashes all windows."""
     grams = shingle_hashes(words, WORDS) if len(words) >= WORDS else np.zeros(0, np.uint64)
-    known = np.flatnonzero(every[np.searchsorted(every, grams).clip(0, len(every) - 1)] == grams) if len(grams) else []
+    known = np.arange(len(grams)) if every is None else np.flatnonzero(every[np.searchsorted(every, grams).clip(0, len(every) - 1)] == grams) if len(grams) else []
     found: dict[str, list] = {}
     if not len(known):
         return found

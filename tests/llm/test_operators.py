@@ -281,6 +281,34 @@ def test_licenses_equal_brute_force(spark, nasty, empty):
     assert license_matches(nasty).count() == 0 and license_matches(empty).count() == 0
 
 
+def test_license_bands_retrieve_by_themselves(spark):
+    """Windows all hashed give what the shingle table gives; and of the documents
+    that hold 80 to 100 % of a template's shingles the bands miss next to none."""
+    from lensframe.llm.licenses import CONTAINMENT, ROWS as BAND_ROWS, TEMPLATES, Words, compile_templates, scan_text
+    from lensframe.llm.textio import shingle_hashes
+
+    classes, w = compile_templates(TEMPLATES), Words()
+    every = np.unique(np.concatenate([g for c in classes for g in c["grams"]]))
+    for r in table(spark, SF, "documents").where("length(text) < 4000").limit(60).collect():
+        words = w.of(r.text.encode())
+        assert scan_text(words, classes, None, BAND_ROWS, CONTAINMENT) == scan_text(words, classes, every, BAND_ROWS, CONTAINMENT)
+    rng = np.random.default_rng(5)
+    filler = [f"filler{i}" for i in range(500)]
+    held = found = 0
+    for name, text in TEMPLATES.items():
+        grams = set(shingle_hashes(w.of(text.encode()), 5).tolist())
+        for _ in range(12):
+            t = text.split()
+            if len(t) > 30:
+                t[int(rng.integers(0, len(t)))] = "changed"
+            body = [*rng.choice(filler, int(rng.integers(0, 300))), *t, *rng.choice(filler, int(rng.integers(0, 300)))]
+            words = w.of(" ".join(body).encode())
+            if len(grams & set(shingle_hashes(words, 5).tolist())) >= 0.8 * len(grams):
+                held += 1
+                found += name in scan_text(words, classes, None, BAND_ROWS, CONTAINMENT)
+    assert held > 150 and found >= 0.99 * held
+
+
 def brute_leaks(docs, bench):
     """All (doc, item) pairs that pass the rules in some region: three quarters of
     the item's words in order, or half of them and the whole answer."""
