@@ -44,7 +44,7 @@ LENGTH = 256
 PER_SHARD = 1 << 16
 KEY = 0x5EED
 ROUNDS = 6
-PASSES = 4
+PASSES = 5
 LEVEL = 3
 
 
