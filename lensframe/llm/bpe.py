@@ -33,7 +33,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from lensframe.session import discard, materialise, work_path
 
-from .textio import chunks, ship
+from .textio import chunks, lean, ship
 
 #: Frequent words compiled into the automaton, and the longest such word.
 LEXICON_WORDS = 150_000
@@ -360,7 +360,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             yield _counted(c)
 
     return (
-        documents.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long")
+        documents.select(F.col("text").cast("string")).mapInArrow(lean(run), "word string, n long")
         .groupBy("word").agg(F.sum("n").alias("n"))
     )
 
@@ -397,7 +397,7 @@ def publish_lexicon(documents: DataFrame, vocabulary_path: str, words: int = LEX
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i : i + (1 << 20)]], pa.binary())], ["at", "part"])
 
     # One task compiles the list, which ``words`` bounds; the driver passes its bytes on.
-    parts = top.repartition(1).mapInArrow(compiled, "at long, part binary").toArrow().sort_by("at")
+    parts = top.repartition(1).mapInArrow(lean(compiled), "at long, part binary").toArrow().sort_by("at")
     discard(counts)
     if not parts.num_rows:  # no word at all, so no task ran
         parts = pa.table({"part": [compile_lexicon([], Vocabulary(vocabulary_path))]})
@@ -441,4 +441,4 @@ def encode_decode(documents: DataFrame, vocabulary_path: str, words: int = LEXIC
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += "".join(f", `{c}` {kinds[c]}" for c in keep) + (", ids array<int>" if keep_ids else "")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

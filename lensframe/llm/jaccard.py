@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from lensframe.operators.graph import connected_components
 from lensframe.session import discard, materialise
 
-from .textio import M1, WordHash, chunks, mix, sharing, shingle_hashes, texts
+from .textio import M1, WordHash, chunks, lean, mix, sharing, shingle_hashes, texts
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -104,7 +104,7 @@ def profile(documents: DataFrame, k: int, bits: int) -> DataFrame:
                 ["doc_id", "n", "node", "block", "counts"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, node long, block int, counts binary")
+        lean(run), "doc_id long, n long, node long, block int, counts binary")
 
 
 def sketch(rows: DataFrame, bits: int, fan: int = 12) -> np.ndarray:
@@ -122,9 +122,9 @@ def sketch(rows: DataFrame, bits: int, fan: int = 12) -> np.ndarray:
             ["block", "counts"])
 
     parts = rows.where("n is null and block is not null").select("block", "counts")
-    parts = parts.repartition(fan).mapInArrow(add, "block int, counts binary").repartition(1)
+    parts = parts.repartition(fan).mapInArrow(lean(add), "block int, counts binary").repartition(1)
     out = np.zeros(1 << bits, np.uint64)
-    for r in parts.mapInArrow(add, "block int, counts binary").toLocalIterator():
+    for r in parts.mapInArrow(lean(add), "block int, counts binary").toLocalIterator():
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint64)
     return out
 
@@ -174,7 +174,7 @@ def prefixes(documents: DataFrame, ranks, k: int, percent: int, bits: int) -> Da
                     [pa.array(node, pa.int64()), pa.array(nl, pa.int64()), _lists(token), *(pa.array(c) for c in np.stack(odd, axis=1))],
                     ["node", "nl", "tokens", *SKETCH])
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, f"node long, nl long, tokens array<long>, {_SKETCH_KIND}")
+    return documents.select(F.col("text").cast("string")).mapInArrow(lean(run), f"node long, nl long, tokens array<long>, {_SKETCH_KIND}")
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         yield _blocks_of(list(out), list(out.values()))
 
     kind = "block int, bits binary"
-    rows = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(run, kind).repartition(8, "block").mapInArrow(join, kind)
+    rows = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(lean(run), kind).repartition(8, "block").mapInArrow(lean(join), kind)
     got = rows.toArrow()  # at most FILTER_BYTES
     out = np.zeros(FILTER_BYTES, np.uint8)
     for k, x in zip(got.column("block").to_pylist(), got.column("bits").to_pylist()):
@@ -261,7 +261,7 @@ def only_held(entries: DataFrame, flt) -> DataFrame:
                 [*(pa.array(b.column(c).to_numpy()[row]) for c in ("node", "nl", *SKETCH)), pa.array(pos, pa.int32()), pa.array(flat[keep])],
                 ["node", "nl", *SKETCH, "pos", "token"])
 
-    return entries.mapInArrow(run, f"node long, nl long, {_SKETCH_KIND}, pos int, token long")
+    return entries.mapInArrow(lean(run), f"node long, nl long, {_SKETCH_KIND}, pos int, token long")
 
 
 def without_ids(documents: DataFrame, ids: DataFrame, key: Column | None = None) -> DataFrame:
@@ -278,7 +278,7 @@ def without_ids(documents: DataFrame, ids: DataFrame, key: Column | None = None)
             for b in batches:
                 yield b.filter(pa.array(_maybe(shared.value, b.column("_key").to_numpy()) == wanted))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        return keyed.mapInArrow(lean(run), keyed.schema)
 
     rest = mark(True).join(gone, F.col("_own") == F.col("_gone"), "left_anti")
     return mark(False).unionByName(rest).drop("_key", "_own")
@@ -307,7 +307,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, flt, k: int) -> DataFrame:
                     [b.column("doc_id"), pa.array([node_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())],
                     ["doc_id", "node", "grams"])
 
-    found = src.mapInArrow(run, "doc_id long, node long, grams binary")
+    found = src.mapInArrow(lean(run), "doc_id long, node long, grams binary")
     return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", "grams")
 
 
@@ -325,7 +325,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return x.mapInArrow(run, "a long, b long")
+    return x.mapInArrow(lean(run), "a long, b long")
 
 
 def shared_prefixes(entries: DataFrame, percent: int, share) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import chunks, shingle_hashes, texts
+from .textio import chunks, lean, shingle_hashes, texts
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -194,4 +194,4 @@ def license_matches(documents: DataFrame, templates: dict[str, str] = TEMPLATES,
                     ["doc_id", "license", "containment", "windows", "first_word"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, license string, containment double, windows long, first_word long")
+        lean(run), "doc_id long, license string, containment double, windows long, first_word long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textio import chunks, texts
+from .textio import chunks, lean, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
 FIT_ROWS = 4000
@@ -248,7 +248,7 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int) -> dict | None
         return fit(with_neighbours(own, lines), np.concatenate(length), lines, t.column("y").to_pylist())
 
     rows = labelled(documents, labels, "quality", ~held_out(5, 0), fit_rows)
-    return fitted(rows.mapInArrow(run, "doc_id long, y int, own binary, length binary"), model)
+    return fitted(rows.mapInArrow(lean(run), "doc_id long, y int, own binary, length binary"), model)
 
 
 def fitted(rows: DataFrame, model: Callable[[pa.Table], dict | None]) -> dict | None:
@@ -259,7 +259,7 @@ def fitted(rows: DataFrame, model: Callable[[pa.Table], dict | None]) -> dict |
         t = pa.Table.from_batches(list(batches))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model(t.sort_by("doc_id")))], pa.binary())], ["model"])
 
-    got = rows.repartition(1).mapInArrow(lambda b: run(b) if (b := list(b)) else iter(()), "model binary").toArrow()
+    got = rows.repartition(1).mapInArrow(lean(lambda b: run(b) if (b := list(b)) else iter(())), "model binary").toArrow()
     return pickle.loads(got.column("model")[0].as_py()) if got.num_rows else None
 
 
@@ -274,7 +274,7 @@ def score(documents: DataFrame, model: dict | None, name: str = "score") -> Data
             s = np.full(b.num_rows, 0.5) if m is None else document_scores(texts(b, "text"), m)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+    return documents.mapInArrow(lean(run), T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(modulus: int, rest: int):

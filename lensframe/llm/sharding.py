@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from lensframe.session import discard, materialise
 
+from .textio import lean
+
 SHARDS = 24
 #: Bytes that the parts of a splitter may be off, as a share of a part.
 TOLERANCE = 0.002
@@ -67,7 +69,7 @@ def _below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         full = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(size[full]), pa.array(rows[full])], ["bucket", "size", "rows"])
 
-    got = keys.mapInArrow(run, "bucket int, size long, rows long").groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).toPandas()
+    got = keys.mapInArrow(lean(run), "bucket int, size long, rows long").groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).toPandas()
     size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
     size[got["bucket"]], rows[got["bucket"]] = got["size"], got["rows"]
     return np.cumsum(size)[:-1], np.cumsum(rows)[:-1]

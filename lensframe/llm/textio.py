@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,25 @@ def texts(batch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """``run`` for mapInArrow, giving its memory back when the task ends: Spark keeps
+    Python workers for later stages, and what idle ones hold counts for the executor."""
+
+    def task(batches):
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def ship(spark: SparkSession, path: str) -> str:
     """Send a file of the driver to the executors; SparkFiles.get finds it under
     the name returned."""
@@ -64,7 +84,7 @@ def sharing(spark: SparkSession):
 class WordHash(dict):
     """64-bit hash of a word, remembered up to a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textio import chunks, ship
+from .textio import chunks, lean, ship
 from .training_order import encode, rank_encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -149,7 +149,7 @@ def counted(documents: DataFrame, ranks_path: str) -> DataFrame:
                 ["doc_id", "source", "lang", "n_bpe", "n_words", "bytes"])
 
     return documents.select(F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in ("source", "lang", "text"))).mapInArrow(
-        run, "doc_id long, source string, lang string, n_bpe long, n_words long, bytes long")
+        lean(run), "doc_id long, source string, lang string, n_bpe long, n_words long, bytes long")
 
 
 def changes(counts: DataFrame, tokenizer: str, column: str, sign: int) -> DataFrame:

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from lensframe.session import arrow_rows, materialise
 
+from .textio import lean
+
 SCALE = 256
 BITS = 7
 K = 5
@@ -128,12 +130,12 @@ def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span,
     # Every query block goes to every group of vector blocks; a row is one block.
     # Vectors are dealt evenly first, so that a group is a few full blocks.
     groups = max(6, -(-span.n // (2 * vector_block)))
-    va = classes.select("cid", "v").repartition(groups).mapInArrow(approximate, "ids binary, codes binary")
+    va = classes.select("cid", "v").repartition(groups).mapInArrow(lean(approximate), "ids binary, codes binary")
     va = va.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    blocks = queries.select("query_id", "cid", "v").coalesce(4).mapInArrow(gather, "qids binary, own binary, qv binary")
+    blocks = queries.select("query_id", "cid", "v").coalesce(4).mapInArrow(lean(gather), "qids binary, own binary, qv binary")
     blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     with arrow_rows(classes.sparkSession, 4):
-        scanned = va.join(blocks, "g").mapInArrow(scan, "query_id long, cid long, lower long, upper long")
+        scanned = va.join(blocks, "g").mapInArrow(lean(scan), "query_id long, cid long, lower long, upper long")
         kept = materialise(scanned, "va-candidates")
     # The k-th largest lower bound over all blocks; a null one does not count.
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("lower"), "cid")

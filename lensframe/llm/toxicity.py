@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import fitted, held_out, labelled
-from .textio import chunks, texts
+from .textio import chunks, lean, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
 FIT_ROWS = 9_000
@@ -271,7 +271,7 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int) -> dict | None
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(t, pa.binary())], ["doc_id", "y", "terms"])
 
     rows = labelled(documents, labels, "toxic", ~held_out(4, 2), fit_rows)
-    return fitted(rows.mapInArrow(run, "doc_id long, y int, terms binary"), lambda t: fit(
+    return fitted(rows.mapInArrow(lean(run), "doc_id long, y int, terms binary"), lambda t: fit(
         [np.frombuffer(x.as_buffer(), np.int32) for x in t.column("terms")], t.column("y").to_pylist()))
 
 
@@ -287,7 +287,7 @@ def score(documents: DataFrame, model: dict | None, name: str = "score") -> Data
             s = scores(texts(b, "text"), terms, m) if m else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+    return documents.mapInArrow(lean(run), T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_civil(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lensframe.session import materialise, tidy_shuffles, work_path
 
 from .bpe import PATTERN
-from .textio import chunks, ship
+from .textio import chunks, lean, ship
 
 LENGTH = 256
 PER_SHARD = 1 << 16
@@ -116,7 +116,7 @@ def document_ids(documents: DataFrame, ranks_path: str, end: int, length: int =
                 ["doc_id", "part", "base", "n", "ids"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, part int, base long, n long, ids binary")
+        lean(run), "doc_id long, part int, base long, n long, ids binary")
 
 
 def materialise_order(documents: DataFrame, ranks_path: str, end: int, length: int = LENGTH, per_shard: int = PER_SHARD,
@@ -183,12 +183,12 @@ def materialise_order(documents: DataFrame, ranks_path: str, end: int, length: i
     step = max(1, -(-shards // passes))
     for k, lo in enumerate(range(0, shards, step)):
         hi = min(shards, lo + step)
-        one = table.mapInArrow(moved(lo, hi), "slot long, shard int, ids binary")
+        one = table.mapInArrow(lean(moved(lo, hi)), "slot long, shard int, ids binary")
         one = one.repartitionById(hi - lo, F.col("shard")).sortWithinPartitions("slot").select("ids")
         # The text sink writes the bytes as they are and one line end per record.
         with tidy_shuffles(spark):
-            one.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/pass={k}")
-    out = table.mapInArrow(digest, "doc_id long, seq int, n int, slot long, ids_crc32 long")
+            one.mapInArrow(lean(records), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/pass={k}")
+    out = table.mapInArrow(lean(digest), "doc_id long, seq int, n int, slot long, ids_crc32 long")
     return out.select("doc_id", "seq", "n", "slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"),
                       (F.col("slot") % per_shard * stride).alias("byte_offset"), "ids_crc32"), path
 
