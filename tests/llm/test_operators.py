@@ -550,3 +550,18 @@ def test_pipeline_stages_on_odd_tables(spark, nasty, empty):
             assert out.columns == nasty.columns, name
             assert out.count() <= docs.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_lean_tasks_pass_rows_on_and_release_at_the_end(monkeypatch):
+    from lensframe.llm import textio
+
+    seen = []
+    monkeypatch.setattr(textio, "release", lambda: seen.append("released"))
+
+    def run(batches):
+        for b in batches:
+            seen.append(b)
+            yield b + 1
+
+    assert list(textio.lean(run)([1, 2])) == [2, 3]
+    assert seen == [1, 2, "released"]
