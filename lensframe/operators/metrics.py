@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensframe.functions import geometry as g
+from lensframe.operators.ranking import percentiles
 
 KEYS = ("run", "grp", "metric")
 
@@ -13,14 +14,14 @@ KEYS = ("run", "grp", "metric")
 def metric_summary(metrics: DataFrame) -> DataFrame:
     """NaN counts as missing; the deviation is the population's."""
     v = F.when(~F.isnan("value"), F.col("value"))
-    return metrics.groupBy(*KEYS).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg(v).alias("mean"),
+    all_ = metrics.groupBy(*KEYS).agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("stddev"), F.count("*").alias("len"), (F.count("*") - F.count(v)).alias("invalid"))
+    return all_.join(percentiles(metrics, list(KEYS), v, {"median": 0.5}), list(KEYS), "left")
 
 
 def metric_quartiles(metrics: DataFrame) -> DataFrame:
-    q = metrics.groupBy(*KEYS).agg(F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
-    return q.select(*KEYS, *(F.col("q")[i].alias(f"q{i}") for i in range(5)))
+    return percentiles(metrics, list(KEYS), F.col("value"), {f"q{i}": i / 4 for i in range(5)})
 
 
 def metric_histogram(metrics: DataFrame, bins: int = 10) -> DataFrame:
@@ -36,19 +37,14 @@ def integer_histogram(metrics: DataFrame) -> DataFrame:
 
 def pose_auc(errors: DataFrame, thresholds: list[float], keys: list[str]) -> DataFrame:
     """Area under the recall / error curve up to each threshold, as a share of
-    it; null errors never recall."""
-    e = errors.withColumn("e", F.coalesce(F.when(F.isnan("err"), None).otherwise(F.col("err")), F.lit(float("inf"))))
-    w = Window.partitionBy(*keys).orderBy("e", *[c for c in ("id",) if c in errors.columns])
-    n = Window.partitionBy(*keys)
-    e = e.withColumns({"recall": F.row_number().over(w) / F.count("*").over(n)})
-    e = e.withColumns({"e0": F.lag("e", 1, 0.0).over(w), "r0": F.lag("recall", 1, 0.0).over(w)})
+    it; null errors never recall. The trapezoids between the m errors below the
+    threshold t and the flat rest add up to (m t - their sum + half the last one) / n."""
+    e = errors.withColumn("e", F.when(~F.isnan("err"), F.col("err")))
     t = e.withColumn("t", F.explode(F.array(*map(F.lit, thresholds))))
-    inside = F.col("e") < F.col("t")
-    a = t.groupBy(*keys, "t").agg(
-        F.sum(F.when(inside, (F.col("e") - F.col("e0")) * (F.col("recall") + F.col("r0")) / 2)).alias("area"),
-        F.max(F.when(inside, F.col("e"))).alias("last"), F.max(F.when(inside, F.col("recall"))).alias("r"))
-    z = F.lit(0.0)
-    return a.select(*keys, F.col("t").alias("threshold"), ((F.coalesce("area", z) + (F.col("t") - F.coalesce("last", z)) * F.coalesce("r", z)) / F.col("t")).alias("auc"))
+    below = F.when(F.col("e") < F.col("t"), F.col("e"))
+    a = t.groupBy(*keys, "t").agg(F.count("*").alias("n"), F.count(below).alias("m"), F.sum(below).alias("s"), F.max(below).alias("last"))
+    area = F.col("m") * F.col("t") - F.coalesce("s", F.lit(0.0)) + F.coalesce("last", F.lit(0.0)) / 2
+    return a.select(*keys, F.col("t").alias("threshold"), (area / F.col("n") / F.col("t")).alias("auc"))
 
 
 def pose_errors(reference: DataFrame, estimated: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lensframe.functions import geometry as g
+from lensframe.operators.ranking import numbered, percentiles
+from lensframe.session import materialise
 
 
 def inspect_tracks(errors: DataFrame, limit: float) -> DataFrame:
@@ -34,11 +36,13 @@ def filter_measurements(errors: DataFrame, limit: float, least: int) -> DataFram
     return kept.join(ok, "track_id", "left_semi")
 
 
-def drop_outlier_tracks(errors: DataFrame, most: float = 5.0, factor: float = 5.0) -> DataFrame:
-    """Tracks of mean error at most min(most, factor * median of the means)."""
-    m = errors.groupBy("track_id").agg(F.avg("err").alias("mean_err"))
-    cut = m.agg(F.least(F.lit(most), factor * F.percentile("mean_err", F.lit(0.5))).alias("cut"))
-    return m.join(F.broadcast(cut), F.col("mean_err") <= F.col("cut")).drop("cut")
+def drop_outlier_tracks(errors: DataFrame, most: float = 5.0, factor: float = 5.0, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Tracks of mean error at most min(most, factor * median of the means), within
+    each ``scope``."""
+    m = errors.groupBy(*scope, "track_id").agg(F.avg("err").alias("mean_err"))
+    cut = percentiles(m, list(scope), F.col("mean_err"), {"median": 0.5}).select(*scope, F.least(F.lit(most), factor * F.col("median")).alias("cut"))
+    met = m.join(cut, list(scope)) if scope else m.crossJoin(cut)  # without a scope the cut is one row
+    return met.where(F.col("mean_err") <= F.col("cut")).drop("cut")
 
 
 def init_cameras(poses: DataFrame, intrinsics: DataFrame) -> DataFrame:
@@ -116,7 +120,7 @@ def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
 
 def robust_center(points: DataFrame, p: float = 0.75) -> DataFrame:
     n = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    cut = points.agg(F.percentile(n, F.lit(p)).alias("cut"))
+    cut = percentiles(points, [], n, {"cut": p})
     return points.join(F.broadcast(cut), n < F.col("cut")).agg(*(F.avg(c).alias(c) for c in "xyz"))
 
 
@@ -141,8 +145,6 @@ def knn_points(points: DataFrame, others: DataFrame, k: int, size: float) -> Dat
     spans both clouds, so every point is settled. The first cell is ``size`` or,
     if that is less, what holds about k points at the clouds' mean density. Rows
     with a null or non-finite coordinate take no part."""
-    from lensframe.session import materialise
-
     ok = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz")
     points, others = points.where(ok), others.where(ok)
     both = points.select("x", "y", "z").union(others.select("x", "y", "z")).agg(
@@ -186,11 +188,11 @@ def cloud_nn_distance(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
 # -- clusters: a node is the path from the root ------------------------------
 def cluster_binary(images: DataFrame, leaf_size: int) -> DataFrame:
     """Keys in order, halved (larger half second) to depth ceil(log2(n / leaf))."""
-    n = images.select("i").distinct().count()
+    r = materialise(numbered(images.select("i").distinct(), [], ["i"], "lo", "n"), "cluster-keys")
+    n = r.agg(F.max("n")).first()[0] or 0
     depth, size = 0, leaf_size
     while size < n:
         depth, size = depth + 1, size * 2
-    r = images.select("i").distinct().withColumns({"lo": F.row_number().over(Window.orderBy("i")).cast("long") - 1, "n": F.lit(n).cast("long")})
     path = []
     for k in range(depth):
         half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
@@ -211,7 +213,12 @@ def edge_owner(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def cluster_even_bins(images: DataFrame, bins: int) -> DataFrame:
-    return images.select("i").distinct().withColumn("bin", F.ntile(bins).over(Window.orderBy("i")) - 1)
+    """Bins of equal size in key order; the first ones hold one key more."""
+    r = numbered(images.select("i").distinct(), [], ["i"], "r", "n")
+    less, more = F.floor(F.col("n") / bins), F.col("n") % bins
+    full = more * (less + 1)
+    b = F.when(F.col("r") < full, F.floor(F.col("r") / (less + 1))).otherwise(more + F.floor((F.col("r") - full) / F.greatest(less, F.lit(1))))
+    return r.select("i", b.cast("int").alias("bin"))
 
 
 def prefixes(path: str):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensframe.operators.ranking import numbered, percentiles
+
 
 # -- filters ---------------------------------------------------------------
 def valid_two_view(results: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def every_nth(rows: DataFrame, n: int, order: str, key: list[str]) -> DataFrame:
 
 def norm_percentile_filter(points: DataFrame, p: float = 0.95) -> DataFrame:
     n = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    limit = points.agg(F.percentile(n, F.lit(p)).alias("limit"))
+    limit = percentiles(points, [], n, {"limit": p})
     return points.join(F.broadcast(limit), n < F.col("limit")).drop("limit")
 
 
@@ -136,7 +138,9 @@ def similarity_vs_error(scores: DataFrame, errors: DataFrame) -> DataFrame:
 # -- aggregates ------------------------------------------------------------
 def track_length_stats(observations: DataFrame) -> DataFrame:
     n = observations.groupBy("track_id").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("tracks"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    lengths = n.groupBy("n").agg(F.count("*").alias("k"))  # as many rows as there are lengths
+    all_ = lengths.agg(F.sum("k").alias("tracks"), (F.sum(F.col("n") * F.col("k")) / F.sum("k")).alias("mean"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    return all_.crossJoin(percentiles(n, [], F.col("n"), {"median": 0.5})).select("tracks", "mean", "median", "shortest", "longest")
 
 
 def camera_obs_count(observations: DataFrame) -> DataFrame:
@@ -151,7 +155,8 @@ def reproj_by_camera(observations: DataFrame, good: float = 2.0) -> DataFrame:
 
 def scene_reproj_stats(observations: DataFrame) -> DataFrame:
     e = F.when(~F.isnan("err"), F.col("err"))
-    return observations.agg(F.count(e).alias("n"), F.avg(e).alias("mean"), F.percentile(e, F.lit(0.5)).alias("median"), F.min(e).alias("least"), F.max(e).alias("most"))
+    all_ = observations.agg(F.count(e).alias("n"), F.avg(e).alias("mean"), F.min(e).alias("least"), F.max(e).alias("most"))
+    return all_.crossJoin(percentiles(observations, [], e, {"median": 0.5})).select("n", "mean", "median", "least", "most")
 
 
 def edge_error_agg(errors: DataFrame, how: str = "min") -> DataFrame:
@@ -161,11 +166,11 @@ def edge_error_agg(errors: DataFrame, how: str = "min") -> DataFrame:
 
 def frontend_summary(reports: DataFrame, threshold: float) -> DataFrame:
     pose = F.greatest("rotation_err", "direction_err")
-    return reports.agg(
+    all_ = reports.agg(
         F.count("*").alias("pairs"), F.count_if(F.col("rotation_err") < threshold).alias("rotation_ok"),
         F.count_if(F.col("direction_err") < threshold).alias("direction_ok"), F.count_if(pose < threshold).alias("pose_ok"),
-        F.count_if(F.col("ratio") == 1.0).alias("all_inliers"), F.percentile("rotation_err", F.lit(0.5)).alias("rotation_median"),
-        F.avg("ratio").alias("mean_ratio"))
+        F.count_if(F.col("ratio") == 1.0).alias("all_inliers"), F.avg("ratio").alias("mean_ratio"))
+    return all_.crossJoin(percentiles(reports, [], F.col("rotation_err"), {"rotation_median": 0.5}))
 
 
 def two_view_report(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -257,9 +262,8 @@ def splat_topk(splats: DataFrame, k: int) -> DataFrame:
 
 def scene_downsample(points: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Exactly int(n * fraction) points of each scene, in a seeded hash order."""
-    w = Window.partitionBy("scene_id")
-    o = w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "track_id")), "track_id")
-    return points.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(o)}).where(F.col("_r") <= F.floor(F.col("_n") * fraction)).drop("_n", "_r")
+    o = points.withColumn("_o", F.md5(F.concat_ws(":", F.lit(seed), "track_id")))
+    return numbered(o, ["scene_id"], ["_o", "track_id"], "_r", "_n").where(F.col("_r") < F.floor(F.col("_n") * fraction)).drop("_o", "_n", "_r")
 
 
 def results_recent(log: DataFrame, midnight: str) -> DataFrame:

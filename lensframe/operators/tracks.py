@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lensframe.functions import geometry as g
 from lensframe.operators.graph import connected_components
+from lensframe.operators.ranking import numbered
 from lensframe.session import materialise
 
 
@@ -58,40 +59,51 @@ def track_triangulate(observations: DataFrame, cameras: DataFrame) -> DataFrame:
                     F.when(F.col("n") < 2, "FEW").when(F.col("det") <= 1e-9, "DEGENERATE").otherwise("SUCCESS").alias("status"))
 
 
-def reprojection_error(observations: DataFrame, cameras: DataFrame, points: DataFrame) -> DataFrame:
+def reprojection_error(observations: DataFrame, cameras: DataFrame, points: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Pixel error of every measurement; null where the camera or point is
-    missing or the point is behind the camera."""
-    o = observations.join(cameras.select("i", "q", "t", "model", "params"), "i", "left").join(points.select("track_id", "x", "y", "z"), "track_id", "left")
+    missing or the point is behind the camera. ``scope`` names columns of all three
+    tables within which cameras and tracks are known by their ids."""
+    o = observations.join(cameras.select(*scope, "i", "q", "t", "model", "params"), [*scope, "i"], "left").join(
+        points.select(*scope, "track_id", "x", "y", "z"), [*scope, "track_id"], "left")
     p = g.to_camera(F.col("q"), F.col("t"), g.vec(F.col("x"), F.col("y"), F.col("z")))
     o = g.bound(g.bound(o, "_p", p), "_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
     err = F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2)
-    return o.select("track_id", "i", "u", "v", F.col("_p.z").alias("depth"), F.col("_uv.u").alias("pu"), F.col("_uv.v").alias("pv"), err.alias("err"))
+    return o.select(*scope, "track_id", "i", "u", "v", F.col("_p.z").alias("depth"), F.col("_uv.u").alias("pu"), F.col("_uv.v").alias("pv"), err.alias("err"))
 
 
-def track_triangulate_robust(observations: DataFrame, cameras: DataFrame, limit: float, most: int = 2749) -> DataFrame:
+def track_triangulate_robust(observations: DataFrame, cameras: DataFrame, limit: float, most: int = 2749, seed: int = 0) -> DataFrame:
     """Best two-ray hypothesis per track: most inliers below ``limit`` pixels,
-    then least mean error, then the smaller pair. Hypotheses are pairs of a
-    track's rays, widest baselines first, at most ``most`` of them."""
+    then least mean error, then the smaller pair of cameras. Hypotheses are all pairs
+    of a track's rays where these are at most ``most``, else ``most`` pairs drawn by a
+    seeded hash; they are chosen by ray number before any join, so a long track costs
+    its length times ``most``. Parallel rays make no hypothesis."""
     r = rays(observations, cameras).select("track_id", "i", "d", "t")
-    p = r.alias("a").join(r.alias("b"), "track_id").where("a.i < b.i").select(
-        "track_id", F.col("a.i").alias("i1"), F.col("b.i").alias("i2"), F.col("a.d").alias("d1"), F.col("b.d").alias("d2"), F.col("a.t").alias("c1"), F.col("b.t").alias("c2"))
-    base = g.norm(g.sub(F.col("c1"), F.col("c2")))
-    w = Window.partitionBy("track_id").orderBy(F.desc(base), "i1", "i2")
-    p = p.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    r = materialise(numbered(r, ["track_id"], ["i", "t.x", "d.x", "d.y"], "_at", "_n"), "track-rays")
+    size = r.where("_at = 0 and _n >= 2").select("track_id", F.col("_n").alias("n"))
+    every = F.expr("n * (n - 1) div 2")
+    few = every <= most
+    p = size.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.least(every, F.lit(most)) - 1)))
+    j = F.floor((1 + F.sqrt(1.0 + 8 * F.col("h"))) / 2)  # the h-th of all pairs, counted by the second
+    j = F.when(j * (j - 1) / 2 > F.col("h"), j - 1).when(j * (j + 1) / 2 <= F.col("h"), j + 1).otherwise(j)
+    draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "track_id", "h")
+    p = p.withColumn("j", F.when(few, j).otherwise(F.pmod(draw(1), F.col("n"))))
+    p = p.withColumn("k", F.when(few, F.col("h") - F.expr("j * (j - 1) div 2")).otherwise(F.pmod(F.col("j") + 1 + F.pmod(draw(2), F.col("n") - 1), F.col("n"))))
+    ray = lambda at, n: r.select("track_id", F.col("_at").alias(at), F.col("i").alias(f"i{n}"), F.col("d").alias(f"d{n}"), F.col("t").alias(f"c{n}"))
+    p = p.select("track_id", F.least("j", "k").alias("j"), F.greatest("j", "k").alias("k")).join(ray("j", 1), ["track_id", "j"]).join(ray("k", 2), ["track_id", "k"])
     b = g.dot(F.col("d1"), F.col("d2"))
     diff = g.sub(F.col("c2"), F.col("c1"))
-    p = p.withColumns({"_b": b, "_e": g.dot(diff, F.col("d1")), "_f": g.dot(diff, F.col("d2"))}).where("1 - _b * _b > 1e-12")
-    s1 = (F.col("_e") - F.col("_b") * F.col("_f")) / (1 - F.col("_b") ** 2)
-    s2 = (F.col("_b") * F.col("_e") - F.col("_f")) / (1 - F.col("_b") ** 2)
-    x = g.scale(g.add(g.add(F.col("c1"), g.scale(F.col("d1"), s1)), g.add(F.col("c2"), g.scale(F.col("d2"), s2))), F.lit(0.5))
-    h = p.select("track_id", "i1", "i2", x.alias("X"))
+    p = g.bound(p, "_s", F.struct(b.alias("b"), g.dot(diff, F.col("d1")).alias("e"), g.dot(diff, F.col("d2")).alias("f"))).where("1 - _s.b * _s.b > 1e-12")
+    b, e, f = (F.col(f"_s.{c}") for c in "bef")
+    x = g.scale(g.add(g.add(F.col("c1"), g.scale(F.col("d1"), (e - b * f) / (1 - b * b))), g.add(F.col("c2"), g.scale(F.col("d2"), (b * e - f) / (1 - b * b)))), F.lit(0.5))
+    h = g.bound(p, "X", x).select("track_id", "i1", "i2", "X")
     o = observations.join(cameras.select("i", "q", "t", "model", "params"), "i").join(h, "track_id")
     o = g.bound(g.bound(o, "_p", g.to_camera(F.col("q"), F.col("t"), F.col("X"))), "_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
-    o = o.withColumn("err", F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2))
-    inl = F.col("err") < limit
-    e = o.groupBy("track_id", "i1", "i2").agg(F.first("X").alias("X"), F.count_if(inl).alias("inliers"), F.avg(F.when(inl, F.col("err"))).alias("mean_err"))
-    w = Window.partitionBy("track_id").orderBy(F.desc("inliers"), F.asc_nulls_last("mean_err"), "i1", "i2")
-    return e.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("track_id", "i1", "i2", F.col("X.x").alias("x"), F.col("X.y").alias("y"), F.col("X.z").alias("z"), "inliers", "mean_err")
+    err = F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2)
+    near = F.when(err < limit, err)
+    s = o.groupBy("track_id", "i1", "i2", "X").agg(F.count(near).alias("inliers"), F.avg(near).alias("mean_err"))
+    order = F.struct("inliers", -F.coalesce(F.round("mean_err", 9), F.lit(float("inf"))), -F.col("i1"), -F.col("i2"))
+    best = s.groupBy("track_id").agg(F.max_by(F.struct("i1", "i2", "X", "inliers", "mean_err"), order).alias("b")).select("track_id", "b.*")
+    return best.select("track_id", "i1", "i2", *(F.col("X")[c].alias(c) for c in "xyz"), "inliers", "mean_err")
 
 
 def track_max_angle(observations: DataFrame, cameras: DataFrame, points: DataFrame) -> DataFrame:
@@ -107,17 +119,19 @@ def classify_tracks(observations: DataFrame, reference: DataFrame, estimated: Da
     return a.join(track_triangulate(observations, estimated).select("track_id", F.col("status").alias("code")), "track_id", "full")
 
 
-def merge_duplicate_tracks(observations: DataFrame) -> DataFrame:
+def merge_duplicate_tracks(observations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Tracks that share (camera, pixel cell) become one, named by the smallest
     id; of several measurements in a camera the first (by old track, u, v) stays.
-    Component form: a track that touches two others joins all three."""
+    Component form: a track that touches two others joins all three. ``scope`` names
+    columns within which tracks may meet; a track's id stands in one of them only."""
+    cell = [*scope, "i", "cu", "cv"]
     keyed = observations.withColumns({"cu": F.floor("u").cast("long"), "cv": F.floor("v").cast("long")})
-    hub = keyed.groupBy("i", "cu", "cv").agg(F.min("track_id").alias("j"))
-    e = keyed.join(hub, ["i", "cu", "cv"]).where("track_id <> j").select(F.col("track_id").alias("a"), F.col("j").alias("b")).distinct()
+    hub = keyed.groupBy(*cell).agg(F.min("track_id").alias("j"))
+    e = keyed.join(hub, cell).where("track_id <> j").select(F.col("track_id").alias("a"), F.col("j").alias("b")).distinct()
     cc = materialise(connected_components(e, "a", "b"), "merge-tracks")
     o = observations.join(cc.withColumnRenamed("node", "track_id"), "track_id", "left").withColumn("merged", F.coalesce("component", "track_id"))
     w = Window.partitionBy("merged", "i").orderBy("track_id", "u", "v")
-    return o.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("merged").alias("track_id"), "i", "u", "v")
+    return o.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*scope, F.col("merged").alias("track_id"), "i", "u", "v")
 
 
 def factor_weight_filter(observations: DataFrame, weights: DataFrame, least_weight: float, least_length: int) -> DataFrame:

@@ -45,10 +45,11 @@ def source_view_topk(s, d):
 
 
 @query("""WITH w AS (SELECT i % 20 AS scene, i, score FROM edges UNION ALL SELECT i % 20, j, score FROM edges), t AS (SELECT scene, i, sum(score) AS total FROM w GROUP BY scene, i)
-SELECT scene, i, round(total, 6) AS total, row_number() OVER (PARTITION BY scene ORDER BY round(total, 9) DESC, i) AS rank FROM t""")
+SELECT scene, i, round(total, 8) AS total, row_number() OVER (PARTITION BY scene ORDER BY round(total, 9) DESC, i) AS rank FROM t""")
 def frame_rank(s, d):
+    """Scores are multiples of 5e-7, so totals are cut where none can lie between two."""
     r = views.frame_rank(view(s, d, "edges").withColumn("scene", F.col("i") % 20), "scene")
-    return rounded(r.select("scene", "i", "total", F.col("rank").cast("long").alias("rank")))
+    return rounded(r.select("scene", "i", "total", F.col("rank").cast("long").alias("rank")), 8)
 
 
 @query("""SELECT s_name AS name, round(abs(2 * b.f - a.f) / a.f, 6) AS d_fx, 1.0::DOUBLE AS d_cx, round(abs(degrees(2 * atan(640 / (4 * b.f))) - degrees(2 * atan(640 / (2 * a.f)))), 6) AS d_fov

@@ -6,6 +6,8 @@ rotations come from customers, metrics from events.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,34 +32,9 @@ SQL = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A scene table by the SQL above."""
-    sql = SQL[name]
-    source = sql.rsplit(" FROM ", 1)[1].split()[0]
-    t = spark.read.parquet(f"{sf_dir}/{source}.parquet")
-    parts = []
-    for piece in sql.split(" UNION ALL "):
-        piece = " ".join(piece.split())
-        head, _, tail = piece.partition(f" FROM {source}")
-        cond = tail.replace("WHERE", "").strip()
-        cols = head.removeprefix("SELECT ")
-        d = t.where(cond) if cond else t
-        parts.append(d.selectExpr(*_split(cols)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _split(cols: str) -> list[str]:
-    out, depth, cur = [], 0, ""
-    for c in cols:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += c
-    return [*out, cur.strip()]
+    """A scene table by the SQL above, over the one test table that it reads."""
+    source = re.search(r"FROM (\w+)", SQL[name])[1]
+    return spark.sql(re.sub(rf"FROM {source}\b", "FROM {source}", SQL[name]), source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
 
 def cameras(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
@@ -80,10 +57,19 @@ for _n, _e in (("cam", 0.0), ("cam2", 0.02)):
  800 + s_suppkey % 50 + {_e} * 10 AS f, s_nationkey % 3 AS scene_id FROM supplier"""
 
 
+#: Poses of a scene of many cameras that turn about one axis.
+SQL["pose"] = """SELECT c_custkey AS i, cos(c_custkey * 0.37 / 2) AS qw, sin(c_custkey * 0.37 / 2) / 3 AS qx, sin(c_custkey * 0.37 / 2) * 2 / 3 AS qy,
+ sin(c_custkey * 0.37 / 2) * 2 / 3 AS qz, CAST(c_acctbal AS DOUBLE) / 1000 AS tx, CAST(c_custkey % 7 AS DOUBLE) AS ty, CAST(c_nationkey AS DOUBLE) / 5 AS tz FROM customer"""
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, q, t of the poses above."""
+    p = view(spark, sf_dir, "pose")
+    return p.select("i", F.struct(*(F.col(f"q{c}").cast("double").alias(c) for c in "wxyz")).alias("q"), F.struct(*(F.col(f"t{c}").alias(c) for c in "xyz")).alias("t"))
+
+
 def sql(text: str) -> str:
     """A query over scene tables as one statement."""
-    import re
-
     need, seen = [], set()
 
     def visit(t: str) -> None:

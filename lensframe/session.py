@@ -29,15 +29,20 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return b.getOrCreate()
 
 
+#: Temporary folders of local applications that name no folder; the setting itself
+#: can't be changed once the application runs.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver see."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(app)
     if not d:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
-        d = tempfile.mkdtemp(prefix="lensframe-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _LOCAL[app] = tempfile.mkdtemp(prefix="lensframe-")
     return d
 
 
