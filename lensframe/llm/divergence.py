@@ -106,6 +106,19 @@ def _documents(documents: DataFrame) -> DataFrame:
     return documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
 
 
+def _worth_merging(b: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """A sorted batch without the terms that end in it with too few documents; the first
+    and the last term may go on in other batches and stay."""
+    if b.num_rows < 3:
+        return b
+    ne = pa.compute.not_equal
+    change = pa.compute.or_(*(ne(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)) for c in ("lang", "term")))
+    start = np.flatnonzero(np.concatenate(([True], change.to_numpy(zero_copy_only=False))))
+    keep = np.add.reduceat(b.column("df").to_numpy(), start) >= least
+    keep[[0, -1]] = True
+    return b.filter(pa.array(np.repeat(keep, np.diff(np.append(start, b.num_rows)))))
+
+
 def stripes(documents: DataFrame, least: int = LEAST_DOCUMENTS, limit: int = TABLE_ENTRIES) -> DataFrame:
     """lang, term, df, sources, counts of the terms in at least ``least`` documents."""
 
@@ -132,6 +145,7 @@ def stripes(documents: DataFrame, least: int = LEAST_DOCUMENTS, limit: int = TAB
                 out.append((*key, df, list(of), list(of.values())))
 
         for b in batches:
+            b = _worth_merging(b, least)
             lang, term, n = (b.column(c).to_pylist() for c in ("lang", "term", "df"))
             sources, counts = b.column("sources"), b.column("counts")
             names, values = sources.flatten().to_pylist(), counts.flatten().to_pylist()

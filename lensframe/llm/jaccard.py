@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from lensframe.operators.graph import connected_components
 from lensframe.session import discard, materialise
 
-from .textio import M1, WordHash, chunks, lean, mix, sharing, shingle_hashes, texts
+from .textio import M1, WordHash, chunks, fresh, lean, mix, sharing, shingle_hashes, texts
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -268,27 +268,50 @@ def without_ids(documents: DataFrame, ids: DataFrame, key: Column | None = None)
     """``documents`` without the rows whose key (their doc_id, if none is given) is
     in ``ids`` (its first column); rows of a null key stay. Rows that the bit filter
     clears stay where they are; only the others are joined."""
-    gone = ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).where("_gone is not null").distinct()
+    own, known, absent = fresh(documents, "_own", "_key", "_gone")
+    gone = ids.select(F.col(ids.columns[0]).cast("long").alias(absent)).where(F.col(absent).isNotNull()).distinct()
     shared = documents.sparkSession.sparkContext.broadcast(id_filter(gone))
-    own = F.col("doc_id").cast("long") if key is None else key
-    keyed = documents.withColumn("_own", own).withColumn("_key", F.coalesce("_own", F.lit(0).cast("long")))
+    keyed = documents.withColumn(own, F.col("doc_id").cast("long") if key is None else key).withColumn(known, F.coalesce(own, F.lit(0).cast("long")))
 
     def mark(wanted: bool):
         def run(batches):
             for b in batches:
-                yield b.filter(pa.array(_maybe(shared.value, b.column("_key").to_numpy()) == wanted))
+                yield b.filter(pa.array(_maybe(shared.value, b.column(known).to_numpy()) == wanted))
 
         return keyed.mapInArrow(lean(run), keyed.schema)
 
-    rest = mark(True).join(gone, F.col("_own") == F.col("_gone"), "left_anti")
-    return mark(False).unionByName(rest).drop("_key", "_own")
+    rest = mark(True).join(gone, F.col(own) == F.col(absent), "left_anti")
+    return mark(False).unionByName(rest).drop(known, own)
 
 
 def keep_one_of_each(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of every linked group, that of the smallest doc_id; rows
-    with a null doc_id stay."""
-    groups = jaccard_components(documents.select("doc_id", "text"), k, percent)
-    return without_ids(documents, groups.where("doc_id <> component_id").select("doc_id"))
+    """One row of every linked group of texts, that of the smallest doc_id. The texts
+    decide, not the ids: a row whose doc_id other rows share goes or stays by its own
+    text. Of several rows of that doc_id the one with the least hash of text and
+    columns stays, of wholly equal rows one; a null doc_id comes last. Rows without
+    words are in no group and stay."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = [F.to_json(F.struct(c)) if "map<" in t or t == "variant" else F.col(c) for c, t in documents.dtypes]
+    row_key = F.xxhash64(*whole)
+    texts_ = documents.select(F.xxhash64(text).alias("doc_id"), F.col("text"))
+    group = jaccard_components(texts_, k, percent).where("n_shingles > 0").select(F.col("doc_id").alias("h"), F.col("component_id").alias("c")).distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), row_key.alias("row"))
+    rows = documents.select(rank.alias("rank"), F.lit(1).cast("long").alias("n")).groupBy("rank").agg(F.sum("n").alias("n"))
+    rows = materialise(rows.select("rank", F.col("rank.h").alias("h"), F.col("rank.row").alias("row"), "n"), "copies-rows")
+    first = rows.groupBy("h").agg(F.min("rank").alias("rank"), F.sum("n").alias("n")).join(group, "h")
+    best = first.groupBy("c").agg(F.min("rank").alias("best"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    held = materialise(first.join(best, "c").select("h", "best"), "copies-held")
+    # What goes: every row of a group but its best; the best too, where it stands there
+    # several times, and comes back once.
+    gone = materialise(rows.join(held, "h").where((F.col("rank") != F.col("best")) | (F.col("n") > 1)).select(
+        "row", (F.col("rank") == F.col("best")).alias("back")), "copies-gone")
+    out = without_ids(documents, gone.select("row"), row_key)
+    back = gone.where("back").select(F.col("row").alias(fresh(documents, "_row")[0])).distinct()
+    if back.isEmpty():
+        return out
+    (mine,) = fresh(documents, "_mine")
+    again = documents.withColumn(mine, row_key).join(back, F.col(mine) == F.col(back.columns[0]), "left_semi").dropDuplicates([mine]).drop(mine)
+    return out.unionByName(again)
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, flt, k: int) -> DataFrame:

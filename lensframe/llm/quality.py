@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textio import chunks, lean, texts
+from .textio import chunks, fresh, lean, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
 FIT_ROWS = 4000
@@ -283,7 +283,8 @@ def held_out(modulus: int, rest: int):
 
 def keep_good(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that the classifier does not reject, columns as they are."""
-    return score(documents, learn(documents, labels, fit_rows), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    (s,) = fresh(documents, "_score")
+    return score(documents, learn(documents, labels, fit_rows), s).where(F.col(s) >= THRESHOLD).drop(s)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 4 << 20
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``df`` has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,18 @@
 """Exact top-k search by a vector-approximation file.
 
-Every vector is stored as small cells, one code per dimension on evenly spaced
-marks. For a query, the cells bound the inner product from both sides. Scan:
+Every vector is stored as small cells, one code per dimension on that dimension's
+own marks: evenly spaced over the middle 99 % of a bounded sample, then ever wider
+up to the exact least and largest component, so that a few far vectors don't widen
+everybody's cells. For a query, the cells bound the inner product from both sides. Scan:
 every (query block, vector block) pair is bounded from the codes alone; a vector
 stays only if its upper bound reaches the k-th largest lower bound known for the
 query. Read: the exact vectors of those that stay are visited in order of their
 bounds (largest upper bound first, the inner product's reading of lower-bound
 order of distances) until the k-th exact score is out of reach of the next bound.
 
-The bounds are integers, so no score is lost to rounding. The query set is
-stated by the caller and meets all rows in blocks.
+The bounds are integers, so no score is lost to rounding; components so large that
+a sum of products could pass 2**53 raise a ValueError. The query set is stated by
+the caller and meets all rows in blocks.
 
 Equal vectors are one class with its k + 1 smallest ids, which is all that any
 query can need of them, so a vector that a third of the rows repeat is bounded
@@ -35,10 +38,12 @@ from lensframe.session import arrow_rows, materialise
 from .textio import lean
 
 SCALE = 256
-BITS = 7
+BITS = 7  # at most 8: codes are bytes
 K = 5
 QUERY_BLOCK = 128
 VECTOR_BLOCK = 16384
+#: Components read to the driver to place the marks; they decide the cost, not the result.
+SAMPLE_COMPONENTS = 1 << 20
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -61,7 +66,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, bits: int = BITS, query_bloc
     classes = materialise(classes, "va-vectors")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = materialise(queries.join(classes.select("v", "cid", "d"), "v").select(F.col("vec_id").alias("query_id"), "v", "cid", "d"), "va-queries")
-    span = classes.groupBy("d").agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi")).collect()
+    span = classes.groupBy("d").agg(F.count("*").alias("n")).collect()
     out = None  # span has a row per vector length
     for r in span:
         part = _one_length(classes.where(F.col("d") == r.d), queries.where(F.col("d") == r.d), k, bits, r, query_block, vector_block)
@@ -90,15 +95,48 @@ def _blocks(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span, query_block: int, vector_block: int) -> DataFrame:
-    dim, lo = span.d, span.lo
+def _ends(classes: DataFrame, dim: int) -> np.ndarray:
+    """The least and the largest component of each dimension."""
+
+    def run(batches):
+        for b in _blocks(batches, 8192):
+            v = _rows(b, "v", dim)
+            yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(v.min(0)), pa.array(v.max(0))], ["at", "lo", "hi"])
+
+    got = classes.select("v").mapInArrow(lean(run), "at int, lo long, hi long").groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
+    got = got.sort_values("at")
+    return np.stack([got["lo"].to_numpy(np.int64), got["hi"].to_numpy(np.int64)])
+
+
+def marks_of(sample: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """Marks of each dimension, one more than there are cells; cell c holds
+    marks[c] .. marks[c + 1] - 1. The last eighth of the cells on either side
+    doubles in width as far as it has to."""
     cells = 1 << bits
-    step = max(1, -(-(span.hi - lo + 1) // cells))
-    marks = lo + step * np.arange(cells + 1)  # cell c holds marks[c] .. marks[c + 1] - 1
+    tail = cells // 8
+    out = np.empty((ends.shape[1], cells + 1), np.int64)
+    for d, (lo, hi) in enumerate(ends.T.tolist()):
+        a, b = (int(x) for x in np.quantile(sample[:, d], (0.005, 0.995)))
+        a, b = max(lo, a), min(hi, b) + 1
+        middle = a + (b - a) * np.arange(cells - 2 * tail + 1) // (cells - 2 * tail)
+        grow = lambda reach: np.ceil(reach * (2.0 ** np.arange(1, tail + 1) - 1) / (2.0**tail - 1)).astype(np.int64)
+        out[d] = np.concatenate([(a - np.minimum(grow(a - lo), a - lo))[::-1], middle, b + np.minimum(grow(hi + 1 - b), hi + 1 - b)])
+    return out
+
+
+def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span, query_block: int, vector_block: int) -> DataFrame:
+    dim = span.d
+    ends = _ends(classes, dim)
+    if (np.abs(ends.astype(np.float64)).max(0) ** 2).sum() >= 2.0**53:
+        raise ValueError(f"components of vectors of length {dim} are too large for exact sums")
+    share = max(1, -(-span.n * dim // SAMPLE_COMPONENTS))
+    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(share)) == 0).select("v").limit(max(1, 2 * SAMPLE_COMPONENTS // dim)).toArrow()
+    marks = marks_of(_rows(sample, "v", dim) if sample.num_rows else ends, ends, bits)
 
     def approximate(batches):  # the approximation file: class ids and one-byte codes of a block
         for b in _blocks(batches, vector_block):
-            codes, ids = ((_rows(b, "v", dim) - lo) // step).astype(np.uint8), b.column("cid").to_numpy()
+            v, ids = _rows(b, "v", dim), b.column("cid").to_numpy()
+            codes = np.stack([np.searchsorted(marks[d, 1:-1], v[:, d], "right") for d in range(dim)], axis=1).astype(np.uint8)
             for i in range(0, b.num_rows, vector_block):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i : i + vector_block].tobytes()], pa.binary()) for x in (ids, codes)], ["ids", "codes"])
@@ -115,7 +153,7 @@ def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span,
                 q_id, q_own, c_id = (np.frombuffer(x, np.int64) for x in (qids, own, ids))
                 q = np.frombuffer(qv, np.int64).reshape(-1, dim).astype(np.float64)
                 c = np.frombuffer(codes, np.uint8).reshape(-1, dim)
-                low, high = marks[c].astype(np.float64), (marks[c + 1] - 1).astype(np.float64)
+                low, high = marks[dims, c].astype(np.float64), (marks[dims, c.astype(np.int64) + 1] - 1).astype(np.float64)
                 plus, minus = np.maximum(q, 0), np.minimum(q, 0)
                 upper = plus @ high.T + minus @ low.T  # sums of whole numbers below 2**53: exact
                 lower = plus @ low.T + minus @ high.T
@@ -127,6 +165,8 @@ def _one_length(classes: DataFrame, queries: DataFrame, k: int, bits: int, span,
                     [pa.array(q_id[i]), pa.array(c_id[j]), pa.array(np.where(np.isinf(low_ij), 0, low_ij).astype(np.int64), mask=np.isinf(low_ij)),
                      pa.array(upper[i, j].astype(np.int64))], ["query_id", "cid", "lower", "upper"])
 
+    dims = np.arange(dim)[None, :]
+
     # Every query block goes to every group of vector blocks; a row is one block.
     # Vectors are dealt evenly first, so that a group is a few full blocks.
     groups = max(6, -(-span.n // (2 * vector_block)))

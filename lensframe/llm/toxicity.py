@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import fitted, held_out, labelled
-from .textio import chunks, lean, texts
+from .textio import chunks, fresh, lean, texts
 
 #: At most so many labelled rows, the first in a hash order, fit the model.
 FIT_ROWS = 9_000
@@ -292,7 +292,8 @@ def score(documents: DataFrame, model: dict | None, name: str = "score") -> Data
 
 def keep_civil(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that the classifier does not call toxic, columns as they are."""
-    return score(documents, learn(documents, labels, fit_rows), "_score").where(F.col("_score") < THRESHOLD).drop("_score")
+    (s,) = fresh(documents, "_score")
+    return score(documents, learn(documents, labels, fit_rows), s).where(F.col(s) < THRESHOLD).drop(s)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
