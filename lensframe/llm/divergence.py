@@ -44,7 +44,7 @@ SMOOTHING = 5
 UNIT = 10**9
 TOP_TERMS = 50
 #: Entries of a task's table of stripes before it spills.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 800_000
 SLAB = 1024
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
@@ -85,20 +85,23 @@ class StripeTable:
         return self.entries >= self.limit
 
     def stripes(self, rows: int = 4096):
+        """The table as rows of stripes; it is empty afterwards."""
         for lang, df in self.df.items():
-            of = defaultdict(lambda: ([], []))
-            for source, tf in self.tf[lang].items():
-                for term, n in tf.items():
-                    s = of[term]
-                    s[0].append(source)
-                    s[1].append(n)
-            terms = list(df)
-            for i in range(0, len(terms), rows):
-                part = terms[i : i + rows]
+            at = dict(zip(df, range(len(df))))
+            tf = self.tf[lang]
+            row = np.concatenate([np.fromiter(map(at.__getitem__, c), np.int64, len(c)) for c in tf.values()])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in tf.values()])
+            order = np.argsort(row, kind="stable")
+            source = pa.array(list(tf), pa.string()).take(pa.array(np.repeat(np.arange(len(tf)), [len(c) for c in tf.values()])[order]))
+            count, end = pa.array(count[order]), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(df)))))
+            terms, dfs = pa.array(list(df), pa.binary()).cast(pa.string()), pa.array(np.fromiter(df.values(), np.int64, len(df)))
+            for i in range(0, len(df), rows):
+                e = end[i : i + rows + 1]
+                offsets, inner = pa.array(e - e[0], pa.int32()), (int(e[0]), int(e[-1] - e[0]))
+                n = len(e) - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([df[t] for t in part], pa.int64()),
-                    pa.array([of[t][0] for t in part], pa.list_(pa.string())), pa.array([of[t][1] for t in part], pa.list_(pa.int64()))],
-                    ["lang", "term", "df", "sources", "counts"])
+                    pa.array([lang] * n, pa.string()), terms.slice(i, n), dfs.slice(i, n), pa.ListArray.from_arrays(offsets, source.slice(*inner)),
+                    pa.ListArray.from_arrays(offsets, count.slice(*inner))], ["lang", "term", "df", "sources", "counts"])
         self.clear()
 
 
