@@ -180,6 +180,18 @@ def cluster_run_compare(baseline: DataFrame, current: DataFrame, key: str = "clu
     return out
 
 
+def external_model_metrics(cameras: DataFrame, points: DataFrame, limit: float) -> DataFrame:
+    """metric, value of another pipeline's model (rows of src_cameras and src_points): how many
+    cameras and tracks, track lengths and errors, all and those of an error below the limit."""
+    p = points.select(F.floor(F.size("track") / 2).alias("length"), "error")
+    p = materialise(p.withColumn("few", F.col("error") < limit), "external-points")
+    few = lambda c: F.when(F.col("few"), F.col(c))
+    a = p.agg(F.count("*").alias("tracks"), F.count_if("few").alias("tracks_filtered"), F.avg("length").alias("mean_length"), F.avg(few("length")).alias("mean_length_filtered"),
+              F.avg("error").alias("mean_error"), F.avg(few("error")).alias("mean_error_filtered"))
+    a = a.crossJoin(cameras.agg(F.count("*").alias("cameras"))).crossJoin(percentiles(p, [], F.col("length"), {"median_length": 0.5})).crossJoin(percentiles(p, [], F.col("error"), {"median_error": 0.5}))
+    return a.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, a.columns)), F.array(*(F.col(c).cast("double") for c in a.columns)))).alias("metric", "value"))
+
+
 # -- principal axes -----------------------------------------------------------------
 def _eigen(c: list[float]) -> list[float]:
     """Row by row the principal axes (widest first), then the variances. The largest component

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensframe.functions import geometry as g
+
 
 def pairs_exhaustive(images: DataFrame, block: int = 2048) -> DataFrame:
     """All i < j. Images are put in blocks; a pair of blocks is one join key, so
@@ -145,15 +147,22 @@ def rig_predicted_pairs(constraints: DataFrame, minimum: int = 30) -> DataFrame:
     return x.where(F.col("n") >= minimum).select((F.col("a") * 5 + F.col("x")).alias("i"), (F.col("b") * 5 + F.col("y")).alias("j"), "n")
 
 
-def rig_priors(poses: DataFrame, rig: int = 5, hub: int = 2) -> DataFrame:
-    """Edges between cameras of one rig (HARD) to the hub camera, and between the
-    hubs of neighbouring rigs (SOFT); image index = rig * size + camera."""
-    r = poses.select("i", F.floor(F.col("i") / rig).cast("long").alias("g"), F.pmod("i", F.lit(rig)).alias("c"))
-    hubs = r.where(F.col("c") == hub).select("g", F.col("i").alias("h"))
-    hard = r.where(F.col("c") != hub).join(hubs, "g").select(F.least("i", "h").alias("i"), F.greatest("i", "h").alias("j"), F.lit("HARD").alias("type"))
-    nxt = hubs.select((F.col("g") - 1).alias("g"), F.col("h").alias("n"))
-    soft = hubs.join(nxt, "g").select(F.col("h").alias("i"), F.col("n").alias("j"), F.lit("SOFT").alias("type"))
-    return hard.unionByName(soft)
+def rig_priors(poses: DataFrame, pairs: DataFrame, rig: int = 5, hub: int = 2) -> DataFrame:
+    """i, j, type, q, t: relative pose priors of the given image pairs and of star edges from
+    the hub camera of every rig to its other cameras. Pairs within a rig are HARD, pairs
+    across rigs SOFT; image index = rig * size + camera. q and t are the pose of i seen
+    from j; a pair with an image of unknown pose (i, q, t) has no prior."""
+    p = poses.where("q is not null and t is not null").select("i", "q", "t")
+    rig_of = lambda c: F.floor(F.col(c) / rig)
+    others = F.filter(F.sequence(F.lit(0), F.lit(rig - 1)), lambda k: k != hub)
+    star = p.select(rig_of("i").cast("long").alias("g")).distinct().withColumn("k", F.explode(others))
+    star = star.select((F.col("g") * rig + hub).alias("i"), (F.col("g") * rig + F.col("k")).alias("j"))
+    both = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).unionByName(star).distinct()
+    one = p.select("i", F.col("q").alias("_q1"), F.col("t").alias("_t1"))
+    two = p.select(F.col("i").alias("j"), F.col("q").alias("_q2"), F.col("t").alias("_t2"))
+    r = both.join(one, "i").join(two, "j")
+    r = g.bound(g.bound(r, "q", g.multiply(g.conjugate(F.col("_q2")), F.col("_q1"))), "t", g.rotate(g.conjugate(F.col("_q2")), g.sub(F.col("_t1"), F.col("_t2"))))
+    return r.select("i", "j", F.when(rig_of("i") == rig_of("j"), "HARD").otherwise("SOFT").alias("type"), "q", "t")
 
 
 def match_count_weight(matches: DataFrame) -> DataFrame:

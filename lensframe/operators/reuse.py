@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 
 def content_key(rows: DataFrame, columns: list[str], config: str) -> DataFrame:
@@ -16,12 +15,11 @@ def content_key(rows: DataFrame, columns: list[str], config: str) -> DataFrame:
 
 def reuse_results(inputs: DataFrame, store: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results of ``inputs`` (column key): those in the store, and the missing
-    ones computed and appended to it."""
+    ones computed and appended to it, each key once."""
     spark = inputs.sparkSession
-    try:
-        known = spark.read.parquet(store)
-        todo = inputs.join(known.select("key").distinct(), "key", "left_anti")
-    except AnalysisException:  # nothing stored yet
-        todo = inputs
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    todo = inputs.dropDuplicates(["key"])
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        todo = todo.join(spark.read.parquet(store).select("key").distinct(), "key", "left_anti")
     compute(todo).write.mode("append").parquet(store)
     return spark.read.parquet(store).join(inputs.select("key").distinct(), "key", "left_semi")

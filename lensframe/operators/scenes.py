@@ -51,7 +51,7 @@ def init_cameras(poses: DataFrame, intrinsics: DataFrame) -> DataFrame:
 
 def apply_sim3(rows: DataFrame, sims: DataFrame, key: str = "scene_id") -> DataFrame:
     """Points x, y, z moved by s (R p + t) of their scene."""
-    j = rows.join(F.broadcast(sims.select(key, F.col("s").alias("_s"), F.col("q").alias("_q"), F.col("t").alias("_t"))), key)
+    j = rows.join(sims.select(key, F.col("s").alias("_s"), F.col("q").alias("_q"), F.col("t").alias("_t")), key)
     p = g.scale(g.add(g.rotate(F.col("_q"), g.vec(F.col("x"), F.col("y"), F.col("z"))), F.col("_t")), F.col("_s"))
     return j.withColumn("_p", p).withColumns({c: F.col(f"_p.{c}") for c in "xyz"}).drop("_s", "_q", "_t", "_p")
 
@@ -95,9 +95,9 @@ def estimate_sim3(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def normalise_poses(cameras: DataFrame, key: str = "scene_id") -> DataFrame:
     """Centres on the scene's mean position, largest coordinate 1."""
     m = cameras.groupBy(key).agg(*(F.avg(F.col("t")[c]).alias(f"m{c}") for c in "xyz"))
-    c = cameras.join(F.broadcast(m), key).withColumn("t", g.vec(*(F.col("t")[x] - F.col(f"m{x}") for x in "xyz"))).drop("mx", "my", "mz")
+    c = cameras.join(m, key).withColumn("t", g.vec(*(F.col("t")[x] - F.col(f"m{x}") for x in "xyz"))).drop("mx", "my", "mz")
     s = c.groupBy(key).agg(F.max(F.greatest(*(F.abs(F.col("t")[x]) for x in "xyz"))).alias("_s"))
-    return c.join(F.broadcast(s), key).withColumn("t", g.scale(F.col("t"), 1 / F.nullif("_s", F.lit(0.0)))).drop("_s")
+    return c.join(s, key).withColumn("t", g.scale(F.col("t"), 1 / F.nullif("_s", F.lit(0.0)))).drop("_s")
 
 
 def frustum_vertices(cameras: DataFrame, depth: float) -> DataFrame:
@@ -212,6 +212,15 @@ def edge_owner(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return e.select("i", "j", F.when(first == 0, F.col("pi")).otherwise(F.slice("pi", F.lit(1), (first - 1).cast("int"))).alias("owner"))
 
 
+def cluster_annotations(clusters: DataFrame, annotations: DataFrame) -> DataFrame:
+    """node, leaf and the columns of the annotations (i, j, ...) of the edges that each node owns:
+    the whole payload of a leaf or of an inner node. Edges with an end outside the tree go."""
+    owned = edge_owner(annotations.select("i", "j").distinct(), clusters)
+    leaves = clusters.select(F.col("path").alias("owner"), F.lit(True).alias("leaf")).distinct()
+    o = owned.join(leaves, "owner", "left").select("i", "j", F.col("owner").alias("node"), F.coalesce("leaf", F.lit(False)).alias("leaf"))
+    return o.join(annotations, ["i", "j"])
+
+
 def cluster_even_bins(images: DataFrame, bins: int) -> DataFrame:
     """Bins of equal size in key order; the first ones hold one key more."""
     r = numbered(images.select("i").distinct(), [], ["i"], "r", "n")
@@ -251,5 +260,6 @@ def cluster_prune(nodes: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def color_by_cluster(clusters: DataFrame) -> DataFrame:
-    h = F.crc32(F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))))
-    return clusters.select("path").distinct().select("path", F.pmod(h, F.lit(256)).alias("r"), F.pmod(F.floor(h / 256), F.lit(256)).alias("g"), F.pmod(F.floor(h / 65536), F.lit(256)).alias("b"))
+    """A colour per path: the first bytes of its MD5."""
+    h = F.md5(F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))))
+    return clusters.select("path").distinct().select("path", *(F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("int").alias(c) for k, c in enumerate("rgb")))

@@ -40,7 +40,7 @@ def rays(observations: DataFrame, cameras: DataFrame) -> DataFrame:
 def track_triangulate(observations: DataFrame, cameras: DataFrame) -> DataFrame:
     """Linear point of each track: the sum of (I - d d^T) times X equals the sum
     of (I - d d^T) c, nine sums per track and a closed 3x3 solution. Status:
-    SUCCESS, FEW (below two rays) or DEGENERATE (rays near parallel)."""
+    SUCCESS, FEW (below two rays) or DEGENERATE (rays near parallel: a determinant det of at most 1e-9)."""
     # Dealt by track before the sums, so that each ray is worked out once.
     r = rays(observations, cameras).select("track_id", "d", "t").repartition("track_id")
     d, c = F.col("d"), F.col("t")
@@ -55,7 +55,7 @@ def track_triangulate(observations: DataFrame, cameras: DataFrame) -> DataFrame:
     s = s.withColumn("det", det)
     ok = (F.col("n") >= 2) & (F.col("det") > 1e-9)
     xyz = {names[a]: F.when(ok, sum((cof(b, a) * F.col(f"v{b}") for b in range(1, 3)), cof(0, a) * F.col("v0")) / F.col("det")) for a in range(3)}
-    return s.select("track_id", "n", *(x.alias(k) for k, x in xyz.items()),
+    return s.select("track_id", "n", "det", *(x.alias(k) for k, x in xyz.items()),
                     F.when(F.col("n") < 2, "FEW").when(F.col("det") <= 1e-9, "DEGENERATE").otherwise("SUCCESS").alias("status"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lensframe.functions import geometry as g
 from lensframe.operators import graph, metrics, pairs, scenes, tables, tracks
-from lensframe.plans.domain import cameras, sql, view
+from lensframe.plans.domain import cameras, poses, sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,15 +68,17 @@ def pair_window_filter(s, d):
     return pairs.pair_window_filter(view(s, d, "reports"), 3).select("i", "j", "id")
 
 
-@query("""WITH m AS (SELECT a.scene_id, a.track_id AS k1, b.track_id AS k2, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d
- FROM points a JOIN points b ON a.scene_id = b.scene_id WHERE a.track_id % 40 = 1 AND b.track_id % 40 = 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, k1 ORDER BY d, k2) AS r1, lead(d) OVER (PARTITION BY scene_id, k1 ORDER BY d, k2) AS nd,
- row_number() OVER (PARTITION BY scene_id, k2 ORDER BY d, k1) AS r2 FROM m)
-SELECT scene_id, k1, k2, round(d, 6) AS d FROM r WHERE r1 = 1 AND r2 = 1 AND (nd IS NULL OR d <= 0.9 * nd)""")
+@query("""WITH p AS (SELECT points.*, o_custkey AS image FROM points JOIN orders ON id = o_orderkey),
+m AS (SELECT a.image AS i, a.track_id AS k1, b.track_id AS k2, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d FROM p a JOIN p b ON b.image = a.image + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY i, k1 ORDER BY d, k2) AS r1, lead(d) OVER (PARTITION BY i, k1 ORDER BY d, k2) AS nd,
+ row_number() OVER (PARTITION BY i, k2 ORDER BY d, k1) AS r2 FROM m)
+SELECT i, k1, k2, round(d, 6) AS d FROM r WHERE r1 = 1 AND r2 = 1 AND (nd IS NULL OR d <= 0.9 * nd)""")
 def match_mutual_nn(s, d):
-    """Two images per scene: the keypoints are the scene's points of two kinds."""
-    p = view(s, d, "points").select("scene_id", F.col("track_id").alias("k"), F.array("x", "y", "z").alias("desc"))
-    return rounded(pairs.match_mutual_nn(p.where("k % 40 = 1"), p.where("k % 40 = 2"), ["scene_id"], 0.9))
+    """Every customer's points are an image's keypoints; each image is matched with the next one."""
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image"))
+    p = view(s, d, "points").join(o, "id").select("image", F.col("track_id").alias("k"), F.array("x", "y", "z").alias("desc"))
+    a, b = p.withColumnRenamed("image", "i"), p.withColumn("i", F.col("image") - 1).drop("image")
+    return rounded(pairs.match_mutual_nn(a, b, ["i"], 0.9))
 
 
 @query("SELECT i, j, id, CASE WHEN ratio < 0.2 THEN 'ratio' WHEN n_inliers < 15 AND n_inliers > 0 THEN 'inliers' END AS failure FROM reports")
@@ -113,10 +115,14 @@ def match_count_weight(s, d):
     return pairs.match_count_weight(view(s, d, "reports"))
 
 
-@query("""SELECT least(a.i, h.i) AS i, greatest(a.i, h.i) AS j, 'HARD' AS type FROM images a JOIN images h ON a.i // 5 = h.i // 5 AND h.i % 5 = 2 WHERE a.i % 5 <> 2
-UNION ALL SELECT a.i, b.i AS j, 'SOFT' AS type FROM images a JOIN images b ON b.i = a.i + 5 WHERE a.i % 5 = 2""")
+@query("""WITH p AS (SELECT DISTINCT i, j FROM edges UNION SELECT h.i, o.i AS j FROM pose h JOIN pose o ON h.i // 5 = o.i // 5 WHERE h.i % 5 = 2 AND o.i % 5 <> 2)
+SELECT p.i, p.j, CASE WHEN p.i // 5 = p.j // 5 THEN 'HARD' ELSE 'SOFT' END AS type, round(degrees(2 * acos(least(1, abs(a.qw * b.qw + a.qx * b.qx + a.qy * b.qy + a.qz * b.qz)))), 3) AS turn,
+ round(sqrt((a.tx - b.tx) ** 2 + (a.ty - b.ty) ** 2 + (a.tz - b.tz) ** 2), 5) AS dist FROM p JOIN pose a ON p.i = a.i JOIN pose b ON p.j = b.i""")
 def rig_priors(s, d):
-    return pairs.rig_priors(view(s, d, "images"))
+    """The pairs of the edge table and the stars of all rigs."""
+    r = pairs.rig_priors(poses(s, d), view(s, d, "edges"))
+    turn = F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(F.col("q.w")))))
+    return r.select("i", "j", "type", F.round(turn, 3).alias("turn"), F.round(F.sqrt(F.col("t.x") ** 2 + F.col("t.y") ** 2 + F.col("t.z") ** 2), 5).alias("dist"))
 
 
 # -- filters -----------------------------------------------------------------

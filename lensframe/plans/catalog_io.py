@@ -94,12 +94,15 @@ def sink_named_pairs(s, d):
     return x.join(n.select(F.col("name").alias("a"), "i"), "a").join(n.select(F.col("name").alias("b"), F.col("i").alias("j")), "b").select("i", "j")
 
 
-@query("SELECT scene_id AS scene, count(*) AS n FROM cam GROUP BY scene_id")
+@query("""SELECT scene_id AS scene, s_name AS name, round(1 - 2 * (qy * qy + qz * qz), 6) AS r00, round(2 * (qx * qy - qw * qz), 6) AS r01, round(2 * (qx * qz - qw * qy), 6) AS r20, round(tx, 6) AS tx, round(tz, 6) AS tz
+FROM cam JOIN supplier ON i = s_suppkey""")
 def sink_frames_json(s, d):
     path = work_path(s, "frames")
     sinks.sink_frames_json(_cameras(s, d), path)
     f = F.from_json("value", "struct<frames:array<struct<file_path:string,transform_matrix:array<array<double>>>>>")
-    return s.read.text(path).select(F.col("scene").cast("int"), F.size(f["frames"]).cast("long").alias("n"))
+    x = s.read.text(path).select("scene", F.explode(f["frames"]).alias("f")).select("scene", "f.*")
+    m = lambda r, c: F.col("transform_matrix")[r][c]
+    return rounded(x.select(F.col("scene").cast("long").alias("scene"), F.col("file_path").alias("name"), m(0, 0).alias("r00"), m(0, 1).alias("r01"), m(2, 0).alias("r20"), m(0, 3).alias("tx"), m(2, 3).alias("tz")))
 
 
 @query("SELECT id, sha1('base|' || run || '|' || id) AS key FROM metrics")

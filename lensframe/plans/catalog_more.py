@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lensframe.functions import geometry as g
 from lensframe.operators import metrics, pairs, tables, tracks, views
 from lensframe.plans.catalog import rounded
-from lensframe.plans.catalog_scene import PATHS, REP, errors, paths
+from lensframe.plans.catalog_scene import PATHS, REP, STATUS, _rays, errors, paths
 from lensframe.plans.domain import cameras, sql, view
 from lensframe.session import work_path
 from lensframe.sources import sinks, text_model
@@ -156,7 +156,8 @@ def gt_inliers(s, d):
     return out.select(F.col("i").alias("id"), "inlier")
 
 
-@query()
+@query(f"""SELECT coalesce(a.track_id, b.track_id) AS track_id, a.gt_code, b.code FROM (WITH {_rays("cam")} SELECT track_id, {STATUS} AS gt_code FROM t) a
+FULL JOIN (WITH {_rays("cam2")} SELECT track_id, {STATUS} AS code FROM t) b ON a.track_id = b.track_id""")
 def classify_tracks(s, d):
     return tracks.classify_tracks(view(s, d, "obs"), cameras(s, d), cameras(s, d, 0.02))
 

@@ -107,10 +107,15 @@ def covis_edges(s, d):
     return graph.covis_edges(view(s, d, "obs"))
 
 
-@query("SELECT track_id, count(*) AS n FROM obs GROUP BY track_id")
+@query("""WITH RECURSIVE o AS (SELECT track_id, CASE WHEN track_id % 7 = 0 THEN i + 100000 ELSE i END AS i FROM obs WHERE track_id % 7 > 0 OR i % 3 = 0),
+e AS (SELECT DISTINCT a.i, b.i AS j FROM o a JOIN o b ON a.track_id = b.track_id AND a.i <> b.i), r AS (SELECT i, i AS j FROM (SELECT DISTINCT i FROM o) UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+c AS (SELECT i, min(j) AS c FROM r GROUP BY i), big AS (SELECT c FROM c GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)
+SELECT track_id, count(*) AS n FROM o JOIN c USING (i) WHERE c.c = (SELECT c FROM big) GROUP BY track_id""")
 def scene_lcc(s, d):
-    """The cameras of the test tables are all covisible, so all tracks stay."""
-    return graph.scene_lcc(view(s, d, "obs")).groupBy("track_id").agg(F.count("*").alias("n"))
+    """Every seventh track is seen by cameras of another part of the scene, which is cut off."""
+    o = view(s, d, "obs").select("track_id", "i").where("track_id % 7 > 0 or i % 3 = 0")
+    o = o.withColumn("i", F.when(F.col("track_id") % 7 == 0, F.col("i") + 100000).otherwise(F.col("i")))
+    return graph.scene_lcc(o).groupBy("track_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT least(i, j) AS i, greatest(i, j) AS j FROM edges WHERE i % 4 > 0 AND j % 4 > 0")
@@ -213,13 +218,40 @@ def track_max_angle(s, d):
     return rounded(tracks.track_max_angle(view(s, d, "obs"), cameras(s, d), view(s, d, "points")), 4)
 
 
-@query()
+def _rays(cam: str) -> str:
+    """World rays of all measurements, and per track the sums of (I - d d^T) and of its product with the centre."""
+    return f"""w AS (SELECT o.track_id, c.qw AS w, c.qx AS a, c.qy AS b, c.qz AS c, c.tx, c.ty, c.tz, (o.u - 320) / c.f AS x, (o.v - 240) / c.f AS y FROM obs o JOIN {cam} c ON o.i = c.i),
+n AS (SELECT *, sqrt(x * x + y * y + 1) AS l FROM w), r1 AS (SELECT *, (b - c * y) / l AS cx, (c * x - a) / l AS cy, (a * y - b * x) / l AS cz FROM n),
+r AS (SELECT track_id, tx, ty, tz, x / l + 2 * w * cx + 2 * (b * cz - c * cy) AS dx, y / l + 2 * w * cy + 2 * (c * cx - a * cz) AS dy, 1 / l + 2 * w * cz + 2 * (a * cy - b * cx) AS dz FROM r1),
+g AS (SELECT *, dx * tx + dy * ty + dz * tz AS k FROM r),
+m AS (SELECT track_id, count(*) AS n, sum(1 - dx * dx) AS xx, sum(-dx * dy) AS xy, sum(-dx * dz) AS xz, sum(1 - dy * dy) AS yy, sum(-dy * dz) AS yz, sum(1 - dz * dz) AS zz,
+ sum(tx - dx * k) AS vx, sum(ty - dy * k) AS vy, sum(tz - dz * k) AS vz FROM g GROUP BY track_id),
+t AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m)"""
+
+
+STATUS = "CASE WHEN n < 2 THEN 'FEW' WHEN det <= 1e-9 THEN 'DEGENERATE' ELSE 'SUCCESS' END"
+
+
+@query(f"""WITH {_rays("cam")} SELECT track_id, n, {STATUS} AS status,
+ CASE WHEN n >= 2 AND det > 0.01 THEN round(((yy * zz - yz * yz) * vx + (xz * yz - xy * zz) * vy + (xy * yz - xz * yy) * vz) / det, 3) END AS x,
+ CASE WHEN n >= 2 AND det > 0.01 THEN round(((xz * yz - xy * zz) * vx + (xx * zz - xz * xz) * vy + (xy * xz - xx * yz) * vz) / det, 3) END AS y,
+ CASE WHEN n >= 2 AND det > 0.01 THEN round(((xy * yz - xz * yy) * vx + (xy * xz - xx * yz) * vy + (xx * yy - xy * xy) * vz) / det, 3) END AS z, det > 0.01 AS firm FROM t""")
 def track_triangulate(s, d):
-    return rounded(tracks.track_triangulate(view(s, d, "obs"), cameras(s, d), ), 4)
+    """Points are compared where the rays are far from parallel, the status everywhere."""
+    t = tracks.track_triangulate(view(s, d, "obs"), cameras(s, d))
+    firm = F.col("det") > 0.01
+    return t.select("track_id", "n", "status", *(F.when((F.col("n") >= 2) & firm, F.round(c, 3)).alias(c) for c in "xyz"), firm.alias("firm"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT track_id, i, u * 40 AS u, v + track_id % 977 AS v FROM obs), k AS (SELECT *, floor(u) AS cu, floor(v) AS cv FROM o),
+e AS (SELECT DISTINCT a.track_id AS a, b.track_id AS b FROM k a JOIN k b USING (i, cu, cv) WHERE a.track_id <> b.track_id), r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS track_id, min(b) AS c FROM r GROUP BY a), m AS (SELECT coalesce(c.c, o.track_id) AS merged, o.* FROM o LEFT JOIN c USING (track_id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY merged, i ORDER BY track_id, u, v) AS n FROM m) SELECT merged AS track_id, i, round(u, 4) AS u, round(v, 4) AS v FROM z WHERE n = 1""")
 def merge_duplicate_tracks(s, d):
+    return rounded(_merged(s, d), 4)
+
+
+def _merged(s, d):
     return tracks.merge_duplicate_tracks(view(s, d, "obs").select("track_id", "i", (F.col("u") * 40).alias("u"), (F.col("v") + F.col("track_id") % 977).alias("v")))
 
 
@@ -345,13 +377,19 @@ def cluster_prune(s, d):
     return scenes.cluster_prune(nodes, p.where("i % 16 < 5")).select(F.array_join("path", "/").alias("node"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS lo, count(*) OVER () AS n FROM (SELECT DISTINCT i FROM images)),
+d AS (SELECT greatest(0, ceil(log2(max(n) / 4.0)))::BIGINT AS depth FROM k),
+r AS (SELECT i, lo, n, '' AS path, 0 AS level FROM k UNION ALL
+ SELECT i, CASE WHEN n > 1 AND lo >= greatest(1, n // 2) THEN lo - greatest(1, n // 2) ELSE lo END, CASE WHEN n > 1 AND lo >= greatest(1, n // 2) THEN n - greatest(1, n // 2) ELSE least(n, greatest(1, n // 2)) END,
+  path || CASE WHEN n > 1 AND lo >= greatest(1, n // 2) THEN '1' ELSE '0' END, level + 1 FROM r, d WHERE level < depth)
+SELECT i, path FROM r, d WHERE level = depth""")
 def cluster_binary(s, d):
     c = scenes.cluster_binary(view(s, d, "images"), 4)
     return c.select("i", F.array_join("path", "").alias("path"))
 
 
-@query()
+@query(f"""WITH {PATHS}, n AS (SELECT DISTINCT array_to_string(path, '/') AS node FROM p)
+SELECT node, ('0x' || substr(md5(node), 1, 2))::INT AS r, ('0x' || substr(md5(node), 3, 2))::INT AS g, ('0x' || substr(md5(node), 5, 2))::INT AS b FROM n""")
 def color_by_cluster(s, d):
     return scenes.color_by_cluster(paths(s, d)).select(F.array_join("path", "/").alias("node"), "r", "g", "b")
 

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from lensframe.functions import geometry as g
 
 
+#: Values or frames that one line holds at most.
+LINE_ROWS = 1000
+
+
+def _bounded():
+    """A number that at most LINE_ROWS rows share."""
+    return F.floor(F.monotonically_increasing_id() / LINE_ROWS)
+
+
 def _numbers(*cols):
     return F.concat_ws(" ", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols))
 
@@ -32,7 +41,7 @@ def scene_lines(images: DataFrame, observations: DataFrame) -> DataFrame:
 
 def sink_images(images: DataFrame, observations: DataFrame, path: str) -> None:
     x = scene_lines(images, observations).select("scene", "i", F.concat("pose", F.lit("\n"), "points").alias("value"))
-    x.repartition("scene").sortWithinPartitions("scene", "i").select("scene", "value").write.partitionBy("scene").text(path)
+    x.repartitionByRange("scene", "i").sortWithinPartitions("scene", "i").select("scene", "value").write.partitionBy("scene").text(path)
 
 
 def sink_points(points: DataFrame, observations: DataFrame, path: str) -> None:
@@ -46,10 +55,9 @@ def sink_points(points: DataFrame, observations: DataFrame, path: str) -> None:
 
 
 def sink_metrics_json(metrics: DataFrame, path: str) -> None:
-    """A JSON document per run and group."""
-    m = metrics.groupBy("run", "grp", "metric").agg(F.sort_array(F.collect_list("value")).alias("full_data"))
-    m = m.groupBy("run", "grp").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("full_data")))).alias("m"))
-    m.select("run", F.to_json(F.create_map("grp", "m")).alias("value")).repartition("run").write.partitionBy("run").option("lineSep", "\n").text(path)
+    """JSON lines per run, each with at most LINE_ROWS values of one metric."""
+    m = metrics.select("run", "grp", "metric", "value", _bounded().alias("c")).groupBy("run", "grp", "metric", "c").agg(F.collect_list("value").alias("full_data"))
+    m.select("run", F.to_json(F.create_map("grp", F.create_map("metric", F.struct("full_data")))).alias("value")).write.partitionBy("run").text(path)
 
 
 def sink_tsv(rows: DataFrame, path: str) -> None:
@@ -61,11 +69,12 @@ def sink_metrics_csv(metrics: DataFrame, path: str) -> None:
 
 
 def sink_frames_json(frames: DataFrame, path: str) -> None:
-    """Per scene one document of frames with 4x4 camera-to-world matrices."""
+    """JSON lines per scene, each with at most LINE_ROWS frames with 4x4 camera-to-world
+    matrices."""
     m, t = g.matrix(F.col("q")), F.col("t")
     rows = F.array(*(F.array(*(m[3 * r + c] for c in range(3)), t["xyz"[r]]) for r in range(3)), F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
     f = frames.select("scene", F.struct(F.col("name").alias("file_path"), rows.alias("transform_matrix")).alias("frame"))
-    f.groupBy("scene").agg(F.to_json(F.struct(F.array_sort(F.collect_list("frame")).alias("frames"))).alias("value")).write.partitionBy("scene").text(path)
+    f.withColumn("c", _bounded()).groupBy("scene", "c").agg(F.to_json(F.struct(F.array_sort(F.collect_list("frame")).alias("frames"))).alias("value")).drop("c").write.partitionBy("scene").text(path)
 
 
 def sink_results_log(results: DataFrame, path: str) -> None:

@@ -9,12 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lensframe.operators.ranking import numbered
+
 
 def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(scene, line number, line) of the files ``name`` below ``path``."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
-    t = t.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("scene"), F.col("_metadata.file_name").alias("file"), "value")
-    return t.select("scene", "file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    """(scene, file, line) of the files ``name`` below ``path``, with what orders the lines
+    of a file: a large file is read in several blocks, each by one task in order."""
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
+    return t.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("scene"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"),
+                    F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    """The lines with their number n in the file, from 0."""
+    return numbered(lines, ["scene", "file"], ["_block", "_line"], "n")
 
 
 def _data(lines: DataFrame) -> DataFrame:
@@ -37,16 +45,15 @@ def src_images(spark: SparkSession, path: str, name: str = "images.txt") -> Data
     camera to world here) and the image points. ``i`` is the rank of the name."""
     from lensframe.functions import geometry as g
 
-    d = _data(_lines(spark, path, name))
-    w = Window.partitionBy("scene").orderBy("n")
-    d = d.withColumn("r", F.row_number().over(w) - 1).withColumn("points", F.lead("f").over(w))
-    d = d.where("r % 2 = 0 and size(f) >= 10")
+    d = _counted(_data(_lines(spark, path, name)))
+    line = lambda k: F.max(F.when(F.col("n") % 2 == k, F.col("f")))
+    d = d.groupBy("scene", "file", F.floor(F.col("n") / 2).alias("record")).agg(line(0).alias("f"), line(1).alias("points")).where("size(f) >= 10")
     f = F.col("f")
     q = g.quat(*(f[k].cast("double") for k in (1, 2, 3, 4)))
     t = g.vec(*(f[k].cast("double") for k in (5, 6, 7)))
     d = d.select("scene", f[0].cast("long").alias("image_id"), f[8].cast("long").alias("camera_id"), f[9].alias("name"),
                  g.conjugate(q).alias("q"), g.scale(g.rotate(g.conjugate(q), t), F.lit(-1.0)).alias("t"), "points")
-    return d.withColumn("i", F.row_number().over(Window.partitionBy("scene").orderBy("name")) - 1)
+    return numbered(d, ["scene"], ["name", "image_id"], "i")
 
 
 def src_image_points(images: DataFrame) -> DataFrame:
@@ -73,8 +80,12 @@ def src_tracks(points: DataFrame) -> DataFrame:
 
 
 def src_scene_tree(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """Folders that hold a whole model, as paths below ``root``."""
-    t = _lines(spark, path, "{cameras,images,points3D}.txt").select("scene", "file").distinct().groupBy("scene").agg(F.count("*").alias("files"))
+    """Folders that hold a whole model, as paths below ``root``. Only the names of files are
+    read; a model file may be a folder of parts (``cameras.txt`` or ``file=cameras.txt``)."""
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    found = r"^(.*?)/(?:file=)?(cameras|images|points3D)\.txt(?:/[^/]*)?$"
+    t = t.select(F.regexp_extract("path", found, 1).alias("scene"), F.regexp_extract("path", found, 2).alias("file")).where("file <> ''").distinct()
+    t = t.groupBy("scene").agg(F.count("*").alias("files"))
     return t.where("files = 3").select("scene", F.array_remove(F.split(F.regexp_replace("scene", ".*" + root, ""), "/"), "").alias("path"))
 
 
@@ -84,7 +95,7 @@ def src_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def src_similarity_matrix(spark: SparkSession, path: str, name: str = "*.txt") -> DataFrame:
     """Finite scores of a comma matrix."""
-    d = _lines(spark, path, name).where("trim(line) <> ''")
+    d = _counted(_lines(spark, path, name).where("trim(line) <> ''"))
     x = d.select("scene", F.col("n").alias("i"), F.posexplode(F.split("line", ",")).alias("j", "s")).withColumn("score", F.trim("s").try_cast("double"))
     return x.where("score is not null and not isnan(score) and abs(score) < double('infinity')").select("scene", "i", "j", "score")
 
@@ -106,18 +117,19 @@ def src_constraints(spark: SparkSession, path: str, name: str = "constraints.txt
 
 def src_poselog(spark: SparkSession, path: str, name: str = "*.log") -> DataFrame:
     """Five lines a record: a header, then a 4x4 matrix."""
-    d = _lines(spark, path, name).where("trim(line) <> ''")
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("scene", "file").orderBy("n")) - 1)
+    d = _counted(_lines(spark, path, name).where("trim(line) <> ''")).withColumnRenamed("n", "r")
     rec = d.groupBy("scene", "file", F.floor(F.col("r") / 5).alias("record")).agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("l"))
     num = F.flatten(F.transform(F.slice("l", 2, 4), lambda x: F.split(F.trim(x["line"]), "\\s+")))
     return rec.select("scene", "record", F.split(F.trim(F.col("l")[0]["line"]), "\\s+")[0].cast("long").alias("i"), _doubles(num).alias("m"))
 
 
 def src_matrix_files(spark: SparkSession, path: str, name: str = "*.txt") -> DataFrame:
-    """One matrix a file; the image index is the file's number."""
+    """One matrix a file; the image index is the file's number, or that of its folder
+    ``i=<number>``."""
     d = _data(_lines(spark, path, name)).where("trim(line) <> ''")
-    x = d.groupBy("scene", "file").agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("l"))
-    return x.select("scene", F.regexp_extract("file", "(\\d+)", 1).cast("long").alias("i"), F.transform("l", lambda r: F.transform(r["f"], lambda v: v.cast("double"))).alias("m"))
+    x = d.groupBy("scene", "file").agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "f"))).alias("l"))
+    number = F.coalesce(F.nullif(F.regexp_extract("scene", "/i=(\\d+)$", 1), F.lit("")), F.regexp_extract("file", "(\\d+)", 1))
+    return x.select("scene", number.cast("long").alias("i"), F.transform("l", lambda r: F.transform(r["f"], lambda v: v.cast("double"))).alias("m"))
 
 
 def src_covis_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
@@ -129,9 +141,10 @@ def src_covis_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
     return x.select(F.least("ia", "ib").alias("i"), F.greatest("ia", "ib").alias("j")).distinct()
 
 
-def src_metrics_json(spark: SparkSession, path: str) -> DataFrame:
-    """{group: {metric: number or {summary, full_data}}} -> a row per value."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+def src_metrics_json(spark: SparkSession, path: str, name: str = "*.json", lines: bool = False) -> DataFrame:
+    """{group: {metric: number or {summary, full_data}}} -> a row per value; a document
+    per file, or per line."""
+    t = spark.read.option("wholetext", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
     t = t.select(F.regexp_extract("_metadata.file_path", "run=([^/]*)", 1).alias("run"), F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("grp", "m"))
     t = t.select("run", "grp", F.explode("m").alias("metric", "v"))
     full = F.from_json("v", "struct<full_data:array<double>>")["full_data"]
@@ -145,7 +158,7 @@ def src_calibration_json(spark: SparkSession, path: str) -> DataFrame:
 
 def src_report_tables(spark: SparkSession, path: str, name: str = "*.html") -> DataFrame:
     """(table, metric, value) of the two-cell rows under each heading."""
-    d = _lines(spark, path, name)
+    d = _counted(_lines(spark, path, name))  # a report is a page
     d = d.withColumn("h", F.nullif(F.regexp_extract("line", "<h2>(.*?)</h2>", 1), F.lit("")))
     w = Window.partitionBy("scene", "file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("table", F.last("h", ignorenulls=True).over(w)).withColumn("c", F.regexp_extract_all("line", F.lit("<td>(.*?)</td>"), F.lit(1)))

@@ -1,10 +1,10 @@
 import pytest
 
-from lensframe.plans import catalog, catalog_io, catalog_merge, catalog_more, catalog_scene
+from lensframe.plans import catalog, catalog_files, catalog_io, catalog_merge, catalog_more, catalog_scene
 from tests.compare import SF, connection, same
 
-Q = {**catalog.QUERIES, **catalog_scene.QUERIES, **catalog_io.QUERIES, **catalog_more.QUERIES, **catalog_merge.QUERIES}
-S = {**catalog.ORACLE_SQL, **catalog_scene.ORACLE_SQL, **catalog_io.ORACLE_SQL, **catalog_more.ORACLE_SQL, **catalog_merge.ORACLE_SQL}
+Q = {**catalog.QUERIES, **catalog_scene.QUERIES, **catalog_io.QUERIES, **catalog_more.QUERIES, **catalog_merge.QUERIES, **catalog_files.QUERIES}
+S = {**catalog.ORACLE_SQL, **catalog_scene.ORACLE_SQL, **catalog_io.ORACLE_SQL, **catalog_more.ORACLE_SQL, **catalog_merge.ORACLE_SQL, **catalog_files.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
