@@ -330,7 +330,8 @@ def sets_of(documents: DataFrame, wanted: DataFrame, flt, k: int) -> DataFrame:
                     [b.column("doc_id"), pa.array([node_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())],
                     ["doc_id", "node", "grams"])
 
-    found = src.mapInArrow(lean(run), "doc_id long, node long, grams binary")
+    # Rows equal in id and text give their set once, before anything is shuffled.
+    found = src.mapInArrow(lean(run), "doc_id long, node long, grams binary").dropDuplicates(["doc_id", "node"])
     return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", "grams")
 
 

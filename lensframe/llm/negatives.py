@@ -152,20 +152,25 @@ def _one_length(rows: DataFrame, anchors: DataFrame, dim: int, count: int, bound
     w = Window.partitionBy("rid").orderBy(F.desc("positive_score"), "positive_id")
     near = near.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= positives)
     near = materialise(near, "rns-positives")
-    # An anchor travels once for each of its positives.
-    asking = near.join(anchors, "rid")
+    # An anchor travels once, with its positives side by side.
+    places = range(1, positives + 1)
+    own = lambda k, c: F.coalesce(F.max(F.when(F.col("place") == k, F.col(c))), F.lit(0)).cast("long")
+    beside = near.groupBy("rid").agg(F.count("*").alias("found"), *(own(k, c).alias(f"{c}_{k}") for c in ("positive_id", "positive_score") for k in places))
+    asking = beside.join(anchors, "rid")
 
     def in_window(ask, have, score):
         out = []
-        for i, (rid, ident, label, place, pos, ps) in enumerate(zip(*ask)):
-            s = score[i]
-            at = np.flatnonzero((have[2] != label) & (low * ps <= 100 * s) & (100 * s <= high * ps))
-            out += [(rid, place, ident, pos, ps, have[1][j], s[j]) for j in _best(s, have[1], at, negatives)]
+        for i, (rid, ident, label, n, *rest) in enumerate(zip(*ask)):
+            s, other = score[i], have[2] != label
+            for place, pos, ps in zip(range(1, n + 1), rest[:positives], rest[positives:]):
+                at = np.flatnonzero(other & (low * ps <= 100 * s) & (100 * s <= high * ps))
+                out += [(rid, place, ident, pos, ps, have[1][j], s[j]) for j in _best(s, have[1], at, negatives)]
         cols = list(zip(*out)) or [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], found)
 
     found = ["rid", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
-    far = meet(asking, ["place", "positive_id", "positive_score"], in_window, ", ".join(f"{c} long" for c in found))
+    more = ["found", *(f"{c}_{k}" for c in ("positive_id", "positive_score") for k in places)]
+    far = meet(asking, more, in_window, ", ".join(f"{c} long" for c in found))
     w = Window.partitionBy("rid", "place").orderBy(F.desc("negative_score"), "negative_id")
     far = far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= negatives)
     return far.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
