@@ -11,10 +11,12 @@ from lensframe.functions import geometry as g
 
 
 def pairs_exhaustive(images: DataFrame, block: int = 2048) -> DataFrame:
-    """All i < j. Images are put in blocks; a pair of blocks is one join key, so
-    the quadratic result is spread evenly (there is no theta join)."""
-    ranked = images.select("i").distinct().withColumn("b", F.pmod(F.xxhash64("i"), F.lit(16)).cast("int"))
-    cells = F.sequence(F.lit(0), F.lit(15))
+    """All i < j. Images are put in blocks of about ``block``; a pair of blocks is one
+    join key, so the quadratic result is spread evenly (there is no theta join)."""
+    images = images.select("i").distinct()
+    blocks = max(4, -(-images.count() // block))
+    ranked = images.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    cells = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = ranked.withColumn("c", F.explode(cells)).select(F.struct("b", "c").alias("cell"), "i")
     right = ranked.withColumn("c", F.explode(cells)).select(F.struct(F.col("c").alias("b"), F.col("b").alias("c")).alias("cell"), F.col("i").alias("j"))
     return left.join(right, "cell").where("i < j").select("i", "j")

@@ -143,17 +143,20 @@ def knn_points(points: DataFrame, others: DataFrame, k: int, size: float) -> Dat
     there are fewer. Grid search: a point is settled once its k-th distance is
     within the ring searched; the cell grows for those that are not, until it
     spans both clouds, so every point is settled. The first cell is ``size`` or,
-    if that is less, what holds about k points at the clouds' mean density. Rows
+    if that is less, what holds about k points at the mean density of the clouds' middle
+    (96 % along each axis, so that far points don't widen it). Rows
     with a null or non-finite coordinate take no part."""
     ok = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz")
     points, others = points.where(ok), others.where(ok)
     both = points.select("x", "y", "z").union(others.select("x", "y", "z")).agg(
-        F.count("*").alias("n"), *(f(c).alias(f"{a}{c}") for c in "xyz" for a, f in (("lo", F.min), ("hi", F.max)))).first()
+        F.count("*").alias("n"), *(f(c).alias(f"{a}{c}") for c in "xyz" for a, f in (("lo", F.min), ("hi", F.max))),
+        *(F.percentile_approx(c, F.array(F.lit(0.02), F.lit(0.98)), F.lit(1000)).alias(f"mid{c}") for c in "xyz")).first()
     if not both.n:
         return points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
     side = [both[f"hi{c}"] - both[f"lo{c}"] for c in "xyz"]
     span = max(*side, size)
-    r = min(size, (max(side[0], 1e-9) * max(side[1], 1e-9) * max(side[2], 1e-9) * k / both.n) ** (1 / 3))
+    mid = [max(both[f"mid{c}"][1] - both[f"mid{c}"][0], 1e-9) for c in "xyz"]
+    r = min(size, (mid[0] * mid[1] * mid[2] * k / both.n) ** (1 / 3))
     r = max(r, span / 2**20)
     todo, out, n = points.select("id", "x", "y", "z"), None, 0
     while True:
