@@ -76,7 +76,7 @@ def src_scene_tree(s, d):
     return t.select(F.replace(F.regexp_replace(F.element_at("path", -1), "node=", ""), F.lit("-"), F.lit("/")).alias("node")).distinct()
 
 
-@query("SELECT i AS a, j AS b, round(score, 6) AS x0, round(score * 12, 6) AS x11, round(i * 0.5, 6) AS cov, (j % 50 + 7)::INT AS n FROM edges")
+@query("SELECT i AS a, j AS b, round(score, 8) AS x0, round(score * 12, 8) AS x11, round(i * 0.5, 6) AS cov, (j % 50 + 7)::INT AS n FROM edges")
 def src_constraints(s, d):
     """Rows of 75 numbers."""
     path = work_path(s, "constraints")
@@ -86,7 +86,7 @@ def src_constraints(s, d):
     n = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: (F.col("j") % 50 + k).cast("string"))
     e.select(F.array_join(F.concat(F.array(F.col("i").cast("string"), F.col("j").cast("string")), pose, cov, n), ",").alias("value")).write.text(path)
     t = text_model.src_constraints(s, path, "part-*")
-    return rounded(t.select("a", "b", F.col("pose")[0].alias("x0"), F.col("pose")[11].alias("x11"), F.col("cov")[1][2].alias("cov"), F.col("counts")[1][2].alias("n")))
+    return rounded(t.select("a", "b", F.col("pose")[0].alias("x0"), F.col("pose")[11].alias("x11"), F.col("cov")[1][2].alias("cov"), F.col("counts")[1][2].alias("n")), 8)
 
 
 @query("SELECT i, round(1 - 2 * (qy * qy + qz * qz), 6) AS r00, round(2 * (qy * qz + qw * qx), 6) AS r21, round(tx, 6) AS x, round(tz, 6) AS z, 1.0::DOUBLE AS one FROM cam")
@@ -155,13 +155,13 @@ def sensor_width_lookup(s, d):
     return tables.sensor_width_lookup(im, whole.unionByName(series)).select("i", "sensor_width", "matches")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT i // 50 AS a, j // 50 AS b FROM edges WHERE i // 50 <> j // 50), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT 0, 7 UNION SELECT 7, 0),
-r AS (SELECT 0::BIGINT AS node, 0 AS outside, 0 AS hops UNION SELECT g.b, outside + (CASE WHEN g.b % 3 = 0 THEN 0 ELSE 1 END), hops + 1 FROM r JOIN g ON r.node = g.a WHERE hops < 45 AND g.b > r.node - 1)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT i // 50 % 12 AS a, j // 50 % 12 AS b FROM edges WHERE i // 50 <> j // 50), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT 0, 7 UNION SELECT 7, 0),
+r AS (SELECT 0::BIGINT AS node, 0 AS outside, 0 AS hops UNION SELECT g.b, outside + (CASE WHEN g.b % 3 = 0 THEN 0 ELSE 1 END), hops + 1 FROM r JOIN g ON r.node = g.a WHERE hops < 45)
 SELECT node, min(outside) AS outside, (min(outside * 1000 + hops) % 1000)::INT AS hops FROM r GROUP BY node""")
 def overlap_path(s, d):
-    """From the first block of cameras to all others, blocks divisible by three being siblings; the shortcut makes
-    paths that differ in cost."""
-    e = view(s, d, "edges").select(F.floor(F.col("i") / 50).alias("i"), F.floor(F.col("j") / 50).alias("j")).where("i <> j").distinct().unionByName(s.sql("SELECT 0L AS i, 7L AS j"))
+    """From the first of twelve blocks of cameras to all others, blocks divisible by three being siblings; the
+    shortcut makes paths that differ in cost."""
+    e = view(s, d, "edges").select((F.floor(F.col("i") / 50) % 12).alias("i"), (F.floor(F.col("j") / 50) % 12).alias("j")).where("i <> j").distinct().unionByName(s.sql("SELECT 0L AS i, 7L AS j"))
     nodes = e.select("i").union(e.select("j")).distinct()
     return graph.overlap_path(e, 0, nodes, nodes.where("i % 3 = 0"))
 
@@ -205,15 +205,15 @@ _UV = "x / z AS a, y / z AS b, (x * x + y * y) / (z * z) AS r2, sqrt(x * x + y *
 @query(f"""WITH p AS (SELECT id, {_UV}, id % 5 AS m FROM points WHERE z > 0), t AS (SELECT *, atan(r) AS th FROM p),
 k AS (SELECT *, CASE WHEN m = 0 THEN 1 WHEN m = 1 THEN 1 + 0.1 * r2 WHEN m = 2 THEN 1 + 0.1 * r2 + 0.02 * r2 * r2 WHEN m = 3 THEN 1 + 0.1 * r2 + 0.02 * r2 * r2
  ELSE CASE WHEN r > 1e-12 THEN th * (1 + 0.1 * th ** 2 + 0.02 * th ** 4 + 0.003 * th ** 6 + 0.0004 * th ** 8) / r ELSE 1 END END AS g FROM t)
-SELECT id, round(700 * (a * g + CASE WHEN m = 3 THEN 2 * 0.003 * a * b + 0.0004 * (r2 + 2 * a * a) ELSE 0 END) + 320, 4) AS u,
- round(CASE WHEN m IN (1, 2) THEN 700 ELSE 650 END * (b * g + CASE WHEN m = 3 THEN 0.003 * (r2 + 2 * b * b) + 2 * 0.0004 * a * b ELSE 0 END) + 240, 4) AS v FROM k""")
+SELECT id, round(700.0193 * (a * g + CASE WHEN m = 3 THEN 2 * 0.003 * a * b + 0.0004 * (r2 + 2 * a * a) ELSE 0 END) + 320, 4) AS u,
+ round(CASE WHEN m IN (1, 2) THEN 700.0193 ELSE 650.0371 END * (b * g + CASE WHEN m = 3 THEN 0.003 * (r2 + 2 * b * b) + 2 * 0.0004 * a * b ELSE 0 END) + 240, 4) AS v FROM k""")
 def project(s, d):
     """All five camera models."""
     x = lambda *v: F.array(*(F.lit(float(k)) for k in v))
     m = F.col("id") % 5
     model = F.element_at(F.array(*map(F.lit, ("PINHOLE", "SIMPLE_RADIAL", "RADIAL", "OPENCV", "OPENCV_FISHEYE"))), (m + 1).cast("int"))
-    p = F.when(m == 0, x(700, 650, 320, 240)).when(m == 1, x(700, 320, 240, 0.1)).when(m == 2, x(700, 320, 240, 0.1, 0.02)).when(
-        m == 3, x(700, 650, 320, 240, 0.1, 0.02, 0.003, 0.0004)).otherwise(x(700, 650, 320, 240, 0.1, 0.02, 0.003, 0.0004))
+    p = F.when(m == 0, x(700.0193, 650.0371, 320, 240)).when(m == 1, x(700.0193, 320, 240, 0.1)).when(m == 2, x(700.0193, 320, 240, 0.1, 0.02)).when(
+        m == 3, x(700.0193, 650.0371, 320, 240, 0.1, 0.02, 0.003, 0.0004)).otherwise(x(700.0193, 650.0371, 320, 240, 0.1, 0.02, 0.003, 0.0004))
     r = g.bound(view(s, d, "points").withColumns({"_m": model, "_p": p}), "_uv", g.project(F.col("_m"), F.col("_p"), g.vec(F.col("x"), F.col("y"), F.col("z"))))
     return rounded(r.where("_uv is not null").select("id", "_uv.u", "_uv.v"), 4)
 
