@@ -36,14 +36,16 @@ _LOCAL: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver see."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     app = spark.sparkContext.applicationId
-    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(app)
-    if not d:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
-        d = _LOCAL[app] = tempfile.mkdtemp(prefix="lensframe-")
-    return d
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="lensframe-")
+    return _LOCAL[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
