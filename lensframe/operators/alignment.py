@@ -215,7 +215,8 @@ def principal_axes(points: DataFrame, keys: list[str], share: float | None = 0.9
     n = g.norm(g.vec(*(F.col(c) for c in "xyz")))
     p = points
     if share is not None:
-        cut = percentiles(points, keys, n, {"_cut": share})
+        # Written, so that Spark sees how small it is and never broadcasts the points instead.
+        cut = materialise(percentiles(points, keys, n, {"_cut": share}), "axes-cut")
         p = (points.join(cut, keys) if keys else points.crossJoin(cut)).where(n < F.col("_cut")).drop("_cut")
     two = [(a, b) for k, a in enumerate("xyz") for b in "xyz"[k:]]
     c = p.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m{a}") for a in "xyz"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in two)).where("n > 1")
@@ -233,6 +234,7 @@ def axis_align(points: DataFrame, keys: list[str], share: float = 0.95) -> DataF
     """Points turned so that the cloud's principal axes are x, y, z and shifted so that the
     mean of the points below the distance percentile is the origin."""
     a = principal_axes(points, keys, share).select(*keys, F.col("mean").alias("_m"), F.col("axes").alias("_a"))
+    a = materialise(a, "axes")  # a row per group, smaller than the points by Spark's own figures
     j = points.join(a, keys) if keys else points.crossJoin(a)
     d = [F.col(c) - F.col("_m")[c] for c in "xyz"]
     turned = {c: F.col("_a")[3 * k] * d[0] + F.col("_a")[3 * k + 1] * d[1] + F.col("_a")[3 * k + 2] * d[2] for k, c in enumerate("xyz")}
