@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lensframe.functions import geometry as g
 from lensframe.operators.ranking import numbered, percentiles
-from lensframe.session import materialise
+from lensframe.session import discard, materialise
 
 
 def inspect_tracks(errors: DataFrame, limit: float) -> DataFrame:
@@ -138,49 +138,104 @@ def near_camera_points(points: DataFrame, cameras: DataFrame, radius: float) ->
     return points.join(hit, "id", "left_semi")
 
 
+#: Cells along a block's edge, and the most neighbours and points of a block that one task call takes.
+BLOCK_CELLS, BLOCK_OTHERS, BLOCK_POINTS = 6, 60_000, 20_000
+
+
+def _nearest(k: int):
+    """Cogroup function: for the points of a block the k best of its neighbours."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(_, p, o):
+        n, m = p.num_rows, o.num_rows
+        ids, other = (t.column(c).to_numpy() for t, c in ((p, "id"), (o, "other")))
+        at = [p.column(c).to_numpy() for c in "xyz"]
+        to = [o.column(f"b{c}").to_numpy() for c in "xyz"]
+        order = np.argsort(other, kind="stable")  # so that a stable sort by distance breaks ties by id
+        other, to = other[order], [t[order] for t in to]
+        out, step = [], max(1, 200_000 // max(m, 1))
+        for s in range(0, n if m else 0, step):
+            d = np.zeros((min(step, n - s), m))
+            for x, y in zip(at, to):
+                d += (x[s : s + step, None] - y[None, :]) ** 2
+            d = np.sqrt(d)
+            d[ids[s : s + step, None] == other[None, :]] = np.nan  # comes last
+            if m > k:
+                bound = np.partition(d, k - 1, 1)[:, k - 1 : k]
+                row, col = np.nonzero((d <= bound) | (np.isnan(bound) & ~np.isnan(d)))
+            else:
+                row, col = np.nonzero(~np.isnan(d))
+            w = d[row, col]
+            by = np.lexsort((col, w, row))
+            row, col, w = row[by], col[by], w[by]
+            keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+            out.append((ids[s : s + step][row[keep]], other[col[keep]], w[keep]))
+        i, j, d = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"id": i.astype(np.int64), "other": j.astype(np.int64), "d": d})
+
+    return run
+
+
 def knn_points(points: DataFrame, others: DataFrame, k: int, size: float) -> DataFrame:
-    """(id, other, d, rank) of the k nearest others (another id); all of them where
-    there are fewer. Grid search: a point is settled once its k-th distance is
-    within the ring searched; the cell grows for those that are not, until it
-    spans both clouds, so every point is settled. The first cell is ``size`` or,
-    if that is less, what holds about k points at the mean density of the clouds' middle
+    """(id, other, d, rank) of the k nearest others (another id), ties to the smaller
+    one; all of them where there are fewer. Grid search: a point is settled once its k-th
+    distance is within the ring searched; the cell grows for those that are not, until
+    it spans both clouds, so every point is settled. The first cell is ``size`` or,
+    if that is less, what holds about k others at the mean density of their middle
     (96 % along each axis, so that far points don't widen it). Rows
-    with a null or non-finite coordinate take no part."""
+    with a null or non-finite coordinate take no part.
+
+    A block of cells gets its own points and the others up to one cell around it; a block
+    with many of either is dealt to several tasks. Of the others at one place only those
+    of the k + 1 smallest ids can be among the k nearest, so copies cost no more."""
     ok = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz")
-    points, others = points.where(ok), others.where(ok)
-    both = points.select("x", "y", "z").union(others.select("x", "y", "z")).agg(
-        F.count("*").alias("n"), *(f(c).alias(f"{a}{c}") for c in "xyz" for a, f in (("lo", F.min), ("hi", F.max))),
-        *(F.percentile_approx(c, F.array(F.lit(0.02), F.lit(0.98)), F.lit(1000)).alias(f"mid{c}") for c in "xyz")).first()
-    if not both.n:
-        return points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
-    side = [both[f"hi{c}"] - both[f"lo{c}"] for c in "xyz"]
-    span = max(*side, size)
+    kinds = {n: dict(t.dtypes)["id"] for n, t in (("id", points), ("other", others))}
+    xyz = lambda t, n, p="": t.where(ok).select(F.col("id").cast("long").alias(n), *(F.col(c).cast("double").alias(f"{p}{c}") for c in "xyz"))
+    todo = xyz(points, "id").where("id is not null")
+    place = Window.partitionBy("bx", "by", "bz").orderBy("other")
+    others = materialise(xyz(others, "other", "b").where("other is not null").withColumn("_r", F.dense_rank().over(place)).where(F.col("_r") <= k + 1).drop("_r"), "knn-others")
+    ends = lambda t, p: t.agg(F.count("*").alias("n"), *(f(f"{p}{c}").alias(f"{a}{c}") for c in "xyz" for a, f in (("lo", F.min), ("hi", F.max))),
+                              *(F.percentile_approx(f"{p}{c}", F.array(F.lit(0.02), F.lit(0.98)), F.lit(1000)).alias(f"mid{c}") for c in "xyz")).first()
+    both, own = ends(others, "b"), ends(todo, "")
+    typed = lambda t: t.select(F.col("id").cast(kinds["id"]).alias("id"), F.col("other").cast(kinds["other"]).alias("other"), "d", "rank")
+    if not both.n or not own.n:
+        return typed(todo.limit(0).select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")))
+    span = max(*(max(both[f"hi{c}"], own[f"hi{c}"]) - min(both[f"lo{c}"], own[f"lo{c}"]) for c in "xyz"), size)
     mid = [max(both[f"mid{c}"][1] - both[f"mid{c}"][0], 1e-9) for c in "xyz"]
-    r = min(size, (mid[0] * mid[1] * mid[2] * k / both.n) ** (1 / 3))
-    r = max(r, span / 2**20)
-    todo, out, n = points.select("id", "x", "y", "z"), None, 0
+    r = max(min(size, (mid[0] * mid[1] * mid[2] * k / both.n) ** (1 / 3)), span / 2**20)
+    out, rounds, block = None, 0, ["cx", "cy", "cz"]
     while True:
-        cell = lambda c: F.floor(c / r).cast("long")  # noqa: B023, E731
-        a = todo
-        for c in "xyz":
-            a = a.withColumn(f"o{c}", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        a = a.select("id", "x", "y", "z", *((cell(F.col(c)) + F.col(f"o{c}")).alias(f"c{c}") for c in "xyz"))
-        b = others.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in "xyz"), *(cell(F.col(c)).alias(f"c{c}") for c in "xyz"))
-        d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 + (F.col("z") - F.col("bz")) ** 2)
-        near = a.join(b, ["cx", "cy", "cz"]).where("id <> other").withColumn("d", d)
-        w = Window.partitionBy("id").orderBy("d", "other")
-        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        edge = r * BLOCK_CELLS
+        cell = lambda c, off=0.0: F.floor((F.col(c) + off) / edge).cast("long")  # noqa: B023, E731
+        a = todo.select("*", *(cell(c).alias(f"c{c}") for c in "xyz"))
+        b = others
+        for c in "xyz":  # a little more than a cell, so that rounding leaves none out
+            b = b.withColumn(f"c{c}", F.explode(F.sequence(cell(f"b{c}", -1.001 * r), cell(f"b{c}", 1.001 * r))))  # noqa: B023
+        parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+        # Merge joins: the planner can't see how many rows an explode makes or a block holds.
+        sizes = a.groupBy(*block).agg(F.count("*").alias("_n")).join(b.groupBy(*block).agg(F.count("*").alias("_m")).hint("merge"), block)
+        sizes = materialise(sizes.select(*block, parts("_n", BLOCK_POINTS).alias("_p"), parts("_m", BLOCK_OTHERS).alias("_o")), "knn-blocks")
+
+        def dealt(t, key, mine, theirs):
+            """Rows of a block in as many parts as it has, each met by every part of the other side."""
+            t = t.join(sizes.hint("merge"), block).withColumn(mine, F.pmod(F.xxhash64(key), F.col(mine)).cast("int"))  # noqa: B023
+            return t.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).groupBy(*block, "_p", "_o")
+
+        near = dealt(a, "id", "_p", "_o").cogroup(dealt(b, "other", "_o", "_p")).applyInArrow(_nearest(k), "id long, other long, d double")
+        w = Window.partitionBy("id")
+        near = near.withColumn("rank", F.row_number().over(w.orderBy("d", "other"))).where(F.col("rank") <= k)
         last = r >= span
-        done = near if last else near.withColumn("_m", F.max("rank").over(Window.partitionBy("id"))).withColumn("_d", F.max("d").over(Window.partitionBy("id"))).where(
-            (F.col("_m") == k) & (F.col("_d") <= r))
-        done = done.select("id", "other", "d", "rank")
-        done = materialise(done, "knn")
+        done = near if last else near.withColumns({"_m": F.max("rank").over(w), "_d": F.max("d").over(w)}).where((F.col("_m") == k) & (F.col("_d") <= r))
+        done = materialise(done.select("id", "other", "d", "rank"), "knn")
         out = done if out is None else out.unionByName(done)
-        todo = materialise(todo.join(done.select("id").distinct(), "id", "left_anti"), "knn-todo")
-        if last or todo.isEmpty():
-            return out
-        n += 1
-        r = min(r * (2 if n < 3 else 4), span)
+        left = None if last else materialise(todo.join(done.where("rank = 1").select("id").hint("merge"), "id", "left_anti"), "knn-todo")
+        discard(sizes, *([todo] if rounds else []))
+        if last or left.isEmpty():
+            discard(others)
+            return typed(out)
+        todo, rounds = left, rounds + 1
+        r = min(r * (2 if rounds < 3 else 4), span)
 
 
 def cloud_nn_distance(a: DataFrame, b: DataFrame, size: float) -> DataFrame:

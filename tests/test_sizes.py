@@ -3,9 +3,9 @@
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from lensframe.plans import catalog_merge
+from lensframe.operators import scenes
+from lensframe.plans import catalog_merge, catalog_scene
 from tests.compare import SF
 
 
@@ -30,3 +30,29 @@ def broadcasts(df) -> list[str]:
 def test_axis_align_never_broadcasts_the_points(spark):
     """Spark takes exploded points for as small as the rows they come from."""
     assert not [b for b in broadcasts(catalog_merge.axis_align(spark, SF)) if "Generate" in b]
+
+
+def test_neighbour_search_never_broadcasts(spark, monkeypatch):
+    plans, write = [], scenes.materialise
+    monkeypatch.setattr(scenes, "materialise", lambda df, name: (plans.extend(broadcasts(df)), write(df, name))[1])
+    for q in (catalog_scene.knn_points, catalog_scene.cloud_nn_distance, catalog_merge.downsample_psnr):
+        q(spark, SF)
+    assert not plans
+
+
+def test_neighbours_in_split_blocks_and_among_copies(spark, monkeypatch):
+    """One place of many copies, ties, a far point; blocks are dealt to several tasks."""
+    for name in ("BLOCK_OTHERS", "BLOCK_POINTS"):
+        if hasattr(scenes, name):
+            monkeypatch.setattr(scenes, name, 40)
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.zeros((150, 3)), rng.integers(0, 4, (150, 3)) / 2, rng.normal(size=(100, 3)), [[900.0, -7.0, 3.0]]])
+    ids = rng.permutation(len(at)).tolist()
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in zip(ids, at)], "id long, x double, y double, z double").repartition(3)
+    got = {(r["id"], r["rank"]): (r["other"], r["d"]) for r in scenes.knn_points(p, p, 4, 0.5).collect()}
+    want = {}
+    for i, x in zip(ids, at):
+        d = sorted((float(np.sqrt((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2)), j) for j, y in zip(ids, at) if j != i)
+        want |= {(i, n + 1): (j, e) for n, (e, j) in enumerate(d[:4])}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
