@@ -124,18 +124,59 @@ def robust_center(points: DataFrame, p: float = 0.75) -> DataFrame:
     return points.join(F.broadcast(cut), n < F.col("cut")).agg(*(F.avg(c).alias(c) for c in "xyz"))
 
 
-def near_camera_points(points: DataFrame, cameras: DataFrame, radius: float) -> DataFrame:
-    """Points strictly within ``radius`` of a camera, by a grid of that size."""
-    cell = lambda c: F.floor(c / radius).cast("long")
-    p = points.withColumns({f"c{a}": cell(F.col(a)) for a in "xyz"})
-    off = F.sequence(F.lit(-1), F.lit(1))
-    c = cameras.select(F.col("t").alias("_t"))
-    for a in "xyz":
-        c = c.withColumn(f"o{a}", F.explode(off))
-    c = c.select("_t", *((cell(F.col("_t")[a]) + F.col(f"o{a}")).alias(f"c{a}") for a in "xyz"))
-    near = sum(((F.col(a) - F.col("_t")[a]) ** 2 for a in "yz"), (F.col("x") - F.col("_t")["x"]) ** 2) < radius * radius
-    hit = p.join(c, ["cx", "cy", "cz"]).where(near).select("id").distinct()
-    return points.join(hit, "id", "left_semi")
+def near_camera_points(points: DataFrame, cameras: DataFrame, radius: float, levels: int = 5) -> DataFrame:
+    """Points strictly within ``radius`` of a camera. Occupied cells of points and cameras are
+    compared first, from cells of that size down to its 2^levels-th part: a cell of points that
+    lies wholly within the radius of a camera cell is settled, and of the camera cells
+    only those stay that may hold the nearest camera. What no cell settles meets those
+    cameras' rows. So the work follows the cells at the border, not points times cameras.
+    Rows with a null or non-finite coordinate are near nothing."""
+    key = {s: [f"_{s}{n}" for n in "xyz"] for s in "pc"}
+    xyz = {"p": [F.col(n) for n in "xyz"], "c": [F.col("_t")[n] for n in "xyz"]}
+    up = lambda n, by: F.expr(f"shiftright({n}, {by})")
+
+    def celled(t, s):
+        fit = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in xyz[s]]
+        return t.where(fit[0] & fit[1] & fit[2]).withColumns({k: F.floor(c / (radius / 2**levels)).cast("long") for k, c in zip(key[s], xyz[s])})
+
+    def occupied(s, level):
+        """The cells of a level, each with its parent's place."""
+        by = levels - level
+        return cells[s].select(*(up(n, by).alias(n) for n in key[s]), *(up(n, by + 1).alias(f"u{n}") for n in key[s])).distinct().hint("merge")
+
+    p, c = celled(points, "p"), celled(cameras.select(F.col("t").alias("_t")).distinct(), "c")
+    cells = {s: materialise(t.select(*key[s]).distinct(), "near-cells") for s, t in (("p", p), ("c", c))}
+    pairs, inside, rounds = None, None, []
+    # Merge joins all along: the planner can't see how many rows a cell holds.
+    for level in range(levels + 1):
+        h = radius / 2**level
+        if pairs is None:
+            pairs = occupied("c", 0).select(*key["c"])
+            for n, k in zip(key["p"], key["c"]):
+                pairs = pairs.withColumn(n, F.explode(F.sequence(F.col(k) - 2, F.col(k) + 2)))
+            pairs = pairs.select(*key["p"], *key["c"]).join(occupied("p", 0).select(*key["p"]), key["p"])
+        else:
+            pairs = pairs.select(*(F.col(n).alias(f"u{n}") for s in "pc" for n in key[s]))
+            for s in "pc":
+                pairs = pairs.join(occupied(s, level), [f"u{n}" for n in key[s]])
+        # Cells count as a little larger than they are, so that rounding never decides.
+        slack = h * (1e-6 + 1e-12 * F.greatest(*(F.abs(F.col(n)) for s in "pc" for n in key[s])))
+        apart = [F.abs(F.col(m) - F.col(n)) for m, n in zip(key["p"], key["c"])]
+        length = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        pairs = pairs.select(*key["p"], *key["c"], length([F.greatest((d - 1) * h - slack, F.lit(0.0)) for d in apart]).alias("_lo"), length([(d + 1) * h + slack for d in apart]).alias("_hi"))
+        pairs = pairs.where(F.col("_lo") < radius).withColumn("_least", F.min("_hi").over(Window.partitionBy(*key["p"])))
+        rounds.append(materialise(pairs.where(F.col("_lo") <= F.col("_least")).drop("_lo", "_hi"), "near-pairs"))
+        found = rounds[-1].where(F.col("_least") < radius).select(F.lit(level).alias("_l"), *key["p"]).distinct()
+        inside = found if inside is None else inside.unionByName(found)
+        pairs = rounds[-1].where(F.col("_least") >= radius).drop("_least")
+    tests = materialise(pairs.join(c.hint("merge"), key["c"]).select(*key["p"], "_t"), "near-tests")
+    above = cells["p"].withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({f"u{n}": up(n, f"{levels} - _l") for n in key["p"]})
+    full = above.join(inside.withColumnsRenamed({n: f"u{n}" for n in key["p"]}).hint("merge"), ["_l", *(f"u{n}" for n in key["p"])], "left_semi")
+    full = materialise(full.select(*key["p"]).distinct(), "near-full")
+    discard(*rounds, *cells.values())
+    d2 = sum(((F.col(n) - F.col("_t")[n]) ** 2 for n in "yz"), (F.col("x") - F.col("_t")["x"]) ** 2)
+    some = p.join(tests.hint("merge"), [*(p[n] == tests[n] for n in key["p"]), d2 < radius * radius], "left_semi")
+    return p.join(full.hint("merge"), key["p"], "left_semi").unionByName(some).select(*points.columns)
 
 
 #: Cells along a block's edge, and the most neighbours and points of a block that one task call takes.

@@ -56,3 +56,18 @@ def test_neighbours_in_split_blocks_and_among_copies(spark, monkeypatch):
         want |= {(i, n + 1): (j, e) for n, (e, j) in enumerate(d[:4])}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_near_points_meet_few_cameras(spark, monkeypatch):
+    """Points and cameras in one cell of the radius' size: the result is exact, and few cells meet a camera's rows."""
+    written, write = {}, scenes.materialise
+    monkeypatch.setattr(scenes, "materialise", lambda df, name: written.setdefault(name, write(df, name)) if name == "near-tests" else write(df, name))
+    rng = np.random.default_rng(3)
+    x, t = rng.uniform(-9, 9, (4000, 3)), rng.uniform(-2, 2, (1500, 3))
+    x[0], x[1] = (np.nan, 0, 0), (-np.inf, 0, 0)
+    p = spark.createDataFrame([(n, *map(float, v)) for n, v in enumerate(x)], "id long, x double, y double, z double")
+    c = spark.createDataFrame([(dict(zip("xyz", map(float, v))),) for v in t] + [(None,)], "t struct<x: double, y: double, z: double>")
+    got = sorted(r.id for r in scenes.near_camera_points(p, c, 4.0).collect())
+    d = ((x[:, None] - t[None]) ** 2).sum(2).min(1)
+    assert got == np.flatnonzero(d < 16).tolist()
+    assert written["near-tests"].count() < 4000 * 1500 / 50
