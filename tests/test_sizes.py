@@ -3,8 +3,9 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lensframe.operators import scenes
+from lensframe.operators import pairs, scenes
 from lensframe.plans import catalog_merge, catalog_scene
 from tests.compare import SF
 
@@ -71,3 +72,13 @@ def test_near_points_meet_few_cameras(spark, monkeypatch):
     d = ((x[:, None] - t[None]) ** 2).sum(2).min(1)
     assert got == np.flatnonzero(d < 16).tolist()
     assert written["near-tests"].count() < 4000 * 1500 / 50
+
+
+def test_all_pairs_are_made_by_many_tasks(spark):
+    """Few bytes make many rows, so the tasks must not be put together by bytes."""
+    i = spark.range(2000).select(F.col("id").alias("i"))
+    p = pairs.pairs_exhaustive(i, 200)
+    assert p.rdd.getNumPartitions() >= 40
+    per = p.groupBy(F.spark_partition_id()).count()
+    assert per.agg(F.sum("count"), F.max("count")).first()[0] == 2000 * 1999 // 2 and per.agg(F.max("count")).first()[0] < 400_000
+    assert p.where("i >= j").isEmpty() and p.distinct().count() == 2000 * 1999 // 2
