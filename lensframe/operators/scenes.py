@@ -26,14 +26,17 @@ def staged_filter(errors: DataFrame, limits: list[float]) -> DataFrame:
 
 
 def filter_landmarks(errors: DataFrame, limit: float) -> DataFrame:
-    ok = errors.groupBy("track_id").agg(F.bool_and(F.col("err").isNotNull() & (F.col("err") < limit)).alias("ok")).where("ok").select("track_id")
-    return errors.join(ok, "track_id", "left_semi")
+    """Measurements of the tracks that have only errors below the limit; the errors are worked out once."""
+    ok = F.bool_and(F.col("err").isNotNull() & (F.col("err") < limit)).over(Window.partitionBy("track_id"))
+    return errors.where("track_id is not null").withColumn("_ok", ok).where("_ok").drop("_ok")
 
 
 def filter_measurements(errors: DataFrame, limit: float, least: int) -> DataFrame:
-    kept = errors.where(F.col("err").isNotNull() & (F.col("err") <= limit))
-    ok = kept.groupBy("track_id").agg(F.countDistinct("i").alias("c")).where(F.col("c") >= least).select("track_id")
-    return kept.join(ok, "track_id", "left_semi")
+    """Measurements within the limit of the tracks that ``least`` cameras see by such."""
+    kept = errors.where(F.col("track_id").isNotNull() & F.col("err").isNotNull() & (F.col("err") <= limit))
+    w = Window.partitionBy("track_id")
+    n = F.max("_at").over(w) - F.max(F.col("i").isNull().cast("int")).over(w)
+    return kept.withColumn("_at", F.dense_rank().over(w.orderBy("i"))).withColumn("_n", n).where(F.col("_n") >= least).drop("_at", "_n")
 
 
 def drop_outlier_tracks(errors: DataFrame, most: float = 5.0, factor: float = 5.0, scope: tuple[str, ...] = ()) -> DataFrame:

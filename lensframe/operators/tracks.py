@@ -63,8 +63,9 @@ def reprojection_error(observations: DataFrame, cameras: DataFrame, points: Data
     """Pixel error of every measurement; null where the camera or point is
     missing or the point is behind the camera. ``scope`` names columns of all three
     tables within which cameras and tracks are known by their ids."""
-    o = observations.join(cameras.select(*scope, "i", "q", "t", "model", "params"), [*scope, "i"], "left").join(
-        points.select(*scope, "track_id", "x", "y", "z"), [*scope, "track_id"], "left")
+    # Points first: what is shuffled by track is then narrow, and the cameras, often few, come last.
+    o = observations.join(points.select(*scope, "track_id", "x", "y", "z"), [*scope, "track_id"], "left").join(
+        cameras.select(*scope, "i", "q", "t", "model", "params"), [*scope, "i"], "left")
     p = g.to_camera(F.col("q"), F.col("t"), g.vec(F.col("x"), F.col("y"), F.col("z")))
     o = g.bound(g.bound(o, "_p", p), "_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
     err = F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2)

@@ -82,3 +82,12 @@ def test_all_pairs_are_made_by_many_tasks(spark):
     per = p.groupBy(F.spark_partition_id()).count()
     assert per.agg(F.sum("count"), F.max("count")).first()[0] == 2000 * 1999 // 2 and per.agg(F.max("count")).first()[0] < 400_000
     assert p.where("i >= j").isEmpty() and p.distinct().count() == 2000 * 1999 // 2
+
+
+def test_filters_work_errors_out_once(spark):
+    """Rows of the errors are not made a second time to find the tracks."""
+    from lensframe.plans.catalog_scene import filter_landmarks, filter_measurements, reprojection_error
+
+    joins = lambda q: q(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(reprojection_error) == 2
+    assert joins(filter_landmarks) == 2 and joins(filter_measurements) == 2
