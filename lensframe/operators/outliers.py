@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +12,10 @@ from lensframe.operators.ranking import numbered
 
 MOST_DIRECTIONS = 2000
 LIMIT = 0.125
+#: Directions that a cluster's task takes before there is another one, up to ``batches``.
+DIRECTIONS = 64
+#: Edges times directions that are ordered at once.
+STATES = 1 << 19
 _TINY = 1e-8
 
 
@@ -43,34 +45,46 @@ def direction_sample(edges: DataFrame, keys: list[str], most: int = MOST_DIRECTI
     return d.select(*keys, "d", *(F.col("_v")[c].alias(c) for c in "xyz"))
 
 
-def line_order(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
-    """Place of each node in an order that few and light edges run against: always the node
-    with no weight coming in, else that with the largest (out + 1) / (in + 1) to nine
-    places, the smaller node among equals. Edges run from a to b where the weight is positive."""
-    src, dst, w = np.where(weight >= 0, a, b), np.where(weight >= 0, b, a), np.abs(weight)
-    come, go = np.bincount(dst, w, nodes), np.bincount(src, w, nodes)
+def line_orders(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
+    """Which edges run against an order of the nodes that few and light edges run against, for
+    every row of ``weight`` (a direction) at once. The next node is always one with no weight
+    coming in, else that with the largest (out + 1) / (in + 1) to nine places, the smaller
+    node among equals. Edges run from a to b where the weight is positive.
+
+    A node with no weight coming in has all its edges behind it, whatever came first among such
+    nodes, so all of them are placed in one step; only the others are picked one by one."""
+    rows, m = weight.shape
+    flip = weight < 0
+    src, dst, w = np.where(flip, b, a), np.where(flip, a, b), np.abs(weight)
+    at = (np.arange(rows) * nodes)[:, None]
+    src, dst, w = (src + at).ravel(), (dst + at).ravel(), w.ravel()
+    size = rows * nodes
     ends = np.concatenate([src, dst])
     by = np.argsort(ends, kind="stable")
-    first = np.searchsorted(ends[by], np.arange(nodes + 1))
-    at, place, m = np.full(nodes, -1), 0, len(w)
-    key = lambda v: (0, 0.0, v) if come[v] < _TINY else (1, -round((go[v] + 1) / (come[v] + 1), 9), v)
-    heap = [key(v) for v in range(nodes)]
-    heapq.heapify(heap)
-    while heap:
-        k = heapq.heappop(heap)
-        v = k[2]
-        if at[v] >= 0 or k != key(v):  # placed, or its weights have changed since
-            continue
-        at[v], place = place, place + 1
-        for e in by[first[v] : first[v + 1]]:
-            other, e = (dst[e], e) if e < m else (src[e - m], e - m)
-            if at[other] < 0:
-                if src[e] == v:
-                    come[other] -= w[e]
-                else:
-                    go[other] -= w[e]
-                heapq.heappush(heap, key(other))
-    return at
+    first = np.searchsorted(ends[by], np.arange(size + 1))
+    by %= rows * m
+    come, go = np.bincount(dst, w, size), np.bincount(src, w, size)
+    place, step = np.full(size, -1), 0
+    free = np.flatnonzero(come < _TINY)
+    while True:
+        if not len(free):
+            left = (place < 0).reshape(rows, nodes)
+            open_ = np.flatnonzero(left.any(1))
+            if not len(open_):
+                break
+            ratio = np.round((go.reshape(rows, nodes)[open_] + 1) / (come.reshape(rows, nodes)[open_] + 1), 9)
+            free = open_ * nodes + np.where(left[open_], ratio, -1.0).argmax(1)
+        place[free] = step
+        step += 1
+        # All edges of the nodes just placed.
+        count = first[free + 1] - first[free]
+        e = by[np.repeat(first[free] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        out, into = e[place[dst[e]] < 0], e[place[src[e]] < 0]
+        np.subtract.at(come, dst[out], w[out])
+        np.subtract.at(go, src[into], w[into])
+        near = np.unique(dst[out])
+        free = near[come[near] < _TINY]
+    return (place[src] > place[dst]).reshape(rows, m)
 
 
 def projection_weights(edges: DataFrame, directions: DataFrame, key: str, batches: int = 16) -> DataFrame:
@@ -86,17 +100,19 @@ def projection_weights(edges: DataFrame, directions: DataFrame, key: str, batche
         i, j = flat[: len(a)], flat[len(a) :]
         unit = np.stack([e.column(c).to_numpy() for c in "xyz"], 1)
         total = np.zeros(len(a))
-        for line in np.stack([d.column(c).to_numpy() for c in "xyz"], 1):
-            w = unit @ line
-            at = line_order(i, j, w, len(names))
-            against = np.where(w >= 0, at[i] > at[j], at[j] > at[i])
-            total += np.abs(w) * against
+        lines = np.stack([d.column(c).to_numpy() for c in "xyz"], 1)
+        share = max(1, STATES // len(a))
+        for s in range(0, len(lines), share):
+            w = lines[s : s + share] @ unit.T
+            total += (np.abs(w) * line_orders(i, j, w, len(names))).sum(0)
         return pa.table({key: e.column(key), "a": a, "b": b, "w": total, "n": np.full(len(a), d.num_rows, np.int64)})
 
     kind = edges.schema[key].dataType.simpleString()
-    split = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("_b")
-    e = edges.select(key, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *(F.col("direction")[c].alias(c) for c in "xyz"), split)
-    d = directions.select(key, *"xyz", F.pmod("d", F.lit(batches)).cast("int").alias("_b"))
+    # A cluster's edges go only to as many tasks as its directions fill.
+    size = directions.groupBy(key).agg(F.least(F.lit(batches), F.ceil(F.count("*") / DIRECTIONS)).cast("int").alias("_k"))
+    split = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_b")
+    e = edges.join(size, key).select(key, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *(F.col("direction")[c].alias(c) for c in "xyz"), split)
+    d = directions.join(size, key).select(key, *"xyz", F.pmod("d", F.col("_k")).cast("int").alias("_b"))
     parts = e.groupBy(key, "_b").cogroup(d.groupBy(key, "_b")).applyInArrow(run, f"{key} {kind}, a long, b long, w double, n long")
     return parts.groupBy(key, "a", "b").agg((F.sum("w") / F.sum("n")).alias("weight"))
 

@@ -128,6 +128,19 @@ def brute_order(edges, nodes):
     return out
 
 
+def test_line_orders_of_many_directions_at_once():
+    """Cycles, equal weights and single edges: every row as if by itself, with nodes that nothing runs into placed together."""
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 30, 90), rng.integers(0, 30, 90)
+    a, b = np.append(a[a != b], [30, 3]), np.append(b[a != b], [4, 31])
+    w = np.round(rng.uniform(-1, 1, (25, len(a))), 1) + 0.01
+    got = outliers.line_orders(a, b, w, 32)
+    for row, x in zip(got, w):
+        place = np.argsort(brute_order([*zip(a.tolist(), b.tolist(), x.tolist())], 32))
+        assert (row == np.where(x >= 0, place[a] > place[b], place[b] > place[a])).all()
+    assert 0 < got.sum() < got.size / 2
+
+
 def test_projection_outliers_equal_brute_force(spark):
     p = RNG.normal(size=(14, 3))
     pairs = [(a, b) for a in range(14) for b in range(14) if a < b or RNG.random() < 0.2 and a != b]
