@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lensframe.functions import geometry as g
 from lensframe.operators.graph import connected_components
 from lensframe.operators.ranking import numbered
-from lensframe.session import materialise
+from lensframe.session import materialise, task_count
+
+#: Measurements that a task of the robust triangulation takes, with all pairs of each track.
+TASK_RAYS = 200_000
 
 
 def tracks_union_find(matches: DataFrame) -> DataFrame:
@@ -76,28 +79,47 @@ def track_triangulate_robust(observations: DataFrame, cameras: DataFrame, limit:
     """Best two-ray hypothesis per track: most inliers below ``limit`` pixels,
     then least mean error, then the smaller pair of cameras. Hypotheses are all pairs
     of a track's rays where these are at most ``most``, else ``most`` pairs drawn by a
-    seeded hash; they are chosen by ray number before any join, so a long track costs
+    seeded hash; those are chosen by ray number before any join, so a long track costs
     its length times ``most``. Parallel rays make no hypothesis."""
-    r = rays(observations, cameras).select("track_id", "i", "d", "t")
-    r = materialise(numbered(r, ["track_id"], ["i", "t.x", "d.x", "d.y"], "_at", "_n"), "track-rays")
-    size = r.where("_at = 0 and _n >= 2").select("track_id", F.col("_n").alias("n"))
-    every = F.expr("n * (n - 1) div 2")
-    few = every <= most
-    p = size.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.least(every, F.lit(most)) - 1)))
-    j = F.floor((1 + F.sqrt(1.0 + 8 * F.col("h"))) / 2)  # the h-th of all pairs, counted by the second
-    j = F.when(j * (j - 1) / 2 > F.col("h"), j - 1).when(j * (j + 1) / 2 <= F.col("h"), j + 1).otherwise(j)
+    sizes = observations.join(cameras.select("i"), "i").groupBy("track_id").agg(F.count("*").alias("_n"))
+    long = materialise(sizes.where(F.expr("_n * (_n - 1) div 2") > most).select("track_id"), "track-long")
+    # All pairs of the short tracks by one join on the track, for which everything is dealt once.
+    every = long.isEmpty()
+    tasks = task_count(observations.sparkSession, observations.count(), TASK_RAYS)
+    short = observations if every else observations.join(long, "track_id", "left_anti")
+    r = rays(short, cameras).select("track_id", "i", "d", "t").repartition(tasks, "track_id")
+    ray = lambda n: r.select("track_id", F.struct("i", "t", "d").alias(f"o{n}"), F.col("i").alias(f"i{n}"), F.col("d").alias(f"d{n}"), F.col("t").alias(f"c{n}")).hint("merge")
+    p = _hypotheses(ray(1).join(ray(2), "track_id").where("o1 < o2"))
+    best = _best_hypotheses(short, cameras, p, limit, tasks)
+    if every:
+        return best
+    hot = observations.join(long, "track_id", "left_semi")
+    return best.unionByName(_best_hypotheses(hot, cameras, _hypotheses(_drawn_pairs(rays(hot, cameras), most, seed)), limit, tasks))
+
+
+def _drawn_pairs(ray: DataFrame, most: int, seed: int) -> DataFrame:
+    """``most`` pairs of rays of each track."""
+    r = materialise(numbered(ray.select("track_id", "i", "d", "t"), ["track_id"], ["i", "t.x", "d.x", "d.y"], "_at", "_n"), "track-rays")
+    p = r.where("_at = 0").select("track_id", F.col("_n").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long") - 1)).alias("h"))
     draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "track_id", "h")
-    p = p.withColumn("j", F.when(few, j).otherwise(F.pmod(draw(1), F.col("n"))))
-    p = p.withColumn("k", F.when(few, F.col("h") - F.expr("j * (j - 1) div 2")).otherwise(F.pmod(F.col("j") + 1 + F.pmod(draw(2), F.col("n") - 1), F.col("n"))))
-    ray = lambda at, n: r.select("track_id", F.col("_at").alias(at), F.col("i").alias(f"i{n}"), F.col("d").alias(f"d{n}"), F.col("t").alias(f"c{n}"))
-    p = p.select("track_id", F.least("j", "k").alias("j"), F.greatest("j", "k").alias("k")).join(ray("j", 1), ["track_id", "j"]).join(ray("k", 2), ["track_id", "k"])
+    p = g.bound(g.bound(p, "j", F.pmod(draw(1), F.col("n"))), "k", F.pmod(F.col("j") + 1 + F.pmod(draw(2), F.col("n") - 1), F.col("n")))
+    at = lambda at, n: r.select("track_id", F.col("_at").alias(at), F.col("i").alias(f"i{n}"), F.col("d").alias(f"d{n}"), F.col("t").alias(f"c{n}"))
+    return p.select("track_id", F.least("j", "k").alias("j"), F.greatest("j", "k").alias("k")).join(at("j", 1), ["track_id", "j"]).join(at("k", 2), ["track_id", "k"])
+
+
+def _hypotheses(p: DataFrame) -> DataFrame:
+    """track_id, i1, i2, X: the point halfway between two rays that are not parallel."""
     b = g.dot(F.col("d1"), F.col("d2"))
     diff = g.sub(F.col("c2"), F.col("c1"))
     p = g.bound(p, "_s", F.struct(b.alias("b"), g.dot(diff, F.col("d1")).alias("e"), g.dot(diff, F.col("d2")).alias("f"))).where("1 - _s.b * _s.b > 1e-12")
     b, e, f = (F.col(f"_s.{c}") for c in "bef")
     x = g.scale(g.add(g.add(F.col("c1"), g.scale(F.col("d1"), (e - b * f) / (1 - b * b))), g.add(F.col("c2"), g.scale(F.col("d2"), (b * e - f) / (1 - b * b)))), F.lit(0.5))
-    h = g.bound(p, "X", x).select("track_id", "i1", "i2", "X")
-    o = observations.join(cameras.select("i", "q", "t", "model", "params"), "i").join(h, "track_id")
+    return g.bound(p, "X", x).select("track_id", "i1", "i2", "X")
+
+
+def _best_hypotheses(observations: DataFrame, cameras: DataFrame, h: DataFrame, limit: float, tasks: int) -> DataFrame:
+    # Dealt by track for itself: Spark would else send the hypotheses to the measurements as a whole where it thinks them few.
+    o = observations.join(cameras.select("i", "q", "t", "model", "params"), "i").repartition(tasks, "track_id").hint("merge").join(h, "track_id")
     o = g.bound(g.bound(o, "_p", g.to_camera(F.col("q"), F.col("t"), F.col("X"))), "_uv", g.project(F.col("model"), F.col("params"), F.col("_p")))
     err = F.sqrt((F.col("_uv.u") - F.col("u")) ** 2 + (F.col("_uv.v") - F.col("v")) ** 2)
     near = F.when(err < limit, err)
