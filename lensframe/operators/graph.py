@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensframe.session import discard, materialise
+from lensframe.session import discard, materialise, task_count
 
 
 def connected_components(
@@ -139,19 +139,32 @@ def bridge_reconnect(edges: DataFrame, scores: DataFrame, k: int = 10, least: in
     return bridge_topk(s.select("i", "j", "score", "island"), "island", k).join(edges.select("i", "j"), ["i", "j"], "left_anti")
 
 
+#: Measurements, and camera pairs, that a task of ``covis_edges`` takes.
+TASK_ROWS, TASK_PAIRS = 400_000, 1_000_000
+
+
 def covis_edges(observations: DataFrame) -> DataFrame:
     """Camera pairs that share tracks, and how many. Tracks are short (a track
-    sees each camera at most once), which bounds the pairs of a track."""
-    o = observations.select("track_id", "i").distinct()
-    return o.join(o.select("track_id", F.col("i").alias("j")), "track_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+    sees each camera at most once), which bounds the pairs of a track. Tasks grow in
+    number with the measurements and the pairs, not in size."""
+    spark = observations.sparkSession
+    n = observations.groupBy("track_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.expr("n * (n - 1) div 2"))).first()
+    o = observations.select("track_id", "i").repartition(task_count(spark, n[0] or 0, TASK_ROWS), "track_id").distinct()
+    p = o.hint("merge").join(o.select("track_id", F.col("i").alias("j")), "track_id").where("i < j").select("i", "j")
+    return p.repartition(task_count(spark, n[1] or 0, TASK_PAIRS), "i", "j").groupBy("i", "j").agg(F.count("*").alias("shared"))
 
 
 def scene_lcc(observations: DataFrame) -> DataFrame:
-    """The scene cut to the largest component of its covisibility graph."""
+    """The scene cut to the largest component of its covisibility graph. Cameras of a
+    track are connected however they pair, so each is tied to the track's first one:
+    as many edges as measurements, and a camera that shares no track is a component."""
     from lensframe.operators.tables import selected_cameras_tracks
 
-    keep = largest_component(covis_edges(observations)).withColumnRenamed("node", "i")
-    return selected_cameras_tracks(observations, keep)
+    tasks = task_count(observations.sparkSession, observations.count(), TASK_ROWS)
+    o = observations.where("track_id is not null and i is not null").select("track_id", "i").repartition(tasks, "track_id")
+    star = o.join(o.groupBy("track_id").agg(F.min("i").alias("j")).hint("merge"), "track_id").select("i", "j").repartition(tasks, "i", "j").distinct()
+    keep = largest_component(star).withColumnRenamed("node", "i")
+    return selected_cameras_tracks(observations, keep, tasks)
 
 
 def cross_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:

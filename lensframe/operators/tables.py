@@ -90,10 +90,11 @@ def rescale_intrinsics(cameras: DataFrame, max_short_side: int) -> DataFrame:
 
 
 # -- joins -----------------------------------------------------------------
-def selected_cameras_tracks(observations: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Tracks all of whose cameras are kept."""
+def selected_cameras_tracks(observations: DataFrame, cameras: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Tracks all of whose cameras are kept; dealt to so many tasks, where given."""
     lost = observations.join(cameras.select("i").distinct(), "i", "left_anti").select("track_id").distinct()
-    return observations.join(lost, "track_id", "left_anti")
+    dealt = observations.repartition(tasks, "track_id") if tasks else observations
+    return dealt.join(lost, "track_id", "left_anti")
 
 
 def track_select_for_cameras(observations: DataFrame, cameras: DataFrame) -> DataFrame:
