@@ -5,8 +5,9 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lensframe.operators import pairs, scenes
+from lensframe.operators import graph, pairs, scenes, tracks
 from lensframe.plans import catalog_merge, catalog_scene
+from lensframe.plans.domain import cameras, view
 from tests.compare import SF
 
 
@@ -91,3 +92,47 @@ def test_filters_work_errors_out_once(spark):
     joins = lambda q: q(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(reprojection_error) == 2
     assert joins(filter_landmarks) == 2 and joins(filter_measurements) == 2
+
+
+def test_robust_triangulation_numbers_long_tracks_only(spark, monkeypatch):
+    """Short tracks' pairs come from one join on the track; both kinds of tracks are there once, short ones as before."""
+    wrote, write = [], tracks.materialise
+    monkeypatch.setattr(tracks, "materialise", lambda df, name: (wrote.append(name), write(df, name))[1])
+    o, c = view(spark, SF, "obs").where("track_id < 300"), cameras(spark, SF)
+    rows = lambda most: {r.track_id: (r.i1, r.i2, r.inliers) for r in tracks.track_triangulate_robust(o, c, 200.0, most).collect()}
+    whole = rows(2749)
+    assert "track-rays" not in wrote
+    few = rows(6)
+    assert "track-rays" in wrote and few.keys() == whole.keys()
+    short = {r.track_id for r in o.join(c.select("i"), "i").groupBy("track_id").count().where("count <= 4").collect()}
+    assert 0 < len(short & whole.keys()) < len(whole) and all(few[k] == whole[k] for k in short & whole.keys())
+
+
+def most_rows_of_a_task(df) -> int:
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_covisible_pairs_are_dealt_to_more_tasks(spark, monkeypatch):
+    """Ten times the pairs are more tasks, not larger ones."""
+    monkeypatch.setattr(graph, "TASK_PAIRS", 1000, raising=False)
+    monkeypatch.setattr(graph, "TASK_ROWS", 500, raising=False)
+    o = spark.range(4000).selectExpr("id div 4 as track_id", "(id * 7919) % 3001 as i")
+    e = graph.covis_edges(o)
+    assert e.rdd.getNumPartitions() == 6 and most_rows_of_a_task(e) < 1500 and e.count() <= 6000
+
+
+def test_scene_lcc_ties_cameras_to_a_tracks_first(spark, monkeypatch):
+    """A long track gives as many edges as measurements; lone cameras are components."""
+    seen, lcc = [], graph.largest_component
+    monkeypatch.setattr(graph, "largest_component", lambda e: (seen.append(e.count()), lcc(e))[1])
+    o = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 500), (2, 501), (3, 900), (4, 199), (4, 300)], "track_id long, i long")
+    assert sorted({r.track_id for r in graph.scene_lcc(o).collect()}) == [1, 4]
+    assert seen[0] <= o.count()
+    assert [r.i for r in graph.scene_lcc(spark.createDataFrame([(1, 7), (2, 5)], "track_id long, i long")).collect()] == [5]
+
+
+def test_keypoint_pairs_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 1000, raising=False)
+    a = spark.range(1000).selectExpr("id % 100 as i", "id as k", "array(double(id), double(id % 7)) as desc")
+    m = pairs.match_mutual_nn(a, a, ["i"])
+    assert m.rdd.getNumPartitions() == 10 and m.where("k1 <> k2").isEmpty() and m.count() == 1000
