@@ -34,35 +34,15 @@ def merge_tree(cameras: DataFrame, points: DataFrame, observations: DataFrame, m
     ``depth/path/track_id`` of the first track merged into it) and the nodes merged:
     (path, ok, common, s), the root not among them.
     """
-    cams = materialise(cameras.select(*_INNER), "tree-cameras")
     name = F.concat_ws("/", F.lpad(F.size("path").cast("string"), 6, "0"), F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 10, "0")), "."), F.col("track_id").cast("string"))
     pts = materialise(points.select("path", name.alias("track_id"), "x", "y", "z"), "tree-points")
     obs = materialise(observations.select("path", name.alias("track_id"), "i", "u", "v"), "tree-observations")
-    depth = cams.agg(F.max(F.size("path"))).first()[0] or 0
-    nodes = None
-    for level in range(depth, 0, -1):
+    cams, nodes = materialise(cameras.select(*_INNER), "tree-cameras"), None
+    for level in range(_depth(cams), 0, -1):
         here, above = F.size("path") == level, F.size("path") == level - 1
-        child = cams.where(here).withColumnRenamed("path", "child").withColumn("path", F.slice("child", F.lit(1), F.size("child") - 1))
-        pairs = child.select("child", "path", "i", F.col("q").alias("qb"), F.col("t").alias("tb")).join(
-            cams.where(above).select("path", "i", F.col("q").alias("qa"), F.col("t").alias("ta")), ["path", "i"])
-        pairs = materialise(pairs.select("child", "i", "qa", "ta", "qb", "tb"), "tree-pairs")
-        sims = materialise(sim3_from_poses(pairs, ["child"]), "tree-sims")
-        all_ = cams.where(here).select(F.col("path").alias("child")).distinct()
-        common = pairs.groupBy("child").agg(F.count("*").alias("common"))
-        done = all_.join(common, "child", "left").join(sims.select("child", "s"), "child", "left").select(
-            F.col("child").alias("path"), F.col("s").isNotNull().alias("ok"), F.coalesce("common", F.lit(0).cast("long")).alias("common"), "s")
-        done = materialise(done, "tree-nodes")
+        done, sims, new_cams = _merge_level(cams, level)
         nodes = done if nodes is None else nodes.unionByName(done)
         by_path = sims.withColumnRenamed("child", "path")
-
-        moved = move_poses(cams.where(here), by_path, ["path"])
-        both = cams.where(above).unionByName(moved.select(*_INNER))
-        # Partition by the node that is to hold the camera: the parent's own path, or a child's without its last step.
-        home = F.when(F.size("path") == level - 1, F.col("path")).otherwise(F.slice("path", F.lit(1), F.lit(level - 1)))
-        first = Window.partitionBy("home", "i").orderBy(F.size("path"), "path")
-        one = both.withColumn("home", home).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "path").withColumnRenamed("home", "path")
-        new_cams = materialise(cams.where(F.size("path") < level - 1).unionByName(one.select(*_INNER)), "tree-cameras")
-
         p = _moved_points(pts.where(here), by_path)
         new_pts = pts.where(above).unionByName(_up(p))
         new_obs = obs.where(above).unionByName(_up(obs.where(here).join(by_path.select("path"), "path", "left_semi")))
@@ -72,11 +52,55 @@ def merge_tree(cameras: DataFrame, points: DataFrame, observations: DataFrame, m
         rest = F.size("path") < level - 1
         next_pts = materialise(pts.where(rest).unionByName(new_pts.join(kept, ["path", "track_id"], "left_semi")), "tree-points")
         next_obs = materialise(obs.where(rest).unionByName(new_obs.join(kept, ["path", "track_id"], "left_semi")), "tree-observations")
-        discard(cams, pts, obs, new_obs, kept, pairs)
+        discard(cams, pts, obs, new_obs, kept)
         cams, pts, obs = new_cams, next_pts, next_obs
-    if nodes is None:
-        nodes = cams.select("path", F.lit(True).alias("ok"), F.lit(0).cast("long").alias("common"), F.lit(1.0).alias("s")).limit(0)
-    return cams.drop("path"), pts.drop("path"), obs.drop("path"), nodes
+    return cams.drop("path"), pts.drop("path"), obs.drop("path"), _no_nodes(cams) if nodes is None else nodes
+
+
+def merge_tree_nodes(cameras: DataFrame) -> DataFrame:
+    """The nodes that ``merge_tree`` merges: (path, ok, common, s). They hang on the cameras
+    alone, so no points or observations are moved."""
+    cams, nodes = materialise(cameras.select(*_INNER), "tree-cameras"), None
+    for level in range(_depth(cams), 0, -1):
+        done, _, new_cams = _merge_level(cams, level)
+        nodes = done if nodes is None else nodes.unionByName(done)
+        discard(cams)
+        cams = new_cams
+    return _no_nodes(cams) if nodes is None else nodes
+
+
+def _depth(cams: DataFrame) -> int:
+    return cams.agg(F.max(F.size("path"))).first()[0] or 0
+
+
+def _no_nodes(cams: DataFrame) -> DataFrame:
+    return cams.select("path", F.lit(True).alias("ok"), F.lit(0).cast("long").alias("common"), F.lit(1.0).alias("s")).limit(0)
+
+
+def _merge_level(cams: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes of a level, the transforms of those that merge, and the cameras afterwards."""
+    here, above = F.size("path") == level, F.size("path") == level - 1
+    child = cams.where(here).withColumnRenamed("path", "child").withColumn("path", F.slice("child", F.lit(1), F.size("child") - 1))
+    pairs = child.select("child", "path", "i", F.col("q").alias("qb"), F.col("t").alias("tb")).join(
+        cams.where(above).select("path", "i", F.col("q").alias("qa"), F.col("t").alias("ta")), ["path", "i"])
+    pairs = materialise(pairs.select("child", "i", "qa", "ta", "qb", "tb"), "tree-pairs")
+    sims = materialise(sim3_from_poses(pairs, ["child"]), "tree-sims")
+    all_ = cams.where(here).select(F.col("path").alias("child")).distinct()
+    common = pairs.groupBy("child").agg(F.count("*").alias("common"))
+    done = all_.join(common, "child", "left").join(sims.select("child", "s"), "child", "left").select(
+        F.col("child").alias("path"), F.col("s").isNotNull().alias("ok"), F.coalesce("common", F.lit(0).cast("long")).alias("common"), "s")
+    done = materialise(done, "tree-nodes")
+    by_path = sims.withColumnRenamed("child", "path")
+
+    moved = move_poses(cams.where(here), by_path, ["path"])
+    both = cams.where(above).unionByName(moved.select(*_INNER))
+    # Partition by the node that is to hold the camera: the parent's own path, or a child's without its last step.
+    home = F.when(F.size("path") == level - 1, F.col("path")).otherwise(F.slice("path", F.lit(1), F.lit(level - 1)))
+    first = Window.partitionBy("home", "i").orderBy(F.size("path"), "path")
+    one = both.withColumn("home", home).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "path").withColumnRenamed("home", "path")
+    new_cams = materialise(cams.where(F.size("path") < level - 1).unionByName(one.select(*_INNER)), "tree-cameras")
+    discard(pairs)
+    return done, sims, new_cams
 
 
 def _moved_points(points: DataFrame, sims: DataFrame) -> DataFrame:

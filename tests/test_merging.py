@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lensframe.operators import alignment, dense, merging, outliers, ranking, scenes
+from lensframe.plans import catalog_merge
+from tests.compare import SF
 
 RNG = np.random.default_rng(7)
 
@@ -213,3 +215,13 @@ def test_tree_of_one_scene_and_unit_cube(spark):
     assert (c.count(), p.count(), o.count(), n.count()) == (0, 0, 0, 0)
     u = dense.unit_cube(spark.createDataFrame([(0.0, 0.0, 0.0), (4.0, 2.0, 0.0)], "x double, y double, z double")).first()
     assert (u.scale, u.ox, u.oy, u.oz) == (0.25, 0.0, 0.25, 0.5)
+
+
+def test_merge_tree_nodes_moves_cameras_only(spark, monkeypatch):
+    wrote, write = set(), merging.materialise
+    monkeypatch.setattr(merging, "materialise", lambda df, name: (wrote.add(name), write(df, name))[1])
+    t = catalog_merge.tree(spark, SF)
+    row = lambda r: (tuple(r.path), r.ok, r.common, r.s and round(r.s, 9))
+    got = sorted(row(r) for r in merging.merge_tree_nodes(t[0]).collect())
+    assert len(got) == 7 and not wrote & {"tree-points", "tree-observations", "tree-kept"}
+    assert got == sorted(row(r) for r in merging.merge_tree(*t)[3].collect())
