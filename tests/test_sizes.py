@@ -136,3 +136,13 @@ def test_keypoint_pairs_are_dealt_to_more_tasks(spark, monkeypatch):
     a = spark.range(1000).selectExpr("id % 100 as i", "id as k", "array(double(id), double(id % 7)) as desc")
     m = pairs.match_mutual_nn(a, a, ["i"])
     assert m.rdd.getNumPartitions() == 10 and m.where("k1 <> k2").isEmpty() and m.count() == 1000
+
+
+def test_similar_pairs_of_equal_scores(spark):
+    """Scores that tie but for the order of additions go to the smaller j within a block, too."""
+    v = [[0.1 * (n % 3), 0.7, 0.1 * ((n + 1) % 3)] for n in range(60)]
+    v[7] = [0.0, 0.7 + 1e-11, 0.1]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(v)], "i long, vec array<double>")
+    got = {(r.i, r.j) for r in pairs.pairs_similarity(df, 3, 0.1).collect()}
+    want = {(a, b) for a in range(60) for b in sorted(range(a + 1, 60), key=lambda b: (-round(float(np.dot(v[a], v[b])), 9), b))[:3]}
+    assert got == want
