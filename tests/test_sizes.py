@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lensframe.operators import graph, pairs, scenes, tracks
+from lensframe.operators import graph, metrics, pairs, scenes, tracks
 from lensframe.plans import catalog_merge, catalog_scene
 from lensframe.plans.domain import cameras, view
 from tests.compare import SF
@@ -146,3 +146,24 @@ def test_similar_pairs_of_equal_scores(spark):
     got = {(r.i, r.j) for r in pairs.pairs_similarity(df, 3, 0.1).collect()}
     want = {(a, b) for a in range(60) for b in sorted(range(a + 1, 60), key=lambda b: (-round(float(np.dot(v[a], v[b])), 9), b))[:3]}
     assert got == want
+
+
+def test_relative_errors_of_all_pairs_join_no_pairs(spark):
+    """The same as by joins; no join above the blocks of cameras, and two blocks make a bounded number of rows."""
+    rng = np.random.default_rng(8)
+    pose = lambda n: [(k, tuple(map(float, q)), tuple(map(float, t))) for k, q, t in zip(range(0, 3 * n, 3), rng.normal(size=(n, 4)), rng.normal(size=(n, 3)))]
+    ref, est = pose(90), pose(90)[5:]
+    ref[7], est[9] = (ref[7][0], None, ref[7][2]), (est[9][0], est[9][1], None)
+    schema = "i long, q struct<w: double, x: double, y: double, z: double>, t struct<x: double, y: double, z: double>"
+    a, b = (spark.createDataFrame(r, schema) for r in (ref, est))
+    want = {(r.i, r.j): r[2:] for r in metrics.relative_pose_errs(pairs.pairs_exhaustive(a, 20), a, b).collect()}
+    near = lambda x, y: (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6)
+    for directions in (True, False):
+        got = metrics.relative_pose_errs_all(a, b, directions, 20).collect()
+        assert len(got) == len(want) == 90 * 89 // 2
+        assert not [(r, want[r.i, r.j]) for r in got if not all(map(near, r[2:], want[r.i, r.j]))]
+    assert any(v[0] is None for v in want.values()) and any(v[0] is not None and v[1] is None for v in want.values())
+    plan = catalog_scene.relative_pose_errs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join " not in plan[: plan.index("Repartition")]
+    cells = pairs.block_cells(spark.range(6000).select(F.col("id").alias("i")), F.col("i"), pairs.BLOCK_ROWS)
+    assert cells.agg(F.max(F.size("m") * F.size("n"))).first()[0] < 500_000
