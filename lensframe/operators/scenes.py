@@ -39,10 +39,15 @@ def filter_measurements(errors: DataFrame, limit: float, least: int) -> DataFram
     return kept.withColumn("_at", F.dense_rank().over(w.orderBy("i"))).withColumn("_n", n).where(F.col("_n") >= least).drop("_at", "_n")
 
 
-def drop_outlier_tracks(errors: DataFrame, most: float = 5.0, factor: float = 5.0, scope: tuple[str, ...] = ()) -> DataFrame:
+def drop_outlier_tracks(errors: DataFrame, most: float = 5.0, factor: float = 5.0, scope: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """Tracks of mean error at most min(most, factor * median of the means), within
-    each ``scope``."""
-    m = errors.groupBy(*scope, "track_id").agg(F.avg("err").alias("mean_err"))
+    each ``scope``. A mean at the cut can depend on the order of its additions: by ``order``,
+    a column that tells a track's rows apart, they are added in that order."""
+    by, mean = [*scope, "track_id"], F.avg("err")
+    if order:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        errors, mean = errors.withColumn("_mean", mean.over(upto)), F.max_by("_mean", order)
+    m = errors.groupBy(*by).agg(mean.alias("mean_err"))
     cut = percentiles(m, list(scope), F.col("mean_err"), {"median": 0.5}).select(*scope, F.least(F.lit(most), factor * F.col("median")).alias("cut"))
     met = m.join(cut, list(scope)) if scope else m.crossJoin(cut)  # without a scope the cut is one row
     return met.where(F.col("mean_err") <= F.col("cut")).drop("cut")
