@@ -60,11 +60,11 @@ def sink_scene_text(s, d):
 def src_points(s, d):
     path = work_path(s, "points")
     o = view(s, d, "obs").join(_cameras(s, d).select("i", "scene"), "i")
-    p = view(s, d, "points").join(o.select("track_id", "scene").distinct(), "track_id").withColumn("error", F.lit(0.5))
-    sinks.sink_points(p, o, path)
-    t = text_model.src_points(s, path, "part-*")
-    n = text_model.src_tracks(t).groupBy("scene", "point_id").agg(F.count("*").alias("n"))
-    return rounded(t.join(n, ["scene", "point_id"]).select(scene("scene"), "point_id", "x", "r", "n"))
+    sinks.sink_points(view(s, d, "points").withColumn("error", F.lit(0.5)), o, path)
+    # A point is one line, so what its track counts is counted where the line is read, which is done once.
+    t = text_model.src_tracks(text_model.src_points(s, path, "part-*"), "x", "r")
+    n = t.groupBy("scene", "point_id", "x", "r").agg(F.count("*").alias("n"))
+    return rounded(n.select(scene("scene"), "point_id", "x", "r", "n"))
 
 
 @query("SELECT run, grp, metric, round(value, 6) AS value FROM metrics")

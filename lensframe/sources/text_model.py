@@ -72,11 +72,12 @@ def src_points(spark: SparkSession, path: str, name: str = "points3D.txt") -> Da
                     *(f[k].cast("int").alias(c) for k, c in ((4, "r"), (5, "g"), (6, "b"))), f[7].cast("double").alias("error"), tail.alias("track"))
 
 
-def src_tracks(points: DataFrame) -> DataFrame:
+def src_tracks(points: DataFrame, *keep: str) -> DataFrame:
+    """(scene, point_id, image_id, k) of the tracks, with the columns ``keep`` of the points."""
     p = lambda k, o: F.get("track", k * 2 + o).cast("long")
     one = lambda k: F.struct(p(k, 0).alias("image_id"), p(k, 1).alias("k"))
-    x = points.where("size(track) >= 2").select("scene", "point_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("track") / 2).cast("int") - 1), one)).alias("p"))
-    return x.select("scene", "point_id", "p.*")
+    x = points.where("size(track) >= 2").select("scene", "point_id", *keep, F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("track") / 2).cast("int") - 1), one)).alias("p"))
+    return x.select("scene", "point_id", "p.*", *keep)
 
 
 def src_scene_tree(spark: SparkSession, path: str, root: str) -> DataFrame:

@@ -55,3 +55,16 @@ def test_reuse_computes_a_shared_key_once(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [("a", 1, 2), ("b", 2, 4)]
     again = reuse_results(rows, str(tmp_path / "store"), lambda d: d.withColumn("w", F.col("v") * 0))
     assert sorted(map(tuple, again.collect())) == [("a", 1, 2), ("b", 2, 4)]
+
+
+def test_points_are_written_in_the_scenes_that_measure_them(spark, tmp_path):
+    """Points need no scene of their own; the query reads each line once."""
+    from lensframe.plans import catalog_io
+    from tests.compare import SF
+
+    o = spark.createDataFrame([("a", 1, 7, 0.5, 1.0), ("a", 2, 7, 0.5, 1.0), ("b", 3, 7, 2.0, 1.0), ("b", 3, 6, 9.0, 1.0), ("b", 4, 8, 0.0, 0.0)], "scene string, i long, track_id long, u double, v double")
+    p = spark.createDataFrame([(7, 1.5, 2.0, 3.0, 1, 2, 3, 0.5), (6, 4.0, 5.0, 6.0, 4, 5, 6, 0.5), (5, 0.0, 0.0, 0.0, 0, 0, 0, 0.5)], "track_id long, x double, y double, z double, r int, g int, b int, error double")
+    sinks.sink_points(p, o, str(tmp_path / "p"))
+    t = text_model.src_tracks(text_model.src_points(spark, str(tmp_path / "p"), "part-*"), "x")
+    assert sorted((r.scene[-1], r.point_id, r.image_id, r.k, r.x) for r in t.collect()) == [("a", 7, 1, 0, 1.5), ("a", 7, 2, 0, 1.5), ("b", 6, 3, 0, 4.0), ("b", 7, 3, 1, 1.5)]
+    assert "Join " not in catalog_io.src_points(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
