@@ -21,8 +21,14 @@ def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def _counted(lines: DataFrame) -> DataFrame:
-    """The lines with their number n in the file, from 0."""
-    return numbered(lines, ["scene", "file"], ["_block", "_line"], "n")
+    """The lines with their number n in the file, from 0. A task counts the lines of a block as it
+    reads them; only a row per block, with the lines before it, is shuffled and sent to all tasks."""
+    at = lines.drop("_line").withColumn("_at", F.monotonically_increasing_id())  # without gaps in a block
+    by = ["scene", "file", "_block"]
+    before = F.sum("_n").over(Window.partitionBy("scene", "file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = at.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    blocks = blocks.select(*by, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return at.join(F.broadcast(blocks), by).withColumn("n", F.col("_at") + F.col("_shift")).drop("_block", "_at", "_shift")
 
 
 def _data(lines: DataFrame) -> DataFrame:
@@ -42,18 +48,22 @@ def src_cameras(spark: SparkSession, path: str, name: str = "cameras.txt") -> Da
 
 def src_images(spark: SparkSession, path: str, name: str = "images.txt") -> DataFrame:
     """Two lines a record: the pose (world to camera in the file, turned to
-    camera to world here) and the image points. ``i`` is the rank of the name."""
+    camera to world here) and the image points. ``i`` is the rank of the name.
+    Names are ranked among poses only; point lines are moved once, to their poses."""
     from lensframe.functions import geometry as g
 
-    d = _counted(_data(_lines(spark, path, name)))
-    line = lambda k: F.max(F.when(F.col("n") % 2 == k, F.col("f")))
-    d = d.groupBy("scene", "file", F.floor(F.col("n") / 2).alias("record")).agg(line(0).alias("f"), line(1).alias("points")).where("size(f) >= 10")
+    record = ["scene", "file", "record"]
+    lines = _counted(_lines(spark, path, name).where("not startswith(ltrim(line), '#')")).withColumn("record", F.floor(F.col("n") / 2))
+    words = lambda c: F.split(F.trim(c), "\\s+")
+    d = lines.where("n % 2 = 0").select(*record, words("line").alias("f")).where("size(f) >= 10")
     f = F.col("f")
     q = g.quat(*(f[k].cast("double") for k in (1, 2, 3, 4)))
     t = g.vec(*(f[k].cast("double") for k in (5, 6, 7)))
-    d = d.select("scene", f[0].cast("long").alias("image_id"), f[8].cast("long").alias("camera_id"), f[9].alias("name"),
-                 g.conjugate(q).alias("q"), g.scale(g.rotate(g.conjugate(q), t), F.lit(-1.0)).alias("t"), "points")
-    return numbered(d, ["scene"], ["name", "image_id"], "i")
+    d = d.select(*record, f[0].cast("long").alias("image_id"), f[8].cast("long").alias("camera_id"), f[9].alias("name"),
+                 g.conjugate(q).alias("q"), g.scale(g.rotate(g.conjugate(q), t), F.lit(-1.0)).alias("t"))
+    d = numbered(d, ["scene"], ["name", "image_id"], "i")
+    points = lines.where("n % 2 = 1").select(*record, F.col("line").alias("points"))
+    return d.join(points, record, "left").select("scene", "image_id", "camera_id", "name", "q", "t", words("points").alias("points"), "i")
 
 
 def src_image_points(images: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lensframe.operators import ranking
 from lensframe.operators.reuse import reuse_results
 from lensframe.sources import sinks, text_model
 
@@ -68,3 +69,18 @@ def test_points_are_written_in_the_scenes_that_measure_them(spark, tmp_path):
     t = text_model.src_tracks(text_model.src_points(spark, str(tmp_path / "p"), "part-*"), "x")
     assert sorted((r.scene[-1], r.point_id, r.image_id, r.k, r.x) for r in t.collect()) == [("a", 7, 1, 0, 1.5), ("a", 7, 2, 0, 1.5), ("b", 6, 3, 0, 4.0), ("b", 7, 3, 1, 1.5)]
     assert "Join " not in catalog_io.src_points(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_point_lines_are_not_written_to_rank_names(spark, tmp_path, monkeypatch):
+    """Lines are numbered where they are read and names ranked among poses; poses meet measurements without a join."""
+    wrote, write = [], ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, name: (wrote.extend(df.columns), write(df, name))[1])
+    pose = [(k, k, f"im{9 - k}", (1.0, 0.0, 0.0, 0.0), (float(k), 0.0, 0.0)) for k in range(4)]
+    im = spark.createDataFrame(pose, "i long, camera_id long, name string, q struct<w: double, x: double, y: double, z: double>, t struct<x: double, y: double, z: double>").withColumn("scene", F.col("i") % 2)
+    o = spark.createDataFrame([(0, 0, 5, 1.0, 2.0), (0, 0, 3, 4.0, 8.0), (1, 3, 5, 1.0, 2.0), (1, 8, 5, 1.0, 2.0)], "scene long, i long, track_id long, u double, v double")
+    assert "Join " not in sinks.scene_lines(im, o)._jdf.queryExecution().optimizedPlan().toString()
+    sinks.sink_images(im, o, str(tmp_path / "p"))
+    t = text_model.src_images(spark, str(tmp_path / "p"), "part-*")
+    assert sorted((r.image_id, r.name, r.i, r.t.x) for r in t.collect()) == [(0, "im9", 1, 0.0), (1, "im8", 1, 1.0), (2, "im7", 0, 2.0), (3, "im6", 0, 3.0)]
+    assert sorted((r.image_id, r.k, r.u, r.point_id) for r in text_model.src_image_points(t).collect()) == [(0, 0, 4.0, 3), (0, 1, 1.0, 5), (3, 0, 1.0, 5)]
+    assert wrote and not {"f", "line", "points"} & set(wrote)
