@@ -392,16 +392,18 @@ def _components(documents: DataFrame, k: int, percent: int, bits: int, star_roun
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"p{SKETCH[0]}"))))
     able = (F.least("cap", "pcap") >= need) & (apart <= F.col("n") + F.col("pn") - 2 * need)
     partner = lambda *more: [F.col(c).alias(p) for c, p in (("node", "pivot"), ("n", "pn"), ("l", "pl"), ("cap", "pcap"), ("c", "pc"), *((c, f"p{c}") for c in SKETCH))] + list(more)
-    links, component, tried, sets, have = None, None, None, None, None
+    # A round without new links changes no component, so the next one goes on with the same rows.
+    component, tried, sets, have, stale = None, None, None, None, False
+    cur = shared.withColumn("c", F.col("node"))
     for r in range(star_rounds + 1):
-        cur = shared
-        if component is not None:
-            cur = cur.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        if stale or r == star_rounds and component is None:
+            discard(cur)
+            cur = shared.withColumn("c", F.col("node"))
+            if component is not None:
+                cur = shared.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             held = cur.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
                 F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-            cur = materialise(cur.join(held, "token"), "jaccard-open")
-        else:
-            cur = cur.withColumn("c", F.col("node"))
+            cur, stale = materialise(cur.join(held, "token"), "jaccard-open"), False
         if r < star_rounds:
             # The pivot of a shingle: least of its own in the first round, by hash later.
             own = (F.col("n") - F.col("cap")) / F.col("n") if r == 0 else F.lit(0.0)
@@ -421,6 +423,8 @@ def _components(documents: DataFrame, k: int, percent: int, bits: int, star_roun
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
+        if pairs.isEmpty():
+            continue
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if have is not None:
             nodes = nodes.join(have, "node", "left_anti")
@@ -430,12 +434,15 @@ def _components(documents: DataFrame, k: int, percent: int, bits: int, star_roun
         have = wanted.select("node") if have is None else have.union(wanted.select("node"))
         found = materialise(verified(pairs, sets, percent), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = materialise(connected_components(links, "a", "b"), "jaccard-component")
-        if r:
-            discard(cur)
-
-    named = materialise(reps.join(component, "node", "left").select(
+        if found.isEmpty():
+            continue
+        # What was linked before goes in as stars, one edge a node.
+        edges = found if component is None else found.union(component.select("node", "component"))
+        component, stale = materialise(connected_components(edges, "a", "b"), "jaccard-component"), True
+    discard(cur)
+
+    linked = reps.withColumn("component", F.lit(None).cast("long")) if component is None else reps.join(component, "node", "left")
+    named = materialise(linked.select(
         "node", F.coalesce("component", "node").alias("c"), "doc_id"), "jaccard-named")
     small = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     each = docs.join(named.join(small, "c").select("node", "component_id"), "node", "left")

@@ -17,8 +17,9 @@ def connected_components(
     Alternating large-star / small-star contraction: each round is two
     min-aggregations (combined map-side) and two equi joins, so a hub node is
     never gathered in one place, and the number of rounds grows with the log of
-    the diameter. Every round is written to the shared folder. Edges holding a
-    null are ignored; self loops only name their node. ``nodes`` (first column)
+    the diameter. Every round is written to the shared folder; the rounds end when only
+    stars are left. Joins are merge joins, so no round's table goes through the driver,
+    however small it has become. Edges holding a null are ignored; self loops only name their node. ``nodes`` (first column)
     adds isolated nodes. An empty table gives an empty result.
     """
     e0 = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
@@ -27,18 +28,15 @@ def connected_components(
         all_nodes = all_nodes.union(nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null"))
     cur = materialise(
         e0.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    seen = None
     for _ in range(max_rounds):
-        mark = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == seen:
+        if _only_stars(cur):
             break
-        seen = mark
         both = cur.union(cur.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(low.hint("merge"), "a")
         nxt = materialise(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
@@ -52,6 +50,14 @@ def connected_components(
     )
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every a has one edge and is no other edge's b: with b < a, each b is
+    then the smallest node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return each.where("out > 1 or (out > 0 and into > 0)").agg(F.count("*")).first()[0] == 0
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """node, neighbours (sorted, distinct), degree."""
     both = edges.select("i", "j").union(edges.select("j", "i")).distinct()
