@@ -183,3 +183,15 @@ def test_means_are_added_in_the_order_of_rows(spark):
         d = spark.createDataFrame([(1, n, x) for n, x in reversed(rows)], "track_id long, row long, err double").repartition(3)
         kept = scenes.drop_outlier_tracks(d, min(orders) / 4, 5.0, order="row").collect()
         assert [r.mean_err for r in kept] == ([total / 4] if total == min(orders) else [])
+
+
+def test_all_pairs_take_little_disk(spark, tmp_path):
+    """Pairs are made in runs that files hold in few bytes, and a row travels for a bounded number of blocks."""
+    i = spark.range(3000).select((F.col("id") * 7919 % 100_003).alias("i"))
+    pairs.pairs_exhaustive(i).write.parquet(str(tmp_path / "all"))
+    size = sum(f.stat().st_size for f in (tmp_path / "all").iterdir())
+    assert size < 0.5 * 3000 * 2999 / 2
+    assert pairs.pairs_exhaustive(i, 16).distinct().count() == 3000 * 2999 // 2  # lists cut into slices
+    cells = pairs.block_cells(spark.range(9000).select(F.col("id").alias("i")), F.col("i"), 32)
+    n = cells.agg(F.count_distinct("b", "c"), F.max(F.size("m") * F.size("n")), F.sum(F.size("m") * F.size("n").cast("long"))).first()
+    assert n[0] < 4096 and n[1] <= 32 * 32 and n[2] >= 9000 * 9000 / 2
