@@ -195,3 +195,20 @@ def test_all_pairs_take_little_disk(spark, tmp_path):
     cells = pairs.block_cells(spark.range(9000).select(F.col("id").alias("i")), F.col("i"), 32)
     n = cells.agg(F.count_distinct("b", "c"), F.max(F.size("m") * F.size("n")), F.sum(F.size("m") * F.size("n").cast("long"))).first()
     assert n[0] < 4096 and n[1] <= 32 * 32 and n[2] >= 9000 * 9000 / 2
+
+
+def test_relative_pose_errs_has_both_errors(spark):
+    """The query gives the error of the direction, too; two cameras in one place have none, but a rotation."""
+    rows = catalog_scene.relative_pose_errs(spark, SF).collect()
+    assert sum(r.direction_err is not None for r in rows) == sum(r.rotation_err is not None for r in rows) > 0
+    assert len({r.direction_err for r in rows}) > 5
+    schema = "i long, q struct<w: double, x: double, y: double, z: double>, t struct<x: double, y: double, z: double>"
+    c = 2**-0.5
+    a = spark.createDataFrame([(1, (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)), (2, (c, 0.0, 0.0, c), (0.0, 0.0, 0.0)), (3, (1.0, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0))], schema)
+    b = spark.createDataFrame([(1, (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)), (2, (1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0)), (3, (c, 0.0, 0.0, -c), (c, 0.0, 0.0))], schema)
+    want = {(1, 2): (90.0, None), (1, 3): (90.0, 90.0), (2, 3): (0.0, float(np.degrees(np.arctan(c))))}
+    near = lambda x, y: (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6)
+    joined = metrics.relative_pose_errs(pairs.pairs_exhaustive(a, 20), a, b).collect()
+    for got in (joined, metrics.relative_pose_errs_all(a, b, True, 20).collect()):
+        assert {(r.i, r.j) for r in got} == want.keys()
+        assert not [(r, want[r.i, r.j]) for r in got if not all(map(near, r[2:], want[r.i, r.j]))]
