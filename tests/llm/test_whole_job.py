@@ -52,3 +52,23 @@ def test_near_copies_stage_at_082(spark):
     text = [f"w{i}" for i in range(126)]
     docs = spark.createDataFrame([(1, " ".join(text[:104])), (2, " ".join(text))], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()] == [1]
+
+
+def test_leaks_where_the_index_is_fitted_on_a_small_part(spark, monkeypatch):
+    """The basis comes from 2 % of the documents, yet every document is searched: brute force finds hardly more."""
+    from lensframe.llm import decontaminate
+    from tests.llm.test_operators import brute_leaks
+
+    monkeypatch.setattr(decontaminate, "FIT_DOCUMENTS", 20)
+    sf = "/root/testdata/sf0.01"
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text")
+    _, passages, picked = decontaminate.count_terms(docs)
+    assert 0 < picked.count() < passages / 20
+    rng, bench = np.random.default_rng(6), [tuple(r) for r in items.collect()]
+    rows = [tuple(r) for r in docs.collect()]
+    for n, (_, text) in enumerate(rows[:200]):  # and paraphrases of items
+        body = [f"other{rng.integers(0, 9**6)}" if rng.random() < 0.2 else w for w in bench[n % len(bench)][1].split()]
+        rows.append((10**6 + n, " ".join([*text.split()[:50], *body, *text.split()[50:]])))
+    want = brute_leaks(rows, bench)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
